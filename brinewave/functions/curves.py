@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.functions.timing import col
@@ -96,3 +96,14 @@ def peak_seconds(peaks: Column, step_s: float) -> Column:
     return F.transform(
         peaks, lambda p: F.struct((p["i"] * F.lit(step_s)).alias("pos_s"), p["h"].alias("h"))
     )
+
+
+def unnest(df: DataFrame, keys: list[str], array: str, position: str, value: str) -> DataFrame:
+    """``(*keys, position, value)`` per element; empty and null arrays give no row.
+
+    The outer form keeps Spark from inferring a filter on the array. Such a
+    filter is pushed below the projection and would run the kernel that makes
+    the array a second time.
+    """
+    each = df.select(*keys, F.posexplode_outer(array).alias(position, value))
+    return each.where(F.col(position).isNotNull())

@@ -51,11 +51,6 @@ def _nested(rows: list) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), _lists(inner, pa.float64()), mask=mask)
 
 
-def once(udf):
-    """Keep the optimizer from copying a kernel call into inferred filters or later projections."""
-    return udf.asNondeterministic()
-
-
 def _by_length(rows: list, work) -> list:
     """Apply ``work(matrix) -> sequence of row results`` once per distinct row length."""
     out: list = [None] * len(rows)
@@ -135,7 +130,7 @@ def spectrogram_column(samples: Column, fs: float, nperseg: int, hop: int) -> Co
     def run(s: pa.Array) -> pa.Array:
         return _nested(_by_length(_rows(s), lambda x: power_frames(x, fs, nperseg, hop)))
 
-    return once(run)(samples)
+    return run(samples)
 
 
 def wavelet_column(samples: Column, n_levels: int) -> Column:
@@ -145,7 +140,7 @@ def wavelet_column(samples: Column, n_levels: int) -> Column:
     def run(s: pa.Array) -> pa.Array:
         return _nested(_by_length(_rows(s), lambda x: zip(*wavelet_levels(x, n_levels))))
 
-    return once(run)(samples)
+    return run(samples)
 
 
 def decimate_column(samples: Column, q: int) -> Column:
@@ -156,7 +151,7 @@ def decimate_column(samples: Column, q: int) -> Column:
         rows = _by_length(_rows(s), lambda x: np.trunc(decimate_rows(x, q)).astype(np.int32))
         return _lists(rows, pa.int32())
 
-    return once(run)(samples)
+    return run(samples)
 
 
 def resize_column(matrix: Column, height: int, width: int) -> Column:
@@ -177,4 +172,4 @@ def resize_column(matrix: Column, height: int, width: int) -> Column:
             out.append(bilinear_weights(len(x), height) @ x @ bilinear_weights(x.shape[1], width).T)
         return _nested(out)
 
-    return once(run)(matrix)
+    return run(matrix)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brinewave.functions.curves import unnest
 from brinewave.functions.kernels import spectrogram_column
 from brinewave.functions.levels import power_db
 
@@ -31,17 +32,15 @@ def archive_frames(chunks: DataFrame, fs: int, nperseg: int = 256, hop: int = 12
         "_x",
         F.concat("samples", F.coalesce("_head", F.array().cast("array<int>"))).cast("array<double>"),
     )
-    frames = extended.select(
+    power = extended.select(
         "station",
         "chunk_us",
-        F.posexplode(spectrogram_column(F.col("_x"), float(fs), nperseg, hop)).alias("_k", "_bins"),
+        spectrogram_column(F.col("_x"), float(fs), nperseg, hop).alias("_power"),
     )
+    frames = unnest(power, ["station", "chunk_us"], "_power", "_k", "_bins")
     middle = (F.lit(nperseg / 2) + F.col("_k") * F.lit(hop)) * F.lit(1e6 / fs)
-    return frames.select(
-        "station",
-        (F.col("chunk_us") + F.round(middle).cast("bigint")).alias("frame_us"),
-        F.posexplode("_bins").alias("f_bin", "_p"),
-    ).select(
+    timed = frames.withColumn("frame_us", F.col("chunk_us") + F.round(middle).cast("bigint"))
+    return unnest(timed, ["station", "frame_us"], "_bins", "f_bin", "_p").select(
         "station",
         "frame_us",
         "f_bin",

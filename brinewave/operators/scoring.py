@@ -23,10 +23,30 @@ def threshold_count(score: Column, delta: float) -> Column:
     return F.greatest(fixed, F.lit(0))
 
 
+def on_grid(
+    counts: DataFrame, by: list[str], index: str, size: int, amounts: list[str], first: int = 0
+) -> DataFrame:
+    """Counts on the full grid ``first .. first + size - 1`` of each group, 0 where nothing fell.
+
+    ``counts`` holds at most one row per grid point and group, so a group fits
+    in one map; the result has ``index``, the amounts, and ``all_<amount>``, the
+    group total (rows with a null index included).
+    """
+    entry = F.when(F.col(index).isNotNull(), F.struct(F.col(index).cast("int"), F.struct(*amounts)))
+    packed = counts.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_at"),
+        *[F.sum(a).alias(f"all_{a}") for a in amounts],
+    )
+    points = packed.withColumn(
+        index, F.explode(F.sequence(F.lit(first), F.lit(first + size - 1)))
+    ).withColumn("_x", F.try_element_at("_at", F.col(index)))
+    filled = [F.coalesce(F.col(f"_x.{a}"), F.lit(0)).alias(a) for a in amounts]
+    return points.select(*by, index, *filled, *[f"all_{a}" for a in amounts])
+
+
 def _from_top(amount: str, by: list[str], order: str) -> Column:
-    """Sum over this and all higher buckets (the frame holds one row per bucket)."""
-    keys = by or [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+    """Sum over this and all higher grid points."""
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(order))
     return F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
@@ -40,23 +60,20 @@ def roc_points(
     segments, at most steps + 2 rows per group are left for the running sums.
     """
     by = by or []
-    bucket = F.coalesce(F.least(threshold_count(F.col("score"), delta), F.lit(steps + 1)), F.lit(0))
-    counts = outcomes.groupBy(*by, bucket.alias("b")).agg(
+    # a score that exceeds b thresholds passes 0 .. b-1; -1 passes none
+    last = F.least(threshold_count(F.col("score"), delta), F.lit(steps + 1)) - 1
+    counts = outcomes.groupBy(*by, F.coalesce(last, F.lit(-1)).alias("thr")).agg(
         F.sum("truth").alias("p"), F.sum(1 - F.col("truth")).alias("n")
     )
-    totals = counts.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
-    # a score in bucket b passes the thresholds 0 .. b-1
-    grid = totals.withColumn("thr", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    passed = counts.where("b > 0").select(*by, (F.col("b") - 1).cast("int").alias("thr"), "p", "n")
-    filled = grid.join(passed, [*by, "thr"], "left").na.fill(0, ["p", "n"])
+    grid = on_grid(counts, by, "thr", steps + 1, ["p", "n"])
     tp, fp = _from_top("p", by, "thr"), _from_top("n", by, "thr")
-    return filled.select(
+    return grid.select(
         *by,
         "thr",
         tp.cast("bigint").alias("tp"),
         fp.cast("bigint").alias("fp"),
-        F.when(F.col("n_pos") > 0, tp / F.col("n_pos")).alias("tpr"),
-        F.when(F.col("n_neg") > 0, fp / F.col("n_neg")).alias("fpr"),
+        F.when(F.col("all_p") > 0, tp / F.col("all_p")).alias("tpr"),
+        F.when(F.col("all_n") > 0, fp / F.col("all_n")).alias("fpr"),
     )
 
 
@@ -102,14 +119,12 @@ def auc_from_counts(
     """Trapezoid area over the thresholds of ``auc_counts`` states."""
     by = by or []
     summed = counts.groupBy(*by, "b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    totals = summed.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
-    grid = totals.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))))
-    filled = grid.join(summed, [*by, "b"], "left").na.fill(0.0, ["p", "n"])
-    rates = filled.select(
+    grid = on_grid(summed, by, "b", thresholds, ["p", "n"])
+    rates = grid.select(
         *by,
         "b",
-        F.coalesce(F.try_divide(_from_top("p", by, "b"), F.col("n_pos")), F.lit(0.0)).alias("y"),
-        F.coalesce(F.try_divide(_from_top("n", by, "b"), F.col("n_neg")), F.lit(0.0)).alias("x"),
+        F.coalesce(F.try_divide(_from_top("p", by, "b"), F.col("all_p")), F.lit(0.0)).alias("y"),
+        F.coalesce(F.try_divide(_from_top("n", by, "b"), F.col("all_n")), F.lit(0.0)).alias("x"),
     )
     step = Window.partitionBy(*(by or [F.lit(0)])).orderBy("b")
     area = (F.col("x") - F.lead("x").over(step)) * (F.col("y") + F.lead("y").over(step)) / F.lit(2.0)
@@ -135,19 +150,13 @@ def residual_histogram(
     index = F.least(F.greatest(at, F.lit(0)), F.lit(n_bins - 1))
     center = index * F.lit(float(step)) + F.lit(low)
     kept = F.when(F.abs(F.col("residual") - center) <= F.lit(float(step)), index)
-    counts = true_peaks.groupBy(*by, kept.alias("bin")).agg(F.count("*").alias("c"))
-    totals = counts.groupBy(*by).agg(F.sum("c").alias("n_all"))
-    grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
-    return (
-        grid.join(counts, [*by, "bin"], "left")
-        .na.fill(0, ["c"])
-        .select(
-            *by,
-            "bin",
-            (F.col("bin") * F.lit(float(step)) + F.lit(low)).alias("residual"),
-            F.col("c").alias("n"),
-            (F.col("c") / F.col("n_all")).alias("share"),
-        )
+    counts = true_peaks.groupBy(*by, kept.alias("bin")).agg(F.count("*").alias("n"))
+    return on_grid(counts, by, "bin", n_bins, ["n"]).select(
+        *by,
+        "bin",
+        (F.col("bin") * F.lit(float(step)) + F.lit(low)).alias("residual"),
+        "n",
+        F.try_divide(F.col("n"), F.col("all_n")).alias("share"),
     )
 
 

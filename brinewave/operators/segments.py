@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewave.functions.hashing import center_shift_us
@@ -27,31 +27,22 @@ def station_summary(files: DataFrame) -> DataFrame:
     length = F.col("end_us") - F.col("start_us")
     # (station, fs) first: one station's files are reduced before they meet
     by_fs = files.groupBy("station", "fs").agg(
-        F.min(F.struct("start_us", length.alias("d"), "fs")).alias("first"),
+        F.min(F.struct("start_us", length.alias("d"))).alias("first"),
         F.max(F.struct("start_us", length.alias("d"), "end_us")).alias("last"),
         F.max(length).alias("longest_us"),
         F.count("*").alias("n"),
     )
-    heads = by_fs.groupBy("station").agg(
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
+    # a handful of rows per station from here on
+    order = Window.partitionBy("station").orderBy("first")
+    marked = by_fs.withColumn("sampling_f", F.first_value("fs").over(order))
+    return marked.groupBy("station").agg(
+        F.min("first.start_us").alias("dataset_start_us"),
+        F.max("last").getField("end_us").alias("dataset_end_us"),
+        F.first("sampling_f").alias("sampling_f"),
+        F.greatest(F.min("first").getField("d"), F.max("last").getField("d")).alias("files_duration_us"),
         F.max("longest_us").alias("longest_us"),
         F.sum("n").alias("n_files"),
-    )
-    agreeing = by_fs.select("station", F.col("fs").alias("sampling_f"), "n")
-    return (
-        heads.select(
-            "station",
-            F.col("first.start_us").alias("dataset_start_us"),
-            F.col("last.end_us").alias("dataset_end_us"),
-            F.col("first.fs").alias("sampling_f"),
-            F.greatest("first.d", "last.d").alias("files_duration_us"),
-            "longest_us",
-            "n_files",
-        )
-        .join(agreeing, ["station", "sampling_f"])
-        .withColumn("n_other_fs", F.col("n_files") - F.col("n"))
-        .drop("n")
+        F.sum(F.when(F.col("fs") != F.col("sampling_f"), F.col("n")).otherwise(0)).alias("n_other_fs"),
     )
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brinewave.functions.curves import unnest
 from brinewave.functions.kernels import resize_column, spectrogram_column
 from brinewave.functions.levels import clamp, power_db, to_pixel
 from brinewave.functions.timing import SECOND_US
+from brinewave.operators.rangejoin import points_in_intervals
 
 
 def hop_of(nperseg: int, overlap: float) -> int:
@@ -85,11 +87,9 @@ def long_form(
     """``(*keys, f_bin, t_bin, f, t, v)``, one row per spectrogram value."""
     _, hi = band(fs, nperseg, f_min, f_max)
     hop = hop_of(nperseg, overlap)
-    rows = spectra.select(*keys, F.posexplode("spectro").alias("_row", "_values"))
-    cells = rows.select(
-        *keys,
-        (F.lit(hi - 1) - F.col("_row")).alias("f_bin"),
-        F.posexplode("_values").alias("t_bin", "v"),
+    rows = unnest(spectra, keys, "spectro", "_row", "_values")
+    cells = unnest(rows, [*keys, "_row"], "_values", "t_bin", "v").withColumn(
+        "f_bin", F.lit(hi - 1) - F.col("_row")
     )
     return cells.select(
         *keys,
@@ -120,8 +120,6 @@ def viewport(frames: DataFrame, requests: DataFrame, f_lo: float, f_hi: float, w
     ``frames(station, frame_us, f, v)``, ``requests(request, station, center_us,
     length_us)``.
     """
-    from brinewave.operators.rangejoin import points_in_intervals
-
     half = (F.col("length_us") / 2).cast("bigint")
     windows = requests.select(
         "request",

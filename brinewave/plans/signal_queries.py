@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brinewave.functions.curves import unnest
 from brinewave.functions.levels import contrast, peak_normalise, normalise_waveform, resample_linear
 from brinewave.operators import segments as seg
 from brinewave.operators import spectral, waveform, wavelet
@@ -45,8 +46,8 @@ union all select id, 2, i::int, round(v, 6) from one_d""",
 )
 def dwt(t: Tables) -> DataFrame:
     levels = wavelet.wavelet_transform(views.waves(t.embeddings), 2)
-    each = levels.select("vec_id", F.posexplode("levels").alias("level", "a"))
-    return each.select("vec_id", "level", F.posexplode("a").alias("k", "c")).select(
+    each = unnest(levels, ["vec_id"], "levels", "level", "a")
+    return unnest(each, ["vec_id", "level"], "a", "k", "c").select(
         "vec_id", "level", "k", F.round("c", 6).alias("coef")
     )
 
@@ -65,7 +66,8 @@ from a join c on c.id = a.id and c.level = a.level and c.k = a.k group by all"""
 def scalogram(t: Tables) -> DataFrame:
     """Levels stretched to the finest length, reduced to a position-weighted sum."""
     levels = wavelet.wavelet_transform(views.waves(t.embeddings), 2)
-    rows = levels.select("vec_id", F.posexplode(wavelet.aligned_scalogram("levels", 2)).alias("level", "a"))
+    aligned = levels.withColumn("rows", wavelet.aligned_scalogram("levels", 2))
+    rows = unnest(aligned, ["vec_id"], "rows", "level", "a")
     weighted = F.aggregate(F.transform("a", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return rows.select(
         "vec_id", "level", F.round(weighted, 5).alias("weighted"), F.size("a").cast("bigint").alias("n")
@@ -82,7 +84,7 @@ select id as vec_id, level, round(s / sum(s) over (partition by id), 6) as share
 )
 def energy_share(t: Tables) -> DataFrame:
     shares = wavelet.energy_share(views.waves(t.embeddings), 2)
-    rows = shares.select("vec_id", F.posexplode("share").alias("level", "s"))
+    rows = unnest(shares, ["vec_id"], "share", "level", "s")
     return rows.select("vec_id", "level", F.round("s", 6).alias("share"))
 
 
@@ -104,7 +106,7 @@ select id as vec_id, k::int as i, trunc(y)::int as x from y""",
 def decimate(t: Tables) -> DataFrame:
     scaled = views.waves(t.embeddings).withColumn("samples", F.transform("samples", lambda x: x * 10000.0))
     rows = waveform.decimated(scaled, 2)
-    return rows.select("vec_id", F.posexplode("waveform").alias("i", "x"))
+    return unnest(rows, ["vec_id"], "waveform", "i", "x")
 
 
 def resize_sql(source: str, n_in: tuple[int, int], n_out: tuple[int, int]) -> str:
@@ -132,18 +134,18 @@ resized as (
 )
 def resize(t: Tables) -> DataFrame:
     images = spectral.resize(spectra(t), "spectro", 5, 9)
-    rows = images.select("vec_id", F.posexplode("spectro").alias("r", "a"))
-    return rows.select("vec_id", "r", F.posexplode("a").alias("c", "v")).withColumn("v", F.round("v", 4))
+    rows = unnest(images, ["vec_id"], "spectro", "r", "a")
+    return unnest(rows, ["vec_id", "r"], "a", "c", "v").withColumn("v", F.round("v", 4))
 
 
 @query(
     "q30_normalise_resample",
     with_(sql.WAVE)
     + """, pts as (
-  select id, j, j * 63 / 99.0::double as at from (select distinct id from wave), range(100) r(j)),
+  select id, j, j * 63 / 99.0::double as u from (select distinct id from wave), range(100) r(j)),
 re as (
-  select p.id, j, a.v + (at - least(floor(at), 62)) * (b.v - a.v) as v
-  from pts p join wave a on a.id = p.id and a.i = least(floor(at), 62)::int
+  select p.id, j, a.v + (u - least(floor(u), 62)) * (b.v - a.v) as v
+  from pts p join wave a on a.id = p.id and a.i = least(floor(u), 62)::int
   join wave b on b.id = p.id and b.i = a.i + 1),
 lim as (select pow(10, -35 / 20.0::double) as lo, pow(10, 140 / 20.0::double) as hi),
 cl as (
@@ -176,8 +178,8 @@ from (select *, trunc(255 * (least(greatest(v, -35), 140) + 35) / 175.0::double)
 )
 def quantise(t: Tables) -> DataFrame:
     images = spectral.pixels(spectra(t, vmin=-35.0, vmax=140.0), -35.0, 140.0)
-    rows = images.select("vec_id", F.posexplode("pixels").alias("r", "a"))
-    cells = rows.select("vec_id", "r", F.posexplode("a").alias("c", "p"))
+    rows = unnest(images, ["vec_id"], "pixels", "r", "a")
+    cells = unnest(rows, ["vec_id", "r"], "a", "c", "p")
     return cells.select(
         "vec_id",
         "r",
@@ -223,9 +225,9 @@ def offsets_of(quality: str, key: str):
     "q40_waveform_samples",
     with_(sql.WAVE)
     + """, s as (
-  select id, quality, j, a.v * 100 + (at - least(floor(at), 62)) * (b.v - a.v) * 100 as v
-  from (select doc_id, quality, j, j * 63 / 127.0::double as at from labels, range(128) r(j)) p
-  join wave a on a.id = p.doc_id and a.i = least(floor(at), 62)::int join wave b on b.id = p.doc_id and b.i = a.i + 1),
+  select p.doc_id as id, quality, j, a.v * 100 + (u - least(floor(u), 62)) * (b.v - a.v) * 100 as v
+  from (select doc_id, quality, j, j * 63 / 127.0::double as u from labels, range(128) r(j)) p
+  join wave a on a.id = p.doc_id and a.i = least(floor(u), 62)::int join wave b on b.id = p.doc_id and b.i = a.i + 1),
 lim as (select pow(10, -35 / 20.0::double) as lo, pow(10, 140 / 20.0::double) as hi),
 cl as (select *, case when abs(v) < lo then (case when v < 0 then -lo else lo end) else v end as w from s, lim),
 n as (
@@ -261,7 +263,7 @@ PIXELS_SQL = """img as (
     + """, y as (
   select doc_id as id, sum(case when quality = 1 then greatest(0, (1.2::double - abs(i - (doc_id % 100) / (100 / 12.0::double))) / 1.2::double) else 0 end) as y
   from labels, range(12) r(i) group by doc_id)
-select r.id as vec_id, round(sum(r.v), 3) as image, round(max(y.y), 6) as y from resized r join y using (id) group by r.id""",
+select r.id as vec_id, round(sum(r.v), 8) as image, round(max(y.y), 6) as y from resized r join y using (id) group by r.id""",
 )
 def spectrogram_samples(t: Tables) -> DataFrame:
     labels = t.labels.select(F.col("doc_id").alias("vec_id"), "quality")
@@ -271,7 +273,7 @@ def spectrogram_samples(t: Tables) -> DataFrame:
     total = F.aggregate(F.flatten("pixels"), F.lit(0.0), lambda s, v: s + v)
     return built.select(
         "vec_id",
-        F.round(total, 3).alias("image"),
+        F.round(total, 8).alias("image"),
         F.round(F.aggregate("y", F.lit(0.0), lambda s, v: s + v), 6).alias("y"),
     )
 
@@ -279,7 +281,7 @@ def spectrogram_samples(t: Tables) -> DataFrame:
 @query(
     "q40_classifier_samples",
     with_(sql.FRAMES, PIXELS_SQL, resize_sql("img", (7, 7), (6, 6)))
-    + """ select r.id as vec_id, round(sum(r.v), 3) as image, max(l.quality) as y
+    + """ select r.id as vec_id, round(sum(r.v), 8) as image, max(l.quality) as y
 from resized r join labels l on l.doc_id = r.id group by r.id""",
 )
 def classifier_samples(t: Tables) -> DataFrame:
@@ -288,7 +290,7 @@ def classifier_samples(t: Tables) -> DataFrame:
     images = spectral.pixels(spectra(t, vmin=-35.0, vmax=140.0), -35.0, 140.0).join(labels, "vec_id")
     built = waveform.classifier_samples(images, 6)
     total = F.aggregate(F.flatten("pixels"), F.lit(0.0), lambda s, v: s + v)
-    return built.select("vec_id", F.round(total, 3).alias("image"), "y")
+    return built.select("vec_id", F.round(total, 8).alias("image"), "y")
 
 
 PCM_SQL = """pcm as (
@@ -325,13 +327,13 @@ def wav_chunks(t: Tables) -> DataFrame:
 from embeddings group by 1""",
 )
 def wav_catalog(t: Tables) -> DataFrame:
-    return wav.station_files_summary(wav.file_catalog(views.wave_files(t.embeddings)))
+    return seg.station_summary(wav.file_catalog(views.wave_files(t.embeddings)))
 
 
 def wave_segments(t: Tables) -> DataFrame:
     """20-second tiles of the WAV archive with their samples."""
     files = views.wave_files(t.embeddings)
-    period = wav.station_files_summary(wav.file_catalog(files)).select(
+    period = seg.station_summary(wav.file_catalog(files)).select(
         "station", F.col("dataset_start_us").alias("start_us"), F.col("dataset_end_us").alias("end_us")
     )
     tiles = seg.tiles(period, 20_000_000)
@@ -384,5 +386,5 @@ select split_part(id, ':', 1) as station, split_part(id, ':', 2)::bigint as k, l
 def segment_features(t: Tables) -> DataFrame:
     """Energy share of archive segments: catalog, cut across files, transform."""
     shares = wavelet.energy_share(wave_segments(t), 2)
-    rows = shares.select("station", "k", F.posexplode("share").alias("level", "s"))
+    rows = unnest(shares, ["station", "k"], "share", "level", "s")
     return rows.select("station", "k", "level", F.round("s", 6).alias("share"))

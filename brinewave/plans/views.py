@@ -88,5 +88,5 @@ def wave_files(embeddings: DataFrame) -> DataFrame:
     return (
         embeddings.select(path.alias("path"), pcm.alias("pcm"))
         .withColumn("content", encoded("pcm", WAVE_FS))
-        .select("path", F.length("content").cast("bigint").alias("length"), "content")
+        .select("path", (F.size("pcm") * 2 + 44).cast("bigint").alias("length"), "content")
     )

@@ -127,7 +127,8 @@ def header_fields(heads: Column) -> Column:
             names=["fs", "bits", "n_samples"],
         )
 
-    return run(heads)
+    # not deterministic to the optimizer: several columns read the result of one call
+    return run.asNondeterministic()(heads)
 
 
 def file_catalog(files: DataFrame) -> DataFrame:
@@ -217,9 +218,3 @@ def encoded(samples: str, fs: int):
         return pa.array([encode_pcm16(row.as_py(), fs) for row in s], pa.binary())
 
     return run(F.col(samples))
-
-
-def station_files_summary(catalog: DataFrame) -> DataFrame:
-    from brinewave.operators.segments import station_summary
-
-    return station_summary(catalog)

@@ -16,7 +16,7 @@ from brinewave.session import get_session  # noqa: E402
 folder, part = sys.argv[1], sys.argv[2] if len(sys.argv) > 2 else ""
 spark = get_session(
     "check", "local[8]",
-    {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+    {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
 )
 spark.sparkContext.setLogLevel("ERROR")
 con = connect(folder)
