@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewave.operators.ordered import running_total_before
+from brinewave.session import cut_lineage
 
 # Clip of the cross-entropy, number of thresholds of the bucketed AUC
 CLIP = 1e-7
@@ -81,10 +82,14 @@ def auc_exact(scored: DataFrame, score: str = "score", truth: str = "truth", spa
     """Area under the ROC curve by counting ordered pairs; equal scores count half.
 
     Equal scores are reduced to one row, then negatives below each score come
-    from a running total over score spans instead of one global sort.
+    from a running total over score spans instead of one global sort. The
+    reduced table is read for the cut points and again for the totals, so it is
+    checkpointed and the scores are computed once.
     """
-    per_score = scored.groupBy(F.col(score).alias("s")).agg(
-        F.sum(F.col(truth)).alias("p"), F.sum(1 - F.col(truth)).alias("n")
+    per_score = cut_lineage(
+        scored.groupBy(F.col(score).alias("s")).agg(
+            F.sum(F.col(truth)).alias("p"), F.sum(1 - F.col(truth)).alias("n")
+        )
     )
     below = running_total_before(per_score, "s", "n", spans)
     wins = F.sum(F.col("p") * (F.col("below") + F.col("n") / F.lit(2.0)))

@@ -8,17 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.functions.curves import objective_curve
-from brinewave.functions.kernels import decimate_column
+from brinewave.functions.kernels import decimate_column, half_precision_column
 from brinewave.functions.levels import normalise_waveform, resample_linear
 from brinewave.functions.picks import label_number
 from brinewave.operators.spectral import resize
 
 
-def decimated(segments: DataFrame, factor: int = 1, column: str = "waveform") -> DataFrame:
-    """Low-passed and decimated samples as INT; factor 1 leaves the signal as it is."""
-    if factor == 1:
+def decimated(
+    segments: DataFrame,
+    factor: int = 1,
+    method: str = "iir",
+    compat: bool = False,
+    column: str = "waveform",
+) -> DataFrame:
+    """Low-passed and decimated samples as INT.
+
+    Factor 1 leaves the signal as it is; ``compat`` runs the low-pass at 0.8 of
+    Nyquist even then.
+    """
+    if factor == 1 and not compat:
         return segments.withColumn(column, F.transform("samples", lambda x: x.cast("int")))
-    return segments.withColumn(column, decimate_column(F.col("samples"), factor))
+    return segments.withColumn(column, decimate_column(F.col("samples"), factor, method))
 
 
 def waveform_size(duration_s: float, fs: float) -> int:
@@ -27,15 +37,23 @@ def waveform_size(duration_s: float, fs: float) -> int:
 
 
 def waveform_samples(
-    rows: DataFrame, size: int, duration_s: float, width_s: float = 10.0, compat: bool = False
+    rows: DataFrame,
+    size: int,
+    duration_s: float,
+    width_s: float = 10.0,
+    compat: bool = False,
+    compat_half: bool = False,
 ) -> DataFrame:
     """Cut to size, resample, normalise, and add the objective curve.
 
-    Input ``waveform`` and ``offsets``; output ``x`` and ``y`` of ``size`` points.
+    Input ``waveform`` and ``offsets``; output ``x`` and ``y`` of ``size``
+    points. ``compat_half`` rounds the curve to 16-bit floats, which makes flat
+    tops and so moves its peaks.
     """
     cut = F.slice(F.col("waveform").cast("array<double>"), 1, size)
     x = normalise_waveform(resample_linear(cut, size), compat=compat)
-    return rows.withColumn("x", x).withColumn("y", objective_curve("offsets", size, duration_s, width_s))
+    y = objective_curve("offsets", size, duration_s, width_s)
+    return rows.withColumn("x", x).withColumn("y", half_precision_column(y) if compat_half else y)
 
 
 def spectrogram_samples(

@@ -29,8 +29,7 @@ def gbt_cv(t: Tables) -> DataFrame:
     rows = fold_vectors(t, 3)
     aucs = training.cross_validate(rows, 3, trees=3, rate=training.TUNED_RATE)
     per_fold = t.spark.createDataFrame(list(enumerate(aucs)), "fold int, auc double")
-    mean = per_fold.agg(F.avg("auc").alias("mean_auc"))
-    return per_fold.join(mean)
+    return per_fold.withColumn("mean_auc", F.lit(sum(aucs) / len(aucs)))
 
 
 @query("q33_search")
@@ -38,8 +37,8 @@ def random_search(t: Tables) -> DataFrame:
     """Trial table of a seeded random search over few trees, with the best one marked."""
     rows = fold_vectors(t, 2)
     trials = training.search(rows, training.draw_trials(2, seed=0, trees=(1, 4)), 2)
-    best = training.best_trial(trials).select(F.col("trial").alias("best_trial"))
-    return trials.join(best)
+    best = training.best_trial(trials)
+    return trials.join(best.select("trial", F.lit(True).alias("is_best")), "trial", "left").na.fill(False)
 
 
 def linear_predictor():

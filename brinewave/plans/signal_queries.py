@@ -105,10 +105,17 @@ select id as vec_id, k::int as i, trunc(y)::int as x from y""",
 )
 def decimate(t: Tables) -> DataFrame:
     scaled = views.waves(t.embeddings).withColumn("samples", F.transform("samples", lambda x: x * 10000.0))
-    rows = waveform.decimated(scaled, 2)
+    rows = waveform.decimated(scaled, 2, method="fir")
     return unnest(rows, ["vec_id"], "waveform", "i", "x")
 
 
+@query("q28_decimate_iir")
+def decimate_iir(t: Tables) -> DataFrame:
+    """Recursive low-pass in both directions; a recursion over samples has no SQL form here."""
+    scaled = views.waves(t.embeddings).withColumn("samples", F.transform("samples", lambda x: x * 10000.0))
+    return unnest(waveform.decimated(scaled, 2), ["vec_id"], "waveform", "i", "x")
+
+
 def resize_sql(source: str, n_in: tuple[int, int], n_out: tuple[int, int]) -> str:
     """Bilinear weights and resampling of ``source(id, r, c, v)`` as ``resized(id, r, c, v)``."""
 

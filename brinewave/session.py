@@ -14,8 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # array payloads are wide: 24,000 samples x 8 bytes x 256 rows is about 50 MB
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # array payloads are wide: batches are bounded by size, not by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

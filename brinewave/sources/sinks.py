@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -51,17 +53,21 @@ def write_manifest_csv(manifest: DataFrame, path: str, counted: bool = True) ->
     manifest.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def write_new_features(features, wanted: DataFrame, path: str, keys: list[str], partition: list[str]) -> int:
+def write_new_features(
+    compute: Callable[[DataFrame], DataFrame],
+    wanted: DataFrame,
+    path: str,
+    keys: list[str],
+    partition: list[str],
+) -> None:
     """Compute and append only the features that are not stored yet.
 
-    ``features`` maps the missing rows of ``wanted`` to rows to store. Returns
-    the number of rows written; a second run writes none.
+    ``compute`` maps the missing rows of ``wanted`` to the rows to store, so a
+    second run over the same segments reads keys and writes nothing.
     """
     stored = read_if_exists(wanted.sparkSession, path)
     todo = wanted if stored is None else missing_only(wanted, stored, keys)
-    before = 0 if stored is None else stored.count()
-    features(todo).write.mode("append").partitionBy(*partition).parquet(path)
-    return wanted.sparkSession.read.parquet(path).count() - before
+    compute(todo).write.mode("append").partitionBy(*partition).parquet(path)
 
 
 def write_results(results: DataFrame, path: str) -> None:
