@@ -117,7 +117,9 @@ def chebyshev_response(cutoff: float, order: int = 8, ripple_db: float = 0.05) -
     size = 1 << int(np.ceil(np.log2(8000 / cutoff)))
     z = np.exp(-1j * np.pi * np.arange(size // 2 + 1) / (size // 2))
     response = gain * (1 + z) ** order / np.prod(1 - poles[:, None] * z, axis=0)
-    return np.fft.irfft(response, size)[: size // 2]
+    h = np.fft.irfft(response, size)[: size // 2]
+    alive = np.nonzero(np.abs(h) > 1e-14 * np.abs(h).max())[0]
+    return h[: alive[-1] + 1]
 
 
 def _settled(x: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -197,25 +199,20 @@ def decimate_column(samples: Column, q: int, method: str = "iir") -> Column:
     return run(samples)
 
 
-def resize_column(matrix: Column, height: int, width: int) -> Column:
-    """Bilinear resampling of ARRAY<ARRAY<DOUBLE>> to height x width."""
-
-    @arrow_udf("array<array<double>>")
-    def run(m: pa.Array) -> pa.Array:
-        inner = m.values
-        flat = inner.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-        at = inner.offsets.to_numpy()
-        outer = m.offsets.to_numpy()
-        out: list = []
-        for a, b in zip(outer[:-1], outer[1:]):
-            if a == b or at[a] == at[b]:
-                out.append(None)
-                continue
-            x = flat[at[a] : at[b]].reshape(b - a, -1)
-            out.append(bilinear_weights(len(x), height) @ x @ bilinear_weights(x.shape[1], width).T)
-        return _nested(out)
-
-    return run(matrix)
+def resize_images(m: pa.ListArray, height: int, width: int) -> pa.ListArray:
+    """Bilinear resampling of list<list<double>> images to height x width."""
+    inner = m.values
+    flat = inner.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    at = inner.offsets.to_numpy()
+    outer = m.offsets.to_numpy()
+    out: list = []
+    for a, b in zip(outer[:-1], outer[1:]):
+        if a == b or at[a] == at[b]:
+            out.append(None)
+            continue
+        x = flat[at[a] : at[b]].reshape(b - a, -1)
+        out.append(bilinear_weights(len(x), height) @ x @ bilinear_weights(x.shape[1], width).T)
+    return _nested(out)
 
 
 def half_precision_column(curve: Column) -> Column:

@@ -236,7 +236,7 @@ def file_pieces(files: DataFrame) -> DataFrame:
 def count_samples(segments: DataFrame, pieces: DataFrame, width_us: int, unit_us: int = SECOND_US) -> DataFrame:
     """Per requested segment: pieces touched and samples delivered (0 when none)."""
     keys = ["station", "seg_start_us", "seg_end_us"]
-    got = sample_pieces(segments, pieces, width_us, unit_us).groupBy(*keys).agg(
+    got = sample_pieces(segments.select(*keys).distinct(), pieces, width_us, unit_us).groupBy(*keys).agg(
         F.count("*").alias("n_pieces"), F.sum("n_taken").alias("n_samples")
     )
     return segments.join(got, keys, "left").na.fill(0, ["n_pieces", "n_samples"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.functions.curves import unnest
-from brinewave.functions.kernels import resize_column, spectrogram_column
+from brinewave.functions.kernels import resize_images, spectrogram_column
 from brinewave.functions.levels import clamp, power_db, to_pixel
 from brinewave.functions.timing import SECOND_US
 from brinewave.operators.rangejoin import points_in_intervals
@@ -109,9 +112,21 @@ def pixels(spectra: DataFrame, vmin: float, vmax: float) -> DataFrame:
 
 
 def resize(images: DataFrame, column: str, height: int, width: int) -> DataFrame:
-    """Bilinear resampling of an image column to height x width."""
-    grid = F.col(column).cast("array<array<double>>")
-    return images.withColumn(column, resize_column(grid, height, width))
+    """Bilinear resampling of an image column to height x width.
+
+    A plan node of its own (``mapInArrow``) and not an expression: images come
+    out of a kernel already, and a call on top of a call can be split wrongly
+    when filters are moved.
+    """
+    ready = images.withColumn(column, F.col(column).cast("array<array<double>>"))
+    place = ready.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            resized = resize_images(batch.column(place), height, width)
+            yield batch.set_column(place, column, resized)
+
+    return ready.mapInArrow(run, ready.schema)
 
 
 def viewport(frames: DataFrame, requests: DataFrame, f_lo: float, f_hi: float, width_us: int) -> DataFrame:

@@ -26,15 +26,16 @@ def archive_rate(chunks: DataFrame) -> int:
     return rates[0]
 
 
-def archive_summary(chunks: DataFrame) -> DataFrame:
-    """Station summary straight from the waveform table, without its samples."""
-    files = chunks.select(
+def archive_files(chunks: DataFrame) -> DataFrame:
+    """``(station, start_us, end_us, fs, n_samples)`` per file, without reading any samples."""
+    end = seg.samples_end(F.col("file_start_us"), F.col("file_samples"), F.col("fs"))
+    return chunks.select(
         "station",
         F.col("file_start_us").alias("start_us"),
-        seg.samples_end(F.col("file_start_us"), F.col("file_samples"), F.col("fs")).alias("end_us"),
+        end.alias("end_us"),
         "fs",
+        F.col("file_samples").alias("n_samples"),
     ).distinct()
-    return seg.station_summary(files)
 
 
 def labelled_test_tiles(annotations: DataFrame, stations: DataFrame, half_us: int = HALF_US) -> DataFrame:
@@ -99,8 +100,13 @@ def build(
     and ``picks``.
     """
     spark = manifest.sparkSession
-    checked = seg.check_coverage(manifest, archive_summary(chunks))
-    served = checked.where("reason IS NULL").drop("reason")
+    files = archive_files(chunks)
+    checked = seg.check_coverage(manifest, seg.station_summary(files))
+    counted = seg.count_samples(checked, seg.file_pieces(files), 2 * half_us)
+    counted = counted.withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("n_samples") == 0, "no samples"))
+    )
+    served = counted.where("reason IS NULL")
     rate = archive_rate(chunks)
     wanted = served.select("path", "station", "label", "seg_start_us", "seg_end_us")
 
@@ -108,8 +114,12 @@ def build(
         return segment_features(todo, chunks, feature, rate, 2 * half_us, **options)
 
     sinks.write_new_features(compute, wanted, f"{out}/features", ["path"], ["station"])
-    sinks.write_manifest(served.select("path", "station", "label", "picks"), f"{out}/manifest")
-    checked.where("reason IS NOT NULL").select("path", "station", "reason").write.mode(
+    expected = (F.col("seg_end_us") - F.col("seg_start_us")) * F.lit(rate / SECOND_US)
+    coverage = (F.col("n_samples") / expected).alias("coverage")
+    sinks.write_manifest(
+        served.select("path", "station", "label", "picks", coverage), f"{out}/manifest"
+    )
+    counted.where("reason IS NOT NULL").select("path", "station", "reason").write.mode(
         "overwrite"
     ).parquet(f"{out}/rejected")
     return {name: spark.read.parquet(f"{out}/{name}") for name in ("features", "manifest", "rejected")}

@@ -89,7 +89,7 @@ def discover_stations(files: DataFrame, root: str, max_depth: int = MAX_DEPTH) -
     """
     base = root.rstrip("/")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    relative = F.regexp_extract("folder", F.lit(rf"^.*?\Q{base}\E/?(.*)$"), 1)
+    relative = F.regexp_extract("folder", rf"^.*?\Q{base}\E/?(.*)$", 1)
     found = (
         files.select(folder.alias("folder"))
         .distinct()
