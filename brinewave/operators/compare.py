@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,9 @@ def missed_by_all(results: DataFrame, n_models: int, **kw) -> DataFrame:
 def roc_report(points: DataFrame, models: list[str], rate: str = "tpr") -> DataFrame:
     """One column per model, one row per (dataset, quorum, threshold)."""
     return points.groupBy("dataset", "min_annot", "thr").pivot("model", models).agg(F.first(rate))
+
+
+def union_datasets(named: dict[str, DataFrame]) -> DataFrame:
+    """Bag union of manifests or results with the name of the data set each row came from."""
+    tagged = [df.withColumn("dataset", F.lit(name)) for name, df in named.items()]
+    return reduce(DataFrame.unionByName, tagged)

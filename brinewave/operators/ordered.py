@@ -33,15 +33,17 @@ def number_and_next(
     df: DataFrame,
     keys: list[str],
     at_us: str,
-    ties: list[str] | None = None,
     span_us: int = DAY_US,
     ordinal: str = "ordinal",
     following: str = "next_us",
 ) -> DataFrame:
-    """Zero-based position of a row within its key in time order, and the next row's time."""
+    """Zero-based position of a row within its key in time order, and the next row's time.
+
+    Times are distinct within a key (collapse copies first), so a window holds
+    no more rows than a span has instants.
+    """
     cut = df.withColumn("_span", floor_div(at_us, span_us))
-    order = [at_us, *(ties or [])]
-    inside = Window.partitionBy(*keys, "_span").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_span").orderBy(at_us)
     numbered = cut.withColumn("_rn", F.row_number().over(inside)).withColumn(
         "_next", F.lead(at_us).over(inside)
     )

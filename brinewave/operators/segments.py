@@ -9,6 +9,7 @@ from brinewave.functions.hashing import center_shift_us
 from brinewave.functions.timing import (
     EPSILON_US,
     SECOND_US,
+    around,
     ceil_div,
     format_stamp,
     one_decimal,
@@ -144,6 +145,12 @@ def anchor_context(anchors: DataFrame, events: DataFrame, half_us: int) -> DataF
     )
 
 
+def requested_segments(events: DataFrame) -> DataFrame:
+    """Windows of named events: ``duration_s`` around their center."""
+    start, end = around("center_us", F.col("duration_s") * SECOND_US)
+    return events.withColumn("seg_start_us", start).withColumn("seg_end_us", end)
+
+
 def check_coverage(segments: DataFrame, summary: DataFrame) -> DataFrame:
     """Segments with the reason for which they cannot be served (null when they can)."""
     bounds = summary.select("station", "dataset_start_us", "dataset_end_us")
@@ -265,8 +272,8 @@ def manifest_path(root: str, label: str, station: str, center_us: str, extension
 
 
 def missing_only(wanted: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose output does not exist yet."""
-    return wanted.join(existing.select(*keys), keys, "left_anti")
+    """Rows whose output does not exist yet (keys are reduced before they are shuffled)."""
+    return wanted.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def chunk_pieces(chunks: DataFrame) -> DataFrame:

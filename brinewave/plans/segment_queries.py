@@ -21,8 +21,10 @@ from brinewave.functions.timing import (
     to_us,
 )
 from brinewave.operators import segments as seg
+from brinewave.operators.compare import union_datasets
+from brinewave.operators.folds import seeded_sample
 from brinewave.operators.rangejoin import points_in_intervals
-from brinewave.plans import sql, views
+from brinewave.plans import dataset_build, sql, views
 from brinewave.plans.registry import Tables, query
 from brinewave.sources.tables import choose_events, manifest_line, parse_manifest
 
@@ -264,6 +266,60 @@ def objective_curves(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "q24_union_examples",
+    with_(sql.EV, sql.STATIONS, sql.TILES, sql.PLACED, sql.PICKS)
+    + f"""select case when station % 2 = 0 then 'even' else 'odd' end as dataset, station, k, {sql.stamp('max(center_us)')} as center, count(*) as n_offsets
+from tiles join picks using (station, k) group by station, k having bool_and(n_annotators = 1)
+order by md5('5:' || station || '/' || k), station || '/' || k limit 9""",
+)
+def union_examples(t: Tables) -> DataFrame:
+    """Nine positive tiles of two data sets whose picks were all made by one annotator."""
+    rows = labelled_tiles(t).where("label = 'positive'")
+    both = union_datasets({"even": rows.where("station % 2 = 0"), "odd": rows.where("station % 2 = 1")})
+    single = both.where(all_counts_equal(F.col("picks"), 1)).select(
+        "dataset",
+        "station",
+        "k",
+        format_stamp("center_us").alias("center"),
+        F.size("picks").cast("bigint").alias("n_offsets"),
+        F.concat_ws("/", F.col("station").cast("string"), F.col("k").cast("string")).alias("id"),
+    )
+    return seeded_sample(single, "id", 9, seed=5).drop("id")
+
+
+@query(
+    "q46_training_manifest",
+    with_(sql.EV)
+    + f""", a as (
+  select *, at_us + trunc(((('0x' || substr(md5('0:' || event_id), 1, 8))::bigint / 4294967296.0::double) - 0.5::double)
+                          * (1.9::double * 21600000000))::bigint as center_us
+  from ev where class = 'purchase'),
+c as (
+  select a.event_id, p.at_us - a.at_us as gap, p.at_us - a.center_us as o, floor((p.at_us - a.center_us) / 1e5)::bigint as q
+  from a join ev p on p.class = 'purchase' and a.station = p.station and abs(p.at_us - a.center_us) <= 21600000000),
+l as (
+  select event_id, case when gap = 0 then 0 when gap < 0 then 1 else 2 end as side, min(abs(gap)) as gap,
+         (case when o - q * 100000 > 50000 or (o - q * 100000 = 50000 and q % 2 <> 0) then q + 1 else q end) / 10.0::double as offset_s
+  from c group by all),
+g as (select event_id, string_agg(offset_s::varchar, ',' order by side, gap, offset_s) as picks from l group by event_id)
+select a.event_id, 'out/positives/' || a.station || '/' || {sql.stamp('a.at_us')} || '.png,positive,' || g.picks as line,
+       a.center_us - 21600000000 as seg_start_us
+from a join g using (event_id)
+union all
+select event_id, 'out/negatives/' || station || '/' || {sql.stamp('at_us')} || '.png,negative', at_us - 21600000000
+from ev where class = 'signup'""",
+)
+def training_manifest(t: Tables) -> DataFrame:
+    """Manifest lines of shifted windows around purchases and of plain windows around signups."""
+    label = F.when(F.col("class") == "purchase", "positive").otherwise("negative")
+    marks = views.annotations(t.events).where("class in ('purchase', 'signup')").withColumn("label", label)
+    segments = dataset_build.training_segments(marks, 6 * HOUR_US)
+    rows = dataset_build.training_manifest(segments, "out", "png")
+    line = manifest_line(F.col("path"), F.col("label"), F.col("picks"), counted=False)
+    return rows.select("event_id", line.alias("line"), "seg_start_us")
+
+
 @query(
     "q37_incremental_build",
     with_(sql.EV, sql.STATIONS, sql.TILES)
@@ -299,7 +355,7 @@ CHOSEN = ["NATION_4", "NATION_1", "NATION_12", "NATION_7", "NATION_3", "NATION_1
          1704067200000000 + (n_nationkey + 5) * 86400000000 as center_us
   from nation join region on n_regionkey = r_regionkey
   where n_name in ('NATION_4', 'NATION_1', 'NATION_12', 'NATION_7', 'NATION_3', 'NATION_14'))
-select pos::int as pos, name, dataset, p.station::bigint as station, center_us, count(e.event_id) as n_events,
+select pos::bigint as pos, name, dataset, p.station::bigint as station, center_us, count(e.event_id) as n_events,
        min(e.at_us) as first_us
 from picked p left join ev e on e.station = p.station
   and e.at_us >= center_us - 432000000000 and e.at_us <= center_us + 432000000000

@@ -9,6 +9,7 @@ from brinewave.functions.curves import unnest
 from brinewave.functions.levels import contrast, peak_normalise, normalise_waveform, resample_linear
 from brinewave.operators import segments as seg
 from brinewave.operators import spectral, waveform, wavelet
+from brinewave.operators.archive import archive_frames
 from brinewave.plans import sql, views
 from brinewave.plans.registry import Tables, query
 from brinewave.sources import wav
@@ -160,7 +161,7 @@ cl as (
     when abs(v) > hi then (case when v < 0 then -hi else hi end) else v end as v, lo, hi from re, lim),
 nrm as (select id, j, case when v > 0 then (v - lo) / hi when v < 0 then (v + lo) / hi else v end as v from cl),
 pk as (select id, max(abs(v)) as m from wave group by id)
-select n.id as vec_id, round(sum(n.v * (j + 1)) * 1e6, 6) as normalised, max(q.s) as pcm
+select n.id as vec_id, round(sum(n.v * (j + 1)) * 1e6, 6) as normalised, max(q.s)::bigint as pcm
 from nrm n join (select id, sum(trunc(32767 * v / m)::int * (i + 1)) as s from wave join pk using (id) group by id) q using (id)
 group by n.id""",
 )
@@ -395,3 +396,17 @@ def segment_features(t: Tables) -> DataFrame:
     shares = wavelet.energy_share(wave_segments(t), 2)
     rows = unnest(shares, ["station", "k"], "share", "level", "s")
     return rows.select("station", "k", "level", F.round("s", 6).alias("share"))
+
+
+@query(
+    "q44_archive_frames",
+    with_(PCM_SQL, "wave as (select vec_id as id, i, x::double as v from pcm)", sql.SPECTRUM)
+    + """select 'S' || (id // 100) as station, 1704067200000000 + id * 8000000 + (1 + t_bin) * 1000000 as frame_us, f_bin::int as f_bin,
+       f_bin * 0.5::double as f, round(v, 4) as v
+from db""",
+)
+def archive_spectrogram(t: Tables) -> DataFrame:
+    """Archive-wide spectrogram over chunks of two seconds, frames reaching into the next chunk."""
+    chunks = wav.decode_chunks(views.wave_files(t.embeddings), chunk_s=2)
+    frames = archive_frames(chunks, views.WAVE_FS, NPERSEG, 8)
+    return frames.withColumn("v", F.round("v", 4))

@@ -14,9 +14,10 @@ STATIONS = """stations as (
   from events group by 1)"""
 
 FILES = """starts as (
-  select *, case when k >= 90 then 120 else 60 end as fs,
-         lead(at_us) over w as next_us, row_number() over w - 1 as ordinal
-  from ev where class = 'view' window w as (partition by station order by at_us, event_id)),
+  select *, lead(at_us) over w as next_us, row_number() over w - 1 as ordinal
+  from (select station, at_us, case when max(k) >= 90 then 120 else 60 end as fs
+        from ev where class = 'view' group by station, at_us)
+  window w as (partition by station order by at_us)),
 files as (
   select station, ordinal, at_us as start_us, next_us, fs, n_samples,
          at_us + n_samples * 3600000000 // fs as end_us
@@ -85,10 +86,7 @@ WAVE = """wave as (
   from embeddings)"""
 
 # 16-point frames, hop 8, of 64-point signals sampled at 8 Hz
-FRAMES = (
-    WAVE
-    + """,
-framed as (
+SPECTRUM = """framed as (
   select w.id, f.t as t_bin, w.i - 8 * f.t as j, w.v
   from wave w join (select unnest(range(7)) as t) f on w.i >= 8 * f.t and w.i < 8 * f.t + 16),
 centered as (
@@ -103,7 +101,8 @@ spectrum as (
          (case when f_bin in (0, 8) then 1 else 2 end) * (pow(re, 2) + pow(im, 2)) / (8 * w2) as power
   from dft, norm),
 db as (select id, t_bin, f_bin, 10 * log10(power + 1e-20) as v from spectrum)"""
-)
+
+FRAMES = WAVE + ",\n" + SPECTRUM
 
 _LOW = (
     "[0, .03314563036811942, -.06629126073623884, -.17677669529663689, .4198446513295126,"

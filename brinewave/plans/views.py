@@ -44,12 +44,14 @@ def stations(events: DataFrame) -> DataFrame:
 def files(events: DataFrame) -> DataFrame:
     """``(station, ordinal, start_us, end_us, next_us, fs, n_samples)``; fs is per hour.
 
-    A file holds the whole samples up to the next file; empty files are dropped.
+    A file is named by its start, so equal starts of a station are one file. It
+    holds the whole samples up to the next file; empty files are dropped.
     """
-    starts = annotations(events.where("event_type = 'view'")).withColumn(
-        "fs", F.when(F.col("k") >= 90, 120).otherwise(60)
+    views = annotations(events.where("event_type = 'view'"))
+    starts = views.groupBy("station", "at_us").agg(
+        F.when(F.max("k") >= 90, 120).otherwise(60).alias("fs")
     )
-    numbered = number_and_next(starts, ["station"], "at_us", ["event_id"])
+    numbered = number_and_next(starts, ["station"], "at_us")
     n = floor_div((F.col("next_us") - F.col("at_us")) * F.col("fs"), HOUR_US)
     return (
         numbered.where("next_us IS NOT NULL")

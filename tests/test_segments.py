@@ -69,16 +69,14 @@ def test_labels_collapse_equal_picks(spark):
 
 def test_number_and_next_equals_a_plain_window(spark):
     rng = random.Random(1)
-    rows = [(rng.choice("AAAB"), rng.randrange(5000), i) for i in range(400)]
-    df = spark.createDataFrame(rows, "station string, at bigint, id int")
-    got = {
-        r.id: (r.ordinal, r.next_us)
-        for r in ordered.number_and_next(df, ["station"], "at", ["id"], span_us=37).collect()
-    }
+    rows = sorted({(rng.choice("AAAB"), rng.randrange(-500, 5000)) for _ in range(400)})
+    df = spark.createDataFrame(rows, "station string, at bigint").repartition(3)
+    numbered = ordered.number_and_next(df, ["station"], "at", span_us=37).collect()
+    got = {(r.station, r["at"]): (r.ordinal, r.next_us) for r in numbered}
     for st in "AB":
-        mine = sorted((a, i) for s, a, i in rows if s == st)
-        for pos, (_, i) in enumerate(mine):
-            assert got[i] == (pos, mine[pos + 1][0] if pos + 1 < len(mine) else None)
+        mine = [a for s, a in rows if s == st]
+        for pos, a in enumerate(mine):
+            assert got[(st, a)] == (pos, mine[pos + 1] if pos + 1 < len(mine) else None)
 
 
 def test_shuffled_rank_is_a_permutation_and_repeatable(spark):
