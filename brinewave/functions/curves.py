@@ -11,27 +11,23 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brinewave.functions.kernels import peaks_column, triangle_column
 from brinewave.functions.timing import col
 
 PEAKS = "array<struct<i:int,h:double>>"
 
 
 def objective_curve(
-    offsets: str | Column, n: int, duration_s: float, width_s: float
+    offsets: str | Column, n: int, duration_s: float, width_s: float, compat_half: bool = False
 ) -> Column:
-    """Triangles of half width ``width_s`` around offsets given from the segment center."""
+    """Triangles of half width ``width_s`` around offsets given from the segment center.
+
+    Zero everywhere without an offset. ``compat_half`` rounds to 16-bit floats,
+    which makes flat tops and so moves the peaks of the curve.
+    """
     step = duration_s / n
-    w = width_s / step
     at = F.transform(col(offsets), lambda o: (F.lit(duration_s / 2) + o) / F.lit(step))
-
-    def value(i: Column) -> Column:
-        nearest = F.array_min(F.transform(at, lambda e: F.abs(i - e)))
-        return F.greatest(F.lit(0.0), (F.lit(w) - nearest) / F.lit(w))
-
-    steps = F.sequence(F.lit(0), F.lit(n - 1))
-    return F.when(F.size(at) > 0, F.transform(steps, value)).otherwise(
-        F.array_repeat(F.lit(0.0), n)
-    )
+    return triangle_column(at, n, width_s / step, compat_half)
 
 
 def local_maxima(curve: str | Column) -> Column:
@@ -87,8 +83,14 @@ def suppress_close(peaks: Column, distance: float) -> Column:
 
 
 def find_peaks(curve: str | Column, height: float, distance: float | None = None) -> Column:
-    peaks = at_least(local_maxima(curve), height)
-    return peaks if distance is None else suppress_close(peaks, distance)
+    """Peaks of at least ``height`` and ``ceil(distance)`` steps apart, as ``array<struct<i,h>>``.
+
+    Same result as ``suppress_close(at_least(local_maxima(...)))``. Those
+    expressions append to arrays, which is quick for curves of a few hundred
+    steps and quadratic in the number of peaks beyond; this kernel is not.
+    """
+    gap = None if distance is None else math.ceil(distance)
+    return peaks_column(col(curve).cast("array<double>"), height, gap)
 
 
 def peak_seconds(peaks: Column, step_s: float) -> Column:

@@ -168,6 +168,18 @@ def bilinear_weights(n_in: int, n_out: int) -> np.ndarray:
     return weights
 
 
+def decibel_rows(
+    power: np.ndarray, lo: int, hi: int, apply_log: bool, vmin: float | None, vmax: float | None
+) -> np.ndarray:
+    """(rows, frames, bins) power -> (rows, band bins from high to low, frames) values."""
+    v = power[:, :, lo:hi].transpose(0, 2, 1)[:, ::-1]
+    if apply_log:
+        v = 10 * np.log10(v + 1e-20)
+    if v.size and not (vmin is None and vmax is None):
+        v = np.clip(v, vmin, vmax)
+    return v
+
+
 def spectrogram_column(samples: Column, fs: float, nperseg: int, hop: int) -> Column:
     """ARRAY<ARRAY<DOUBLE>>: power per frame, then per frequency bin."""
 
@@ -178,6 +190,25 @@ def spectrogram_column(samples: Column, fs: float, nperseg: int, hop: int) -> Co
     return run(samples)
 
 
+def image_column(
+    samples: Column, fs: float, nperseg: int, hop: int, band: tuple[int, int],
+    apply_log: bool = True, vmin: float | None = None, vmax: float | None = None,
+) -> Column:
+    """ARRAY<ARRAY<DOUBLE>>: one row per frequency of the band (descending), over time.
+
+    A bound that is missing is the segment's own extreme, which clips nothing.
+    """
+
+    @arrow_udf("array<array<double>>")
+    def run(s: pa.Array) -> pa.Array:
+        def work(x: np.ndarray) -> np.ndarray:
+            return decibel_rows(power_frames(x, fs, nperseg, hop), *band, apply_log, vmin, vmax)
+
+        return _nested(_by_length(_rows(s), work))
+
+    return run(samples)
+
+
 def wavelet_column(samples: Column, n_levels: int) -> Column:
     """ARRAY<ARRAY<DOUBLE>> of n_levels + 1 arrays, coarsest first."""
 
@@ -188,6 +219,23 @@ def wavelet_column(samples: Column, n_levels: int) -> Column:
     return run(samples)
 
 
+def level_means_column(samples: Column, n_levels: int) -> Column:
+    """ARRAY<DOUBLE>: mean magnitude of the first n_levels arrays, coarsest first.
+
+    Only the means go back to the JVM, not the coefficients.
+    """
+
+    @arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
+        def work(x: np.ndarray) -> np.ndarray:
+            parts = wavelet_levels(x, n_levels)[:n_levels]
+            return np.column_stack([np.abs(p).mean(axis=1) for p in parts])
+
+        return _lists(_by_length(_rows(s), work), pa.float64())
+
+    return run(samples)
+
+
 def decimate_column(samples: Column, q: int, method: str = "iir") -> Column:
     """ARRAY<INT>: low-passed, decimated, truncated toward zero."""
 
@@ -215,11 +263,100 @@ def resize_images(m: pa.ListArray, height: int, width: int) -> pa.ListArray:
     return _nested(out)
 
 
-def half_precision_column(curve: Column) -> Column:
-    """ARRAY<FLOAT> rounded to 16-bit floats."""
+def resample_rows(x: np.ndarray, n: int) -> np.ndarray:
+    """Linear interpolation of each row onto n points from its first to its last sample."""
+    at = np.linspace(0, x.shape[1] - 1, n)
+    left = np.minimum(at.astype(int), x.shape[1] - 2)
+    return x[:, left] + (at - left) * (x[:, left + 1] - x[:, left])
+
+
+def normalise_rows(x: np.ndarray, vmin: float, vmax: float, compat: bool = False) -> np.ndarray:
+    """Amplitudes brought into [-1, 1]; ``compat`` drops the sign of clipped values."""
+    sign = 1.0 if compat else np.where(x < 0, -1.0, 1.0)
+    size = np.abs(x)
+    x = np.where(size < vmin, sign * vmin, np.where(size > vmax, sign * vmax, x))
+    return (x - np.sign(x) * vmin) / vmax
+
+
+def waveform_column(
+    samples: Column, n: int, vmin: float, vmax: float, compat: bool = False
+) -> Column:
+    """ARRAY<DOUBLE>: resampled to n points and normalised; null below two samples."""
+
+    @arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
+        rows = [r if r is not None and len(r) > 1 else None for r in _rows(s)]
+        work = lambda x: normalise_rows(resample_rows(x, n), vmin, vmax, compat)
+        return _lists(_by_length(rows, work), pa.float64())
+
+    return run(samples)
+
 
-    @arrow_udf("array<float>")
+def triangles(at: np.ndarray, n: int, width: float) -> np.ndarray:
+    """Triangles of half width ``width`` steps around positions, over steps 0..n-1."""
+    if not len(at):
+        return np.zeros(n)
+    at = np.sort(at)
+    step = np.arange(n)
+    after = np.searchsorted(at, step)
+    to_next = at[np.minimum(after, len(at) - 1)] - step
+    to_last = step - at[np.maximum(after - 1, 0)]
+    return np.maximum(0.0, (width - np.minimum(np.abs(to_next), np.abs(to_last))) / width)
+
+
+def triangle_column(positions: Column, n: int, width: float, half: bool = False) -> Column:
+    """ARRAY<DOUBLE> of n steps; ``half`` rounds the values to 16-bit floats."""
+
+    @arrow_udf("array<double>")
+    def run(p: pa.Array) -> pa.Array:
+        rows = [None if r is None else triangles(r, n, width) for r in _rows(p)]
+        if half:
+            rows = [None if r is None else r.astype(np.float16) for r in rows]
+        return _lists(rows, pa.float64())
+
+    return run(positions)
+
+
+def peak_indices(v: np.ndarray, height: float, gap: int | None) -> np.ndarray:
+    """Local maxima of at least ``height``, at least ``gap`` steps apart, highest kept."""
+    if len(v) < 3:
+        return np.empty(0, dtype=int)
+    start = np.flatnonzero(np.diff(v, prepend=np.nan) != 0)
+    stop = np.append(start[1:], len(v)) - 1
+    run = v[start]
+    inner = np.arange(1, len(run) - 1)
+    top = inner[(run[inner] > run[inner - 1]) & (run[inner] > run[inner + 1]) & (run[inner] >= height)]
+    at = (start[top] + stop[top]) // 2
+    if gap is None or not len(at):
+        return at
+    keep = np.zeros(len(at), dtype=bool)
+    open_ = np.ones(len(at), dtype=bool)
+    low, high = np.searchsorted(at, at - gap, side="right"), np.searchsorted(at, at + gap)
+    for j in np.lexsort((at, v[at]))[::-1]:
+        if open_[j]:
+            keep[j] = True
+            open_[low[j] : high[j]] = False
+    return at[keep]
+
+
+def peaks_column(curve: Column, height: float, gap: int | None) -> Column:
+    """ARRAY<STRUCT<i, h>> of the peaks of a curve of any length."""
+
+    @arrow_udf("array<struct<i:int,h:double>>")
     def run(c: pa.Array) -> pa.Array:
-        return _lists([None if r is None else r.astype(np.float16) for r in _rows(c)], pa.float32())
+        rows = _rows(c)
+        found = [np.empty(0, dtype=int) if r is None else peak_indices(r, height, gap) for r in rows]
+        heights = [r[f] for r, f in zip(rows, found) if len(f)]
+        at = np.concatenate(found) if found else np.empty(0)
+        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+        items = pa.StructArray.from_arrays(
+            [
+                pa.array(at.astype(np.int32)),
+                pa.array(np.concatenate(heights) if heights else np.empty(0)),
+            ],
+            names=["i", "h"],
+        )
+        mask = pa.array([r is None for r in rows]) if any(r is None for r in rows) else None
+        return pa.ListArray.from_arrays(pa.array(offsets), items, mask=mask)
 
     return run(curve)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brinewave.functions.kernels import waveform_column
 from brinewave.functions.timing import col
 
 # Display range of the stored pixels in dB, and the contrast floor
@@ -49,28 +50,19 @@ def contrast(unit: str | Column) -> Column:
     return lifted / F.lit(255.0 - CONTRAST_FLOOR)
 
 
-def normalise_sample(
-    x: Column,
+def resample_and_normalise(
+    samples: str | Column,
+    n: int,
     vmin: float = AMPLITUDE_MIN,
     vmax: float = AMPLITUDE_MAX,
     compat: bool = False,
 ) -> Column:
-    """Bring one sample into [-1, 1]. ``compat`` drops the sign of clipped values."""
-    sign = F.lit(1.0) if compat else F.when(x < 0, -1.0).otherwise(1.0)
-    clipped = (
-        F.when(F.abs(x) < vmin, sign * F.lit(vmin))
-        .when(F.abs(x) > vmax, sign * F.lit(vmax))
-        .otherwise(x)
-    )
-    return (
-        F.when(clipped > 0, (clipped - F.lit(vmin)) / F.lit(vmax))
-        .when(clipped < 0, (clipped + F.lit(vmin)) / F.lit(vmax))
-        .otherwise(clipped)
-    )
-
+    """Linear interpolation onto n points, then amplitudes within [-1, 1].
 
-def normalise_waveform(samples: str | Column, **kw) -> Column:
-    return F.transform(col(samples), lambda x: normalise_sample(x, **kw))
+    Values below ``vmin`` become 0 and values above ``vmax`` about 1; ``compat``
+    drops their sign. Arrays shorter than two samples give null.
+    """
+    return waveform_column(col(samples).cast("array<double>"), n, vmin, vmax, compat)
 
 
 def peak_normalise(samples: str | Column) -> Column:
@@ -82,23 +74,6 @@ def peak_normalise(samples: str | Column) -> Column:
     )
 
 
-def resample_linear(samples: str | Column, n: int) -> Column:
-    """Linear interpolation onto n points from the first to the last sample.
-
-    Arrays shorter than two samples have nothing to interpolate and give null.
-    """
-    x = col(samples)
-    last = F.size(x) - 1
-
-    def point(i: Column) -> Column:
-        at = i * last / F.lit(float(max(n - 1, 1)))
-        left = F.least(F.floor(at), last - 1).cast("int")
-        a, b = F.get(x, left), F.get(x, left + 1)
-        return a + (at - left) * (b - a)
-
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point))
-
-
 def next_power_of_two(x: int | Column) -> Column:
     x = x if isinstance(x, Column) else F.lit(x)
     return F.pow(F.lit(2.0), F.ceil(F.log2(x))).cast("bigint")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.functions.curves import unnest
-from brinewave.functions.kernels import resize_images, spectrogram_column
-from brinewave.functions.levels import clamp, power_db, to_pixel
+from brinewave.functions.kernels import image_column, resize_images
+from brinewave.functions.levels import to_pixel
 from brinewave.functions.timing import SECOND_US
 from brinewave.operators.rangejoin import points_in_intervals
 
@@ -50,33 +50,20 @@ def spectrogram(
 ) -> DataFrame:
     """Add ``spectro``: ARRAY of frequency rows (descending), each an ARRAY over time.
 
-    The FFT runs in Arrow batches; the cut to the band, dB, clamp and flip are
-    JVM expressions on the result. Bounds that are not given are the smallest
-    and largest value of the segment itself. Frames start at the segment's
-    first sample.
+    Bounds that are not given are the smallest and largest value of the segment
+    itself. Frames start at the segment's first sample.
     """
-    lo, hi = band(fs, nperseg, f_min, f_max)
-    power = spectrogram_column(F.col("samples"), fs, nperseg, hop_of(nperseg, overlap))
-    level = power_db if apply_log else (lambda v: v)
-    rows = F.reverse(
-        F.transform(
-            F.sequence(F.lit(lo), F.lit(hi - 1)) if hi > lo else F.array().cast("array<int>"),
-            lambda b: F.transform(F.col("_power"), lambda frame: level(F.get(frame, b))),
-        )
+    image = image_column(
+        F.col("samples"),
+        fs,
+        nperseg,
+        hop_of(nperseg, overlap),
+        band(fs, nperseg, f_min, f_max),
+        apply_log,
+        vmin,
+        vmax,
     )
-    limited = segments.withColumn("_power", power).withColumn("_rows", rows)
-    flat = F.flatten(F.col("_rows"))
-    low = F.array_min(flat) if vmin is None else F.lit(float(vmin))
-    high = F.array_max(flat) if vmax is None else F.lit(float(vmax))
-    if vmin is None and vmax is None:
-        clamped: Column = F.col("_rows")
-    else:
-        limited = limited.withColumn("_low", low).withColumn("_high", high)
-        clamped = F.transform(
-            F.col("_rows"),
-            lambda r: F.transform(r, lambda v: clamp(v, F.col("_low"), F.col("_high"))),
-        )
-    return limited.withColumn("spectro", clamped).drop("_power", "_rows", "_low", "_high")
+    return segments.withColumn("spectro", image)
 
 
 def frequencies(fs: float, nperseg: int, lo: int, hi: int) -> list[float]:

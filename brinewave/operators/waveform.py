@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.functions.curves import objective_curve
-from brinewave.functions.kernels import decimate_column, half_precision_column
-from brinewave.functions.levels import normalise_waveform, resample_linear
+from brinewave.functions.kernels import decimate_column
+from brinewave.functions.levels import resample_and_normalise
 from brinewave.functions.picks import label_number
 from brinewave.operators.spectral import resize
 
@@ -50,10 +50,10 @@ def waveform_samples(
     points. ``compat_half`` rounds the curve to 16-bit floats, which makes flat
     tops and so moves its peaks.
     """
-    cut = F.slice(F.col("waveform").cast("array<double>"), 1, size)
-    x = normalise_waveform(resample_linear(cut, size), compat=compat)
-    y = objective_curve("offsets", size, duration_s, width_s)
-    return rows.withColumn("x", x).withColumn("y", half_precision_column(y) if compat_half else y)
+    cut = F.slice("waveform", 1, size)
+    return rows.withColumn("x", resample_and_normalise(cut, size, compat=compat)).withColumn(
+        "y", objective_curve("offsets", size, duration_s, width_s, compat_half)
+    )
 
 
 def spectrogram_samples(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.functions.kernels import wavelet_column
+from brinewave.functions.kernels import level_means_column, wavelet_column
 from brinewave.functions.levels import clamp_coefficients, coefficient_db
 
 
@@ -37,12 +37,10 @@ def energy_share(segments: DataFrame, n_levels: int = 8) -> DataFrame:
 
     The finest detail is left out. A silent segment has no shares (null).
     """
-    levels = F.slice(wavelet_column(F.col("samples"), n_levels), 1, n_levels)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    means = F.transform(levels, lambda a: total(F.transform(a, F.abs)) / F.size(a))
+    out = segments.withColumn("_m", level_means_column(F.col("samples"), n_levels))
+    total = F.aggregate("_m", F.lit(0.0), lambda s, x: s + x)
     return (
-        segments.withColumn("_m", means)
-        .withColumn("_t", total(F.col("_m")))
+        out.withColumn("_t", total)
         .withColumn("share", F.when(F.col("_t") > 0, F.transform("_m", lambda m: m / F.col("_t"))))
         .drop("_m", "_t")
     )

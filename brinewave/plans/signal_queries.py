@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.functions.curves import unnest
-from brinewave.functions.levels import contrast, peak_normalise, normalise_waveform, resample_linear
+from brinewave.functions.levels import contrast, peak_normalise, resample_and_normalise
 from brinewave.operators import segments as seg
 from brinewave.operators import spectral, waveform, wavelet
 from brinewave.operators.archive import archive_frames
@@ -167,10 +167,9 @@ group by n.id""",
 )
 def normalise_resample(t: Tables) -> DataFrame:
     """Resampled and normalised waveform, and 16-bit values, as position-weighted sums."""
-    x = normalise_waveform(resample_linear("samples", 100))
-    weighted = F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    weighted = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
     pcm = F.transform(peak_normalise("samples"), lambda v, i: v.cast("bigint") * (i + 1))
-    return views.waves(t.embeddings).select(
+    return views.waves(t.embeddings).withColumn("x", resample_and_normalise("samples", 100)).select(
         "vec_id",
         F.round(weighted * 1e6, 6).alias("normalised"),
         F.aggregate(pcm, F.lit(0).cast("bigint"), lambda s, v: s + v).alias("pcm"),

@@ -47,15 +47,17 @@ def test_maxima_on_hand_made_curves(spark):
     }
     got = run(spark, [list(c) for c in cases], curves.local_maxima("v"))
     assert [[i for i, _ in g] for g in got] == list(cases.values())
+    assert run(spark, [list(c) for c in cases], curves.find_peaks("v", 0.0)) == got
 
 
 def test_peaks_against_a_plain_loop(spark):
     rng = random.Random(4)
     values = [[rng.randrange(6) / 5 for _ in range(rng.randrange(3, 120))] for _ in range(60)]
-    got = run(spark, values, curves.find_peaks("v", 0.4, 4.2))
-    for v, g in zip(values, got):
-        high = [i for i in plain_maxima(v) if v[i] >= 0.4]
-        assert [i for i, _ in g] == plain_apart(v, high, math.ceil(4.2))
+    native = curves.suppress_close(curves.at_least(curves.local_maxima("v"), 0.4), 4.2)
+    for expr in (curves.find_peaks("v", 0.4, 4.2), native):
+        for v, g in zip(values, run(spark, values, expr)):
+            high = [i for i in plain_maxima(v) if v[i] >= 0.4]
+            assert g == [(i, v[i]) for i in plain_apart(v, high, math.ceil(4.2))]
 
 
 @pytest.mark.parametrize("apart,n", [(18, 1), (19, 2)])

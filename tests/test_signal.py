@@ -195,14 +195,14 @@ def test_resize_of_equal_size_is_identity(spark):
 def test_normalise_and_resample(spark):
     lo, hi = levels.AMPLITUDE_MIN, levels.AMPLITUDE_MAX
     x = [0.0, 1.0, -1.0, 2 * hi, -2 * hi, lo / 2, -lo / 2]
-    fixed = frame(spark, [x]).select(levels.normalise_waveform("samples")).first()[0]
+    fixed = frame(spark, [x]).select(levels.resample_and_normalise("samples", 7)).first()[0]
     assert np.allclose(fixed, [0, (1 - lo) / hi, (-1 + lo) / hi, (hi - lo) / hi, (-hi + lo) / hi, 0, 0])
-    compat = frame(spark, [x]).select(levels.normalise_waveform("samples", compat=True)).first()[0]
+    compat = frame(spark, [x]).select(levels.resample_and_normalise("samples", 7, compat=True)).first()[0]
     assert np.allclose(compat, [0, (1 - lo) / hi, (-1 + lo) / hi, (hi - lo) / hi, (hi - lo) / hi, 0, 0])
     y = np.random.default_rng(5).normal(size=50)
-    got = frame(spark, [y]).select(levels.resample_linear("samples", 77)).first()[0]
-    assert np.allclose(got, np.interp(np.linspace(0, 49, 77), np.arange(50), y))
-    assert frame(spark, [[1.0]]).select(levels.resample_linear("samples", 4)).first()[0] is None
+    wide = np.interp(np.linspace(0, 49, 77), np.arange(50), y)
+    assert np.allclose(kernels.resample_rows(y[None], 77)[0], wide)
+    assert frame(spark, [[1.0]]).select(levels.resample_and_normalise("samples", 4)).first()[0] is None
 
 
 def test_small_expressions(spark):
@@ -220,9 +220,14 @@ def test_small_expressions(spark):
 
 
 def test_half_precision(spark):
-    df = spark.createDataFrame([([0.1, 1 / 3],)], "c array<double>")
-    got = df.select(kernels.half_precision_column(F.col("c"))).first()[0]
-    assert got == [float(np.float16(0.1)), float(np.float16(1 / 3))]
+    from brinewave.functions.curves import objective_curve
+
+    df = spark.createDataFrame([([0.3],)], "o array<double>")
+    r = df.select(
+        objective_curve("o", 50, 100.0, 10.0).alias("full"),
+        objective_curve("o", 50, 100.0, 10.0, compat_half=True).alias("half"),
+    ).first()
+    assert r.half == np.array(r.full).astype(np.float16).astype(float).tolist() and r.half != r.full
 
 
 def test_registered_feature(spark):
