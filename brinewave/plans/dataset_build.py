@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,9 @@ def ingest(spark: SparkSession, root: str, table: str, extension: str = "wav") -
     sinks.write_chunks(wav.decode_chunks(wav.list_files(spark, root, extension), extension), table)
 
 
-def archive_rate(chunks: DataFrame) -> int:
-    """The one sampling frequency of an archive (a pruned scan of one column)."""
-    rates = [r["fs"] for r in chunks.select("fs").distinct().limit(2).collect()]
-    if len(rates) != 1:
-        raise ValueError(f"archive mixes sampling frequencies: {rates}")
-    return rates[0]
+def archive_rates(files: DataFrame) -> list[int]:
+    """Sampling frequencies of an archive, one per kind of recorder: a short list."""
+    return sorted(r["fs"] for r in files.select("fs").distinct().collect())
 
 
 def archive_files(chunks: DataFrame) -> DataFrame:
@@ -101,20 +100,27 @@ def build(
     """
     spark = manifest.sparkSession
     files = archive_files(chunks)
-    checked = seg.check_coverage(manifest, seg.station_summary(files))
+    summary = seg.station_summary(files)
+    checked = seg.check_coverage(manifest, summary)
     counted = seg.count_samples(checked, seg.file_pieces(files), 2 * half_us)
-    counted = counted.withColumn(
+    counted = counted.join(summary.select("station", "sampling_f"), "station", "left").withColumn(
         "reason", F.coalesce("reason", F.when(F.col("n_samples") == 0, "no samples"))
     )
     served = counted.where("reason IS NULL")
-    rate = archive_rate(chunks)
-    wanted = served.select("path", "station", "label", "seg_start_us", "seg_end_us")
+    rates = archive_rates(files)
+    wanted = served.select("path", "station", "label", "seg_start_us", "seg_end_us", "sampling_f")
 
     def compute(todo: DataFrame) -> DataFrame:
-        return segment_features(todo, chunks, feature, rate, 2 * half_us, **options)
+        parts = [
+            segment_features(
+                todo.where(F.col("sampling_f") == fs), chunks, feature, fs, 2 * half_us, **options
+            )
+            for fs in rates
+        ]
+        return reduce(DataFrame.unionByName, parts)
 
     sinks.write_new_features(compute, wanted, f"{out}/features", ["path"], ["station"])
-    expected = (F.col("seg_end_us") - F.col("seg_start_us")) * F.lit(rate / SECOND_US)
+    expected = (F.col("seg_end_us") - F.col("seg_start_us")) * F.col("sampling_f") / SECOND_US
     coverage = (F.col("n_samples") / expected).alias("coverage")
     sinks.write_manifest(
         served.select("path", "station", "label", "picks", coverage), f"{out}/manifest"
