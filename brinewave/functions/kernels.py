@@ -52,16 +52,26 @@ def _nested(rows: list) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), _lists(inner, pa.float64()), mask=mask)
 
 
-def _by_length(rows: list, work) -> list:
-    """Apply ``work(matrix) -> sequence of row results`` once per distinct row length."""
+# Values a kernel holds at once, so that a batch of any size stays small in memory
+BLOCK_VALUES = 1_000_000
+
+
+def _by_length(rows: list, work, width: int = 1) -> list:
+    """Apply ``work(matrix) -> sequence of row results`` to blocks of rows of equal length.
+
+    ``width`` is the length of a result where it can exceed the length of a row.
+    """
     out: list = [None] * len(rows)
     groups: dict[int, list[int]] = {}
     for i, r in enumerate(rows):
         if r is not None:
             groups.setdefault(len(r), []).append(i)
-    for members in groups.values():
-        for i, result in zip(members, work(np.stack([rows[i] for i in members]))):
-            out[i] = result
+    for size, members in groups.items():
+        block = max(1, BLOCK_VALUES // max(size, width))
+        for k in range(0, len(members), block):
+            part = members[k : k + block]
+            for i, result in zip(part, work(np.stack([rows[i] for i in part]))):
+                out[i] = result
     return out
 
 
@@ -287,21 +297,18 @@ def waveform_column(
     def run(s: pa.Array) -> pa.Array:
         rows = [r if r is not None and len(r) > 1 else None for r in _rows(s)]
         work = lambda x: normalise_rows(resample_rows(x, n), vmin, vmax, compat)
-        return _lists(_by_length(rows, work), pa.float64())
+        return _lists(_by_length(rows, work, n), pa.float64())
 
     return run(samples)
 
 
 def triangles(at: np.ndarray, n: int, width: float) -> np.ndarray:
-    """Triangles of half width ``width`` steps around positions, over steps 0..n-1."""
-    if not len(at):
-        return np.zeros(n)
-    at = np.sort(at)
-    step = np.arange(n)
-    after = np.searchsorted(at, step)
-    to_next = at[np.minimum(after, len(at) - 1)] - step
-    to_last = step - at[np.maximum(after - 1, 0)]
-    return np.maximum(0.0, (width - np.minimum(np.abs(to_next), np.abs(to_last))) / width)
+    """Triangles of half width ``width`` steps around the positions of each row, over n steps."""
+    steps = np.arange(n, dtype=float)
+    nearest = np.full((len(at), n), np.inf)
+    for place in at.T:
+        np.minimum(nearest, np.abs(steps - place[:, None]), out=nearest)
+    return np.maximum(0.0, (width - nearest) / width)
 
 
 def triangle_column(positions: Column, n: int, width: float, half: bool = False) -> Column:
@@ -309,7 +316,7 @@ def triangle_column(positions: Column, n: int, width: float, half: bool = False)
 
     @arrow_udf("array<double>")
     def run(p: pa.Array) -> pa.Array:
-        rows = [None if r is None else triangles(r, n, width) for r in _rows(p)]
+        rows = _by_length(_rows(p), lambda at: triangles(at, n, width), n)
         if half:
             rows = [None if r is None else r.astype(np.float16) for r in rows]
         return _lists(rows, pa.float64())

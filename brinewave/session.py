@@ -16,8 +16,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # array payloads are wide: batches are bounded by size, not by rows
+    # array payloads are wide: batches are bounded by size, and by rows where a
+    # short input row gives a long curve
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
