@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brinewave.functions.levels import PIXEL_VMAX, PIXEL_VMIN
 from brinewave.operators import spectral, waveform, wavelet
-from brinewave.operators.segments import segment_samples
+from brinewave.operators.segments import segment_samples, tile_samples
 
 # name -> fn(segments, fs, **options); input columns ``samples`` (ARRAY<DOUBLE>) and the keys
 FEATURES: dict[str, Callable[..., DataFrame]] = {}
@@ -32,13 +32,27 @@ register_feature("waveform", lambda s, fs, **kw: waveform.decimated(s, **kw))
 
 
 def segment_features(
-    segments: DataFrame, chunks: DataFrame, feature: str, fs: int, width_us: int, **options
+    segments: DataFrame,
+    chunks: DataFrame,
+    feature: str,
+    fs: int,
+    width_us: int,
+    tiling: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
     """Cut the samples of each segment and run a feature on them.
 
     ``fs`` is the sampling frequency of the archive; stations recorded at
-    another one are built with their own call.
+    another one are built with their own call. Where the segments are the tiles
+    of ``tiling(station, start_us, end_us)``, give it: samples then move once.
     """
-    cut = segment_samples(segments, chunks.where(F.col("fs") == fs), width_us)
+    recorded = chunks.where(F.col("fs") == fs)
+    if tiling is None:
+        cut = segment_samples(segments, recorded, width_us)
+    else:
+        # same keys as the assembly, so the samples are not shuffled for the join
+        cut = tile_samples(tiling, recorded, width_us).drop("k")
+        keys = ["station", "seg_start_us", "seg_end_us"]
+        cut = cut.join(segments, keys)
     ready = cut.drop("fs").withColumn("samples", F.col("samples").cast("array<double>"))
     return FEATURES[feature](ready, fs, **options).drop("samples")

@@ -11,6 +11,7 @@ from brinewave.functions.timing import (
     SECOND_US,
     around,
     ceil_div,
+    floor_div,
     format_stamp,
     one_decimal,
 )
@@ -124,7 +125,9 @@ def anchor_context(anchors: DataFrame, events: DataFrame, half_us: int) -> DataF
 
     Rows come out in long form; ``side`` is 0 for the anchor's own time, 1 for
     earlier and 2 for later events, which with ``gap_us`` gives the list order.
-    Events at one time are collapsed into a row with ``copies`` beforehand.
+    Events at one time are collapsed into a row with ``copies`` beforehand:
+    annotation stamps are whole seconds, so a window has at most as many rows as
+    seconds, whatever number of annotations it holds.
     """
     times = events.groupBy("station", F.col("at_us").alias("event_us")).agg(
         F.count("*").alias("copies")
@@ -213,6 +216,11 @@ def sample_pieces(
     pairs = overlaps(
         asked, pieces, ["station"], ("seg_start_us", "_hi"), ("start_us", "end_us"), width_us
     )
+    return _cut(pairs, unit_us)
+
+
+def _cut(pairs: DataFrame, unit_us: int) -> DataFrame:
+    """Samples a piece delivers between ``seg_start_us`` and ``_hi``; pairs without any are dropped."""
     head = _whole_samples(F.col("seg_start_us") - F.col("file_start_us"), F.col("fs"), unit_us)
     tail = _whole_samples(F.col("file_end_us") - F.col("_hi"), F.col("fs"), unit_us)
     begin = F.greatest(head, F.col("first_sample"))
@@ -255,16 +263,45 @@ def segment_samples(segments: DataFrame, chunks: DataFrame, width_us: int) -> Da
     ``chunks`` is the waveform table. A segment's array is bounded by its
     duration times the sampling frequency.
     """
-    cut = sample_pieces(segments, chunk_pieces(chunks), width_us).withColumn(
-        "_piece", F.slice("samples", (F.col("skip") + 1).cast("int"), F.col("n_taken").cast("int"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("start_us", "_piece")))
-    return cut.groupBy(*segments.columns).agg(
-        F.flatten(F.transform(ordered, lambda p: p["_piece"])).alias("samples"),
+    cut = sample_pieces(segments, chunk_pieces(chunks), width_us)
+    return _assemble(cut, segments.columns)
+
+
+def _assemble(cut: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+    part = F.slice("samples", (F.col("skip") + 1).cast("int"), F.col("n_taken").cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("start_us", part.alias("part"))))
+    return cut.groupBy(*keys).agg(
+        F.flatten(F.transform(ordered, lambda p: p["part"])).alias("samples"),
         F.first("fs").alias("fs"),
+        *extra,
     )
 
 
+def tile_samples(stations: DataFrame, chunks: DataFrame, width_us: int) -> DataFrame:
+    """Samples of every tile of ``tiles(stations, width_us)`` that has any.
+
+    Which tiles a chunk reaches follows from the station's start alone, so each
+    chunk is cut where it is read and the samples are shuffled once, to be put
+    together; ``segment_samples`` has to move them to the segments first.
+    """
+    known = stations.select("station", F.col("start_us").alias("_t0"), F.col("end_us").alias("_t1"))
+    reached = chunk_pieces(chunks).join(known, "station")
+    n = F.floor((F.col("_t1") - F.col("_t0")) / F.lit(float(width_us))).cast("bigint")
+    first = F.greatest(floor_div(F.col("start_us") - F.col("_t0"), width_us), F.lit(0))
+    last = F.least(floor_div(F.col("end_us") - F.col("_t0"), width_us), n - 1)
+    each = (
+        reached.withColumn("_first", first)
+        .withColumn("_last", last)
+        .where("_first <= _last")
+        .withColumn("k", F.explode(F.sequence("_first", "_last")))
+        .withColumn("seg_start_us", F.col("_t0") + F.col("k") * width_us)
+        .withColumn("seg_end_us", F.col("seg_start_us") + width_us)
+        .withColumn("_hi", F.col("seg_end_us") - EPSILON_US)
+    )
+    keys = ["station", "seg_start_us", "seg_end_us"]
+    return _assemble(_cut(each, SECOND_US), keys, F.first("k").alias("k"))
+
+
 def manifest_path(root: str, label: str, station: str, center_us: str, extension: str) -> Column:
     name = F.concat(format_stamp(center_us), F.lit("." + extension))
     folder = F.concat(F.col(label), F.lit("s"))

@@ -91,12 +91,19 @@ def training_manifest(segments: DataFrame, root: str, extension: str) -> DataFra
 
 
 def build(
-    manifest: DataFrame, chunks: DataFrame, feature: str, out: str, half_us: int = HALF_US, **options
+    manifest: DataFrame,
+    chunks: DataFrame,
+    feature: str,
+    out: str,
+    half_us: int = HALF_US,
+    tiling: DataFrame | None = None,
+    **options,
 ) -> dict[str, DataFrame]:
     """Write features (missing ones only), the manifest, and the segments that cannot be served.
 
     ``manifest`` rows carry ``path``, ``station``, the segment bounds, ``label``
-    and ``picks``.
+    and ``picks``. For a tiled set, ``tiling`` (its stations) saves a shuffle of
+    the samples.
     """
     spark = manifest.sparkSession
     files = archive_files(chunks)
@@ -113,7 +120,13 @@ def build(
     def compute(todo: DataFrame) -> DataFrame:
         parts = [
             segment_features(
-                todo.where(F.col("sampling_f") == fs), chunks, feature, fs, 2 * half_us, **options
+                todo.where(F.col("sampling_f") == fs),
+                chunks,
+                feature,
+                fs,
+                2 * half_us,
+                tiling,
+                **options,
             )
             for fs in rates
         ]

@@ -337,13 +337,16 @@ def wav_catalog(t: Tables) -> DataFrame:
     return seg.station_summary(wav.file_catalog(views.wave_files(t.embeddings)))
 
 
+def wave_period(files: DataFrame) -> DataFrame:
+    return seg.station_summary(wav.file_catalog(files)).select(
+        "station", F.col("dataset_start_us").alias("start_us"), F.col("dataset_end_us").alias("end_us")
+    )
+
+
 def wave_segments(t: Tables) -> DataFrame:
     """20-second tiles of the WAV archive with their samples."""
     files = views.wave_files(t.embeddings)
-    period = seg.station_summary(wav.file_catalog(files)).select(
-        "station", F.col("dataset_start_us").alias("start_us"), F.col("dataset_end_us").alias("end_us")
-    )
-    tiles = seg.tiles(period, 20_000_000)
+    tiles = seg.tiles(wave_period(files), 20_000_000)
     return seg.segment_samples(tiles, wav.decode_chunks(files, chunk_s=3), 20_000_000)
 
 
@@ -378,6 +381,24 @@ def segment_samples(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "q42_tile_samples",
+    with_(SEGMENT_SQL)
+    + "select station, k, count(*) as n, sum(x * (i + 1))::bigint as weighted from taken group by all",
+)
+def tile_samples(t: Tables) -> DataFrame:
+    """The same tiles cut where the chunks are read, with one shuffle of the samples."""
+    files = views.wave_files(t.embeddings)
+    chunks = wav.decode_chunks(files, chunk_s=3)
+    weighted = F.transform("samples", lambda x, i: x.cast("bigint") * (i + 1))
+    return seg.tile_samples(wave_period(files), chunks, 20_000_000).select(
+        "station",
+        "k",
+        F.size("samples").cast("bigint").alias("n"),
+        F.aggregate(weighted, F.lit(0).cast("bigint"), lambda s, v: s + v).alias("weighted"),
+    )
+
+
 @query(
     "q43_segment_features",
     with_(

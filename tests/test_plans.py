@@ -43,6 +43,26 @@ def test_test_set_from_archive(spark, table, tmp_path):
     assert [(p.offset_s, p.n_annotators, p.copies) for p in picks] == [(-20.0, 3, 2), (50.0, 1, 1)]
     assert got["manifest"].where("label = 'positive'").count() == 1
     assert all(abs(r.coverage - 1) < 0.01 for r in got["manifest"].collect())
+    tiled = dataset_build.build(manifest, chunks, "waveform", str(tmp_path / "tiled"), tiling=stations)["features"]
+    assert {r.path: r.waveform for r in tiled.collect()} == {r.path: r.waveform for r in got["features"].collect()}
+
+
+def test_tiled_features_move_samples_once(spark, table):
+    from brinewave.operators import segments as seg
+    from brinewave.operators.features import segment_features
+
+    chunks, _ = table
+    period = spark.createDataFrame([("NORTH", START, START + 600 * S)], "station string, start_us bigint, end_us bigint")
+    tiles = seg.tiles(period, 100 * S).select("station", "seg_start_us", "seg_end_us")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = segment_features(tiles, chunks, "energy", 240, 100 * S, tiling=period)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # chunks and stations by station (no broadcast here), samples by tile, tiles by tile
+    assert plan.count("Exchange hashpartitioning(") == 4
+    assert df.count() == 6
 
 
 def test_energy_and_image_features(spark, table, tmp_path):
@@ -96,6 +116,34 @@ def test_segmenter_that_copies_the_truth(spark):
     assert sum(r.n_false for r in got["peak_scores"].collect()) == 2
 
 
+def test_segmenter_with_a_supplied_predictor(spark):
+    def same():
+        return lambda x: x
+
+    from brinewave.functions.curves import objective_curve
+
+    rows = labelled(spark)
+    truth = objective_curve(F.transform("picks", lambda p: p["offset_s"]), 186, 100.0, 10.0)
+    ready = rows.withColumn("x", truth).cache()
+    prediction = training.batch_predict(same, F.col("x"), 186, curve=True)
+    got = evaluation.evaluate_segmenter(ready, prediction, 186)
+    totals = got["totals"].first()
+    assert (totals.p, totals.n, totals.tp, totals.fn, totals.fp) == (3, 1, 3, 0, 0)
+    assert got["scores"].first().accuracy == 1.0
+
+
+def test_spectrogram_of_a_named_event(spark, table):
+    from brinewave.operators.features import segment_features
+    from brinewave.operators.segments import requested_segments
+
+    chunks, _ = table
+    events = spark.createDataFrame([("e", "NORTH", 75, START + 290 * S)], "name string, station string, duration_s int, center_us bigint")
+    asked = requested_segments(events).select("name", "station", "seg_start_us", "seg_end_us")
+    r = segment_features(asked, chunks, "spectrogram", 240, 100 * S, vmin=60.0, vmax=140.0).first()
+    grid = np.array(r.spectro)
+    assert grid.shape == (129, (75 * 240 - 2 - 256) // 128 + 1) and grid.min() >= 60.0
+
+
 def test_trees_end_to_end(spark):
     rng = np.random.default_rng(0)
     rows = [(i, int(i % 3 == 0), (rng.normal(size=4) + 3 * (i % 3 == 0)).tolist()) for i in range(90)]
