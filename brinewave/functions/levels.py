@@ -25,10 +25,6 @@ def coefficient_db(x: str | Column) -> Column:
     return F.lit(10.0) * F.log10(F.abs(col(x)) + F.lit(1e-3))
 
 
-def clamp(x: str | Column, vmin: Column, vmax: Column) -> Column:
-    return F.least(F.greatest(col(x), vmin), vmax)
-
-
 def clamp_coefficients(x: Column, vmin: Column, vmax: Column, compat: bool = False) -> Column:
     """Clamp of wavelet coefficients; ``compat`` sends low values to vmax."""
     low = vmax if compat else vmin

@@ -66,10 +66,6 @@ def spectrogram(
     return segments.withColumn("spectro", image)
 
 
-def frequencies(fs: float, nperseg: int, lo: int, hi: int) -> list[float]:
-    return [k * fs / nperseg for k in range(hi - 1, lo - 1, -1)]
-
-
 def long_form(
     spectra: DataFrame, keys: list[str], fs: float, nperseg: int, overlap: float = 0.5,
     f_min: float = 0.0, f_max: float | None = None,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brinewave.functions.timing import SECOND_US, format_stamp
 from brinewave.operators import segments as seg
 from brinewave.operators.features import segment_features
-from brinewave.sources import sinks, tables, wav
+from brinewave.sources import sinks, wav
 
 HALF_US = 50 * SECOND_US
 

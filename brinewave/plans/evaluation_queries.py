@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.functions.curves import at_least, local_maxima, peak_seconds, suppress_close
-from brinewave.functions.timing import HOUR_US, floor_div, seconds
+from brinewave.functions.timing import HOUR_US, seconds
 from brinewave.operators import compare, folds, history, matching, scoring
 from brinewave.plans import sql, views
 from brinewave.plans.registry import Tables, query

@@ -13,7 +13,6 @@ from brinewave.functions.timing import (
     around,
     format_stamp,
     nearest_second,
-    offset_tenths,
     parent_name,
     parse_stamp,
     seconds,
