@@ -34,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from brinewave.llm.common import llm_query, table
+from brinewave.llm.common import llm_query, schema_with, table
 
 #: at most so many words are remembered by a worker, none longer than WORD_BYTES
 MEMO_WORDS = 500_000
@@ -330,7 +330,7 @@ def tokenize(docs: DataFrame, text: str = "text", path: str | None = None, ids:
     """``docs`` with ``ids`` (packed little-endian 32-bit ids) and ``decoded`` (their text)."""
     path = path or default_path()
     at = docs.columns.index(text)
-    schema = docs.schema.add(ids, "binary").add(decoded, "string")
+    schema = schema_with(docs, **{ids: "binary", decoded: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,7 +349,7 @@ def token_digest(docs: DataFrame, text: str = "text", path: str | None = None) -
     path = path or default_path()
     at = docs.columns.index(text)
     kept = [c for c in docs.columns if c != text]
-    schema = docs.select(*kept).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema_with(docs.select(*kept), n_tokens="long", ids_sha256="string", decoded_sha256="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

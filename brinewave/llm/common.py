@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brinewave.session import configure
 
@@ -104,6 +105,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
             start = end
 
 
+def schema_with(df: DataFrame, **fields: str) -> StructType:
+    """The schema of ``df`` and more fields, given as name=type."""
+    more = StructType()
+    for name, kind in fields.items():
+        more = more.add(name, kind)
+    return StructType([*df.schema.fields, *more.fields])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that clashes with none of ``df`` (compared without case)."""
     taken = {c.lower() for c in df.columns}

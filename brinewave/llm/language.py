@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinewave.llm.common import flat_bytes, held_out, llm_query, slices, table
+from brinewave.llm.common import flat_bytes, held_out, llm_query, schema_with, slices, table
 
 SAMPLE_DOCS = 400
 PIECES = 2
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: Hierarchy | None, text: str = "text", name:
     if model is None:
         return docs.withColumn(name, F.lit("und")).withColumn(score, F.lit(0.0))
     at = docs.columns.index(text)
-    schema = docs.schema.add(name, "string").add(score, "double")
+    schema = schema_with(docs, **{name: "string", score: "double"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 1 << 18):

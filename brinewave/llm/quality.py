@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.llm.common import flat_bytes, held_out, llm_query, slices, table
+from brinewave.llm.common import flat_bytes, held_out, llm_query, schema_with, slices, table
 
 HALF = 256
 SPAN = 8
@@ -241,7 +241,7 @@ def _logistic(f: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 25
 def score(docs: DataFrame, model: ByteNet | Constant, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a probability; texts are read whole."""
     at = docs.columns.index(text)
-    schema = docs.schema.add(name, "double")
+    schema = schema_with(docs, **{name: "double"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 1 << 18):
