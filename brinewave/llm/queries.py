@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from brinewave.llm import bpe, decontaminate, language, neardup, quality  # noqa: F401
+from brinewave.llm import bpe, decontaminate, language, matroska, neardup, quality  # noqa: F401
 from brinewave.llm.common import LLM_QUERIES, LLM_SQL
 
 __all__ = ["LLM_QUERIES", "LLM_SQL"]
