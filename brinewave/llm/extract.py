@@ -32,7 +32,7 @@ from brinewave.llm.common import llm_query, schema_with, slices, table
 SAMPLE_PAGES = 2000
 WORD, TAG = 1.0, -1.5
 #: a tag of page furniture; its words count nothing, so an advert does not cut an article in two
-FURNITURE_TAG = -0.5
+FURNITURE_TAG = -0.1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
