@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from brinewave.llm import bpe, decontaminate, extract, language, matroska, neardup, quality, warc  # noqa: F401
+from brinewave.llm import bpe, decontaminate, extract, language, matroska, neardup, quality, urltree, warc  # noqa: F401
 from brinewave.llm.common import LLM_QUERIES, LLM_SQL
 
 __all__ = ["LLM_QUERIES", "LLM_SQL"]
