@@ -1,7 +1,7 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and its incremental decoder.
 
 Encoding runs in two levels. A lexer cuts the text into pre-tokens; it holds back only
-the last one, which later text may extend. A pre-token is then merged by rank. Whether a
+the last one, which later text may extend (and an apostrophe before it). A pre-token is then merged by rank. Whether a
 merge happens at some place depends only on merges of higher rank that overlap it on the
 right, whose fate in turn depends on still higher ranks: ``sufficient_lookahead`` is the
 longest such chain in bytes, computed from the merge list. Once that many bytes follow a
@@ -34,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from brinewave.llm.common import llm_query, schema_with, table
+from brinewave.llm.common import fresh, llm_query, schema_with, table
 
 #: at most so many words are remembered by a worker, none longer than WORD_BYTES
 MEMO_WORDS = 500_000
@@ -243,6 +243,8 @@ class Encoder:
                 return b"".join(out)
         words = pre_tokens(self.held + text)
         self.held = "" if last or not words else words.pop()
+        if len(self.held) == 1 and words and words[-1] == "'":  # may become 'll, 've or 're
+            self.held = words.pop() + self.held
         out.append(b"".join(map(self.memo.__getitem__, words)))
         if len(self.held) > HELD:
             self._open(out)
@@ -342,14 +344,16 @@ def tokenize(docs: DataFrame, text: str = "text", path: str | None = None, ids:
 
 
 def token_digest(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256 in place of ids and text.
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256 in place of the text, prefixed where taken.
 
     The digests are taken where the ids are made: neither ids nor texts leave the worker.
     """
     path = path or default_path()
     at = docs.columns.index(text)
     kept = [c for c in docs.columns if c != text]
-    schema = schema_with(docs.select(*kept), n_tokens="long", ids_sha256="string", decoded_sha256="string")
+    rest_of = docs.select(*kept)
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    schema = schema_with(rest_of, **{fresh(rest_of, k): kind for k, kind in kinds.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -88,7 +88,7 @@ def conversations(nodes: DataFrame, best: int | None = None) -> DataFrame:
 def formatted(turns: Column) -> Column:
     """One string of a list of (role, text)."""
     return F.array_join(
-        F.transform(turns, lambda t: F.concat(F.lit(START), F.replace(escape(t.role), F.lit("\n"), F.lit("\\|n")), F.lit("\n"), escape(t.text), F.lit(END))), ""
+        F.transform(turns, lambda t: F.concat(F.lit(START), F.replace(escape(t.role), F.lit("\n"), F.lit("\\n")), F.lit("\n"), escape(t.text), F.lit(END))), ""
     )
 
 
@@ -100,7 +100,7 @@ def turns_of(text: Column) -> Column:
     def turn(piece: Column) -> Column:
         body = F.substr(piece, F.lit(len(START) + 1))
         at = F.position(F.lit("\n"), body)
-        role = F.regexp_replace(F.substr(body, F.lit(1), at - 1), r"(?<!\\)((?:\\\\)*)\\\|n", "$1\n")
+        role = F.regexp_replace(F.substr(body, F.lit(1), at - 1), r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
         return F.struct(unescape(role).alias("role"), unescape(F.substr(body, at + 1)).alias("text"))
 
     return F.transform(pieces, turn)
