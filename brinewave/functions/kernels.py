@@ -219,12 +219,50 @@ def image_column(
     return run(samples)
 
 
-def wavelet_column(samples: Column, n_levels: int) -> Column:
+def limited_levels(
+    levels: list[np.ndarray], apply_log: bool, vmin: float | None, vmax: float | None, compat: bool
+) -> list[np.ndarray]:
+    """Coefficients in dB if asked, and clamped; a missing bound is the row's own extreme.
+
+    ``compat`` sends low values to vmax.
+    """
+    if apply_log:
+        levels = [10 * np.log10(np.abs(a) + 1e-3) for a in levels]
+    if vmin is None and vmax is None:
+        return levels
+    out = []
+    for a in levels:
+        low = a.min(axis=1, keepdims=True) if vmin is None else vmin
+        high = a.max(axis=1, keepdims=True) if vmax is None else vmax
+        out.append(np.where(a > high, high, np.where(a < low, high if compat else low, a)))
+    return out
+
+
+def wavelet_column(
+    samples: Column, n_levels: int, apply_log: bool = False, vmin: float | None = None, vmax: float | None = None, compat: bool = False
+) -> Column:
     """ARRAY<ARRAY<DOUBLE>> of n_levels + 1 arrays, coarsest first."""
 
+    def work(x: np.ndarray):
+        return zip(*limited_levels(wavelet_levels(x, n_levels), apply_log, vmin, vmax, compat))
+
     @arrow_udf("array<array<double>>")
     def run(s: pa.Array) -> pa.Array:
-        return _nested(_by_length(_rows(s), lambda x: zip(*wavelet_levels(x, n_levels))))
+        return _nested(_by_length(_rows(s), work))
+
+    return run(samples)
+
+
+def peak_column(samples: Column) -> Column:
+    """ARRAY<SMALLINT>: values relative to the largest magnitude of the row, cut to integers."""
+
+    @arrow_udf("array<smallint>")
+    def run(s: pa.Array) -> pa.Array:
+        out = []
+        for x in _rows(s):
+            peak = np.abs(x).max() if x is not None and len(x) else 0
+            out.append(None if x is None else [None] * len(x) if not peak > 0 else np.trunc(32767.0 * x / peak).astype(np.int16))
+        return pa.array(out, pa.list_(pa.int16()))
 
     return run(samples)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brinewave.functions.kernels import waveform_column
+from brinewave.functions.kernels import peak_column, waveform_column
 from brinewave.functions.timing import col
 
 # Display range of the stored pixels in dB, and the contrast floor
@@ -21,16 +21,6 @@ def power_db(x: str | Column) -> Column:
     return F.lit(10.0) * F.log10(col(x) + F.lit(1e-20))
 
 
-def coefficient_db(x: str | Column) -> Column:
-    return F.lit(10.0) * F.log10(F.abs(col(x)) + F.lit(1e-3))
-
-
-def clamp_coefficients(x: Column, vmin: Column, vmax: Column, compat: bool = False) -> Column:
-    """Clamp of wavelet coefficients; ``compat`` sends low values to vmax."""
-    low = vmax if compat else vmin
-    return F.when(x > vmax, vmax).when(x < vmin, low).otherwise(x)
-
-
 def rescale(x: str | Column, vmin: float, vmax: float) -> Column:
     return F.lit(255.0) * (col(x) - F.lit(vmin)) / F.lit(vmax - vmin)
 
@@ -62,12 +52,8 @@ def resample_and_normalise(
 
 
 def peak_normalise(samples: str | Column) -> Column:
-    """16-bit integers relative to the largest amplitude; null for silence."""
-    peak = F.array_max(F.transform(col(samples), F.abs))
-    return F.transform(
-        col(samples),
-        lambda x: F.when(peak > 0, (F.lit(32767.0) * x / peak).cast("smallint")),
-    )
+    """16-bit integers relative to the largest amplitude; nulls for silence."""
+    return peak_column(col(samples).cast("array<double>"))
 
 
 def next_power_of_two(x: int | Column) -> Column:

@@ -95,6 +95,5 @@ def parent_name(path: str | Column) -> Column:
 
 
 def stem(path: str | Column) -> Column:
-    """File name without its four-character extension."""
-    name = basename(path)
-    return F.substring(name, F.lit(1), F.length(name) - 4)
+    """File name up to its last dot."""
+    return F.regexp_replace(basename(path), r"\.[^.]*$", "")

@@ -96,7 +96,7 @@ def quantile_spans(df: DataFrame, value: str, spans: int, span: str = "_span") -
     cuts fall only changes how the work is spread, never a result.
     """
     cuts = df.approxQuantile(value, [i / spans for i in range(1, spans)], 0.5 / spans)
-    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    edges = [float("-inf"), *sorted({c for c in cuts if abs(c) < float("inf")}), float("inf")]
     if len(edges) < 3:
         return df.withColumn(span, F.lit(0.0))
     cutter = Bucketizer(splits=edges, inputCol="_cut", outputCol=span)

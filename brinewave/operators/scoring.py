@@ -78,19 +78,28 @@ def roc_points(
     )
 
 
-def auc_exact(scored: DataFrame, score: str = "score", truth: str = "truth", spans: int = 64) -> DataFrame:
+#: distinct scores that one span of the exact AUC sorts
+SPAN_ROWS = 500_000
+
+
+def auc_exact(scored: DataFrame, score: str = "score", truth: str = "truth", spans: int | None = None) -> DataFrame:
     """Area under the ROC curve by counting ordered pairs; equal scores count half.
 
+    A null score ranks below all others. Rows without a truth are left out.
+
     Equal scores are reduced to one row, then negatives below each score come
     from a running total over score spans instead of one global sort. The
     reduced table is read for the cut points and again for the totals, so it is
     checkpointed and the scores are computed once.
     """
     per_score = cut_lineage(
-        scored.groupBy(F.col(score).alias("s")).agg(
+        scored.where(F.col(truth).isNotNull())
+        .groupBy(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("s"))
+        .agg(
             F.sum(F.col(truth)).alias("p"), F.sum(1 - F.col(truth)).alias("n")
         )
     )
+    spans = spans or min(4096, 8 + per_score.count() // SPAN_ROWS)
     below = running_total_before(per_score, "s", "n", spans)
     wins = F.sum(F.col("p") * (F.col("below") + F.col("n") / F.lit(2.0)))
     return below.agg(
@@ -111,7 +120,11 @@ def auc_counts(
     States of any number of batches or days add up; ``auc_from_counts`` reads them.
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    b = F.greatest(F.ceil(F.col(score) * F.lit(thresholds - 1.0)) - 1, F.lit(0)).cast("int")
+    last = F.lit(thresholds - 1.0)
+    guess = F.ceil(F.col(score) * last).cast("bigint")
+    # thresholds are i / (thresholds - 1); the product may round over one of them
+    above = F.when(F.col(score) > guess / last, guess + 1).when(F.col(score) <= (guess - 1) / last, guess - 1).otherwise(guess)
+    b = F.least(F.greatest(above - 1, F.lit(0)), F.lit(thresholds - 1)).cast("int")
     return scored.groupBy(*(by or []), b.alias("b")).agg(
         F.sum(F.when(F.col(truth) == 1, w).otherwise(0.0)).alias("p"),
         F.sum(F.when(F.col(truth) == 1, 0.0).otherwise(w)).alias("n"),

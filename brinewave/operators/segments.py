@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brinewave.functions.hashing import center_shift_us
 from brinewave.functions.timing import (
+    DAY_US,
     EPSILON_US,
     SECOND_US,
     around,
@@ -248,11 +249,17 @@ def file_pieces(files: DataFrame) -> DataFrame:
     )
 
 
-def count_samples(segments: DataFrame, pieces: DataFrame, width_us: int, unit_us: int = SECOND_US) -> DataFrame:
-    """Per requested segment: pieces touched and samples delivered (0 when none)."""
+def count_samples(
+    segments: DataFrame, pieces: DataFrame, width_us: int, unit_us: int = SECOND_US, rates: bool = False
+) -> DataFrame:
+    """Per requested segment: pieces touched and samples delivered (0 when none).
+
+    ``rates`` adds the lowest and the highest sampling rate met, ``fs_low`` and ``fs_high``.
+    """
     keys = ["station", "seg_start_us", "seg_end_us"]
+    met = [F.min("fs").alias("fs_low"), F.max("fs").alias("fs_high")] if rates else []
     got = sample_pieces(segments.select(*keys).distinct(), pieces, width_us, unit_us).groupBy(*keys).agg(
-        F.count("*").alias("n_pieces"), F.sum("n_taken").alias("n_samples")
+        F.count("*").alias("n_pieces"), F.sum("n_taken").alias("n_samples"), *met
     )
     return segments.join(got, keys, "left").na.fill(0, ["n_pieces", "n_samples"])
 
@@ -272,7 +279,7 @@ def _assemble(cut: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("start_us", part.alias("part"))))
     return cut.groupBy(*keys).agg(
         F.flatten(F.transform(ordered, lambda p: p["part"])).alias("samples"),
-        F.first("fs").alias("fs"),
+        F.min("fs").alias("fs"),
         *extra,
     )
 
@@ -282,10 +289,16 @@ def tile_samples(stations: DataFrame, chunks: DataFrame, width_us: int) -> DataF
 
     Which tiles a chunk reaches follows from the station's start alone, so each
     chunk is cut where it is read and the samples are shuffled once, to be put
-    together; ``segment_samples`` has to move them to the segments first.
+    together by tile; ``segment_samples`` has to move them to the segments first.
+    Where the stations are too many to broadcast, the chunks meet them by station and
+    day (a chunk is at most a day long), so no station is in one task.
     """
-    known = stations.select("station", F.col("start_us").alias("_t0"), F.col("end_us").alias("_t1"))
-    reached = chunk_pieces(chunks).join(known, "station")
+    day0, day1 = floor_div("start_us", DAY_US) - 1, floor_div("end_us", DAY_US)
+    known = stations.select(
+        "station", F.col("start_us").alias("_t0"), F.col("end_us").alias("_t1"), F.explode(F.sequence(day0, day1)).alias("_day")
+    )
+    pieces = chunk_pieces(chunks).withColumn("_day", floor_div("start_us", DAY_US))
+    reached = pieces.join(known, ["station", "_day"])
     n = F.floor((F.col("_t1") - F.col("_t0")) / F.lit(float(width_us))).cast("bigint")
     first = F.greatest(floor_div(F.col("start_us") - F.col("_t0"), width_us), F.lit(0))
     last = F.least(floor_div(F.col("end_us") - F.col("_t0"), width_us), n - 1)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.functions.kernels import level_means_column, wavelet_column
-from brinewave.functions.levels import clamp_coefficients, coefficient_db
 
 
 def wavelet_transform(
@@ -18,18 +17,8 @@ def wavelet_transform(
     compat: bool = False,
 ) -> DataFrame:
     """Add ``levels``: [coarsest approximation, coarsest detail, ..., finest detail]."""
-    out = segments.withColumn("levels", wavelet_column(F.col("samples"), n_levels))
-    if apply_log:
-        out = out.withColumn("levels", F.transform("levels", lambda a: F.transform(a, coefficient_db)))
-    if vmin is not None or vmax is not None:
-
-        def limit(a: Column) -> Column:
-            low = F.array_min(a) if vmin is None else F.lit(float(vmin))
-            high = F.array_max(a) if vmax is None else F.lit(float(vmax))
-            return F.transform(a, lambda x: clamp_coefficients(x, low, high, compat))
-
-        out = out.withColumn("levels", F.transform("levels", limit))
-    return out
+    bounds = [None if v is None else float(v) for v in (vmin, vmax)]
+    return segments.withColumn("levels", wavelet_column(F.col("samples"), n_levels, apply_log, *bounds, compat))
 
 
 def energy_share(segments: DataFrame, n_levels: int = 8) -> DataFrame:

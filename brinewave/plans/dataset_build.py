@@ -7,17 +7,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewave.functions.timing import SECOND_US, format_stamp
+from brinewave.functions.timing import SECOND_US, format_stamp, parent_name, parse_stamp, stem, to_us
 from brinewave.operators import segments as seg
 from brinewave.operators.features import segment_features
+from brinewave.session import cut_lineage
 from brinewave.sources import sinks, wav
 
 HALF_US = 50 * SECOND_US
 
 
 def ingest(spark: SparkSession, root: str, table: str, extension: str = "wav") -> None:
-    """Decode an archive once into the waveform table, partitioned by station and day."""
-    sinks.write_chunks(wav.decode_chunks(wav.list_files(spark, root, extension), extension), table)
+    """Decode the files that the waveform table does not hold yet into it, by station and day."""
+    files = wav.list_files(spark, root, extension)
+    stored = sinks.read_if_exists(spark, table)
+    if stored is not None:
+        known = stored.select("station", "file_start_us").distinct()
+        named = files.withColumn("station", parent_name("path")).withColumn("file_start_us", to_us(parse_stamp(stem("path"))))
+        files = named.join(known, ["station", "file_start_us"], "left_anti").select(*files.columns)
+    sinks.write_chunks(wav.decode_chunks(files, extension), table)
 
 
 def archive_rates(files: DataFrame) -> list[int]:
@@ -101,7 +108,8 @@ def build(
 ) -> dict[str, DataFrame]:
     """Write features (missing ones only), the manifest, and the segments that cannot be served.
 
-    ``manifest`` rows carry ``path``, ``station``, the segment bounds, ``label``
+    A segment is built at the rate of the files it lies in; one that touches files of
+    several rates is rejected. ``manifest`` rows carry ``path``, ``station``, the segment bounds, ``label``
     and ``picks``. For a tiled set, ``tiling`` (its stations) saves a shuffle of
     the samples.
     """
@@ -109,10 +117,10 @@ def build(
     files = archive_files(chunks)
     summary = seg.station_summary(files)
     checked = seg.check_coverage(manifest, summary)
-    counted = seg.count_samples(checked, seg.file_pieces(files), 2 * half_us)
-    counted = counted.join(summary.select("station", "sampling_f"), "station", "left").withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("n_samples") == 0, "no samples"))
-    )
+    counted = seg.count_samples(checked, seg.file_pieces(files), 2 * half_us, rates=True)
+    unserved = F.when(F.col("n_samples") == 0, "no samples").when(F.col("fs_low") < F.col("fs_high"), "several sampling rates")
+    # read by the features, the manifest and the rejected rows
+    counted = cut_lineage(counted.withColumn("reason", F.coalesce("reason", unserved)).withColumnRenamed("fs_low", "sampling_f"))
     served = counted.where("reason IS NULL")
     rates = archive_rates(files)
     wanted = served.select("path", "station", "label", "seg_start_us", "seg_end_us", "sampling_f")

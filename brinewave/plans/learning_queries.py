@@ -12,6 +12,11 @@ from brinewave.plans.registry import Tables, query
 from brinewave.session import cut_lineage
 
 
+FOLDS, TRIALS = 5, 10
+#: range of the number of trees in the queries; ``training.TREE_LIMITS`` is the whole space
+TREES = (1, 4)
+
+
 def fold_vectors(t: Tables, n_folds: int) -> DataFrame:
     """Vectors with a binary label and folds, materialised: every fit reads it."""
     rows = t.embeddings.select(
@@ -25,18 +30,18 @@ def fold_vectors(t: Tables, n_folds: int) -> DataFrame:
 
 @query("q32_gbt_cv")
 def gbt_cv(t: Tables) -> DataFrame:
-    """AUC of each fold and the mean, few trees."""
-    rows = fold_vectors(t, 3)
-    aucs = training.cross_validate(rows, 3, trees=3, rate=training.TUNED_RATE)
+    """AUC of each of five folds and the mean."""
+    rows = fold_vectors(t, FOLDS)
+    aucs = training.cross_validate(rows, FOLDS, trees=TREES[1], rate=training.TUNED_RATE)
     per_fold = t.spark.createDataFrame(list(enumerate(aucs)), "fold int, auc double")
     return per_fold.withColumn("mean_auc", F.lit(sum(aucs) / len(aucs)))
 
 
 @query("q33_search")
 def random_search(t: Tables) -> DataFrame:
-    """Trial table of a seeded random search over few trees, with the best one marked."""
-    rows = fold_vectors(t, 2)
-    trials = training.search(rows, training.draw_trials(2, seed=0, trees=(1, 4)), 2)
+    """Trial table of a seeded random search of ten trials, with the best one marked."""
+    rows = fold_vectors(t, FOLDS)
+    trials = training.search(rows, training.draw_trials(TRIALS, seed=0, trees=TREES), FOLDS)
     best = training.best_trial(trials)
     return trials.join(best.select("trial", F.lit(True).alias("is_best")), "trial", "left").na.fill(False)
 

@@ -426,7 +426,7 @@ def segment_features(t: Tables) -> DataFrame:
 from db""",
 )
 def archive_spectrogram(t: Tables) -> DataFrame:
-    """Archive-wide spectrogram over chunks of two seconds, frames reaching into the next chunk."""
-    chunks = wav.decode_chunks(views.wave_files(t.embeddings), chunk_s=2)
+    """Archive-wide spectrogram over chunks that begin off the grid of the frames."""
+    chunks = wav.decode_chunks(views.wave_files(t.embeddings), chunk_s=2.5)
     frames = archive_frames(chunks, views.WAVE_FS, NPERSEG, 8)
     return frames.withColumn("v", F.round("v", 4))

@@ -29,9 +29,11 @@ ANNOTATION_CSV_TRAIN = T.StructType(
 
 PICK = "struct<offset_s:double,n_annotators:int,copies:bigint>"
 
+# samples are doubles, so that float recordings keep their values; halo holds the
+# file's samples that follow the chunk, so that frames can reach over its end
 CHUNKS = (
     "station string, file_start_us bigint, file_samples bigint, first_sample bigint, "
-    "chunk_us bigint, fs int, bits int, samples array<int>"
+    "chunk_us bigint, fs int, bits int, samples array<double>, halo array<double>"
 )
 
 DATASET_CONFIG = T.MapType(

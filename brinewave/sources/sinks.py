@@ -22,19 +22,26 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def write_chunks(chunks: DataFrame, path: str, files_per_day: int = 1) -> None:
-    """Waveform table, by station and day.
+#: samples that one task writes of a station and day, about 512 MB
+SLICE_SAMPLES = 1 << 26
 
-    The shuffle key holds a slice number next to station and day, so a busy
-    station is written by as many tasks as it has days times slices.
+
+def by_slice(chunks: DataFrame) -> DataFrame:
+    """Waveform rows with their ``date``, dealt out by station, day and slice.
+
+    A day has as many slices as its sampling rate fills, so a busy recorder is written by
+    several tasks.
     """
-    day = F.to_date(F.timestamp_micros("chunk_us"))
-    piece = F.pmod(F.xxhash64("file_start_us", "first_sample"), F.lit(files_per_day))
+    slices = F.greatest(F.ceil(F.col("fs") * F.lit(86400.0) / SLICE_SAMPLES), F.lit(1))
+    piece = F.pmod(F.xxhash64("file_start_us", "first_sample"), slices)
+    dated = chunks.withColumn("date", F.to_date(F.timestamp_micros("chunk_us"))).withColumn("_slice", piece)
+    return dated.repartition("station", "date", "_slice").drop("_slice")
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Waveform table, by station and day."""
     (
-        chunks.withColumn("date", day)
-        .withColumn("_slice", piece)
-        .repartition("station", "date", "_slice")
-        .drop("_slice")
+        by_slice(chunks)
         .write.mode("append")
         .partitionBy("station", "date")
         .parquet(path)

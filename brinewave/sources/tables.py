@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from brinewave.functions.timing import basename, midpoint, parent_name, parse_stamp, to_us
 from brinewave.schemas import (
@@ -27,14 +30,15 @@ def read_test_annotations(spark: SparkSession, path: str) -> DataFrame:
     """``(station, class, at_us, n_annotators)`` of the accepted classes.
 
     The annotator count is the last field of a line whatever lies between, so
-    the lines are read as text and split.
+    the lines are read as text and split. Blank lines, and short ones without a class,
+    are dropped.
     """
-    lines = spark.read.option("wholetext", False).text(path)
+    lines = spark.read.option("wholetext", False).text(path).where(F.trim("value") != "")
     parts = fields("value")
     rows = lines.select(
-        parts[0].alias("station"),
-        parts[1].alias("class"),
-        parts[2].alias("stamp"),
+        F.get(parts, 0).alias("station"),
+        F.get(parts, 1).alias("class"),
+        F.get(parts, 2).alias("stamp"),
         F.element_at(parts, -1).try_cast("int").alias("n_annotators"),
     )
     assert [f.name for f in ANNOTATION_CSV_TEST] == rows.columns
@@ -71,12 +75,13 @@ def parse_manifest(lines: DataFrame, layout: str, line: str = "value") -> DataFr
     """Ragged manifest lines -> ``(path, idx, label, picks)``.
 
     Layouts: ``test`` path,class,offset,n,...  ``train`` path,class,offset,...
-    and either with ``indexed_`` in front for path,idx,class,...
+    and either with ``indexed_`` in front for path,idx,class,...  Blank lines are dropped;
+    what a short line lacks is null.
     """
     indexed = layout.startswith("indexed_")
     counted = layout.endswith("test")
     skip = 3 if indexed else 2
-    parts = lines.withColumn("_f", fields(line)).withColumn(
+    parts = lines.where(F.trim(line) != "").withColumn("_f", fields(line)).withColumn(
         "_rest", F.expr(f"slice(_f, {skip + 1}, greatest(size(_f) - {skip}, 0))")
     )
     if counted:
@@ -94,9 +99,9 @@ def parse_manifest(lines: DataFrame, layout: str, line: str = "value") -> DataFr
         ),
     ).cast(f"array<{PICK}>")
     return parts.select(
-        F.col("_f")[0].alias("path"),
-        (F.col("_f")[1].cast("bigint") if indexed else F.lit(None).cast("bigint")).alias("idx"),
-        F.col("_f")[2 if indexed else 1].alias("label"),
+        F.get("_f", 0).alias("path"),
+        (F.get("_f", 1).try_cast("bigint") if indexed else F.lit(None).cast("bigint")).alias("idx"),
+        F.get("_f", 2 if indexed else 1).alias("label"),
         picks.alias("picks"),
     )
 
@@ -121,19 +126,42 @@ def path_and_offsets(manifest: DataFrame) -> DataFrame:
     return manifest.select("path", F.transform("picks", lambda p: p["offset_s"]).alias("offsets"))
 
 
+def mapping_of(text: str) -> dict:
+    """Nested mappings of scalars, indented as in YAML; comments and quotes are understood."""
+    root: dict = {}
+    open_: list[tuple[int, dict]] = [(-1, root)]
+    for line in text.splitlines():
+        found = re.match(r"""(\s*)("[^"]*"|'[^']*'|[^\s#:][^:]*?)\s*:(?:\s+(.*))?$""", line.rstrip())
+        if not found:
+            if line.strip() and not line.strip().startswith(("#", "---")):
+                raise ValueError(f"not a mapping: {line!r}")
+            continue
+        depth, name, value = len(found[1]), found[2].strip("\"'"), (found[3] or "").strip()
+        while open_[-1][0] >= depth:
+            open_.pop()
+        quoted = re.match(r"""(["'])(.*?)\1\s*(?:#.*)?$""", value)
+        value = quoted[2] if quoted else re.sub(r"(^|\s)#.*$", "", value).strip()
+        if value or quoted:
+            open_[-1][1][name] = value
+        else:
+            open_[-1][1][name] = inner = {}
+            open_.append((depth, inner))
+    return root
+
+
+def _as_json(text: Column) -> Column:
+    @arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([json.dumps(mapping_of(t)) for t in column.to_pylist()], pa.string())
+
+    return run(text)
+
+
 def _config_map(spark: SparkSession, path: str, schema: T.MapType) -> DataFrame:
-    """A configuration file as one MAP; JSON, or YAML where a YAML reader is installed."""
-    if path.endswith((".yaml", ".yml")):
-        try:
-            import yaml
-        except ImportError as e:
-            raise ImportError("reading YAML needs the yaml package; convert to JSON") from e
-        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).take(1))
-        document = json.dumps(yaml.load(text, Loader=yaml.BaseLoader))
-        source = spark.createDataFrame([(document,)], "value string")
-    else:
-        source = spark.read.text(path, wholetext=True)
-    return source.select(F.from_json("value", schema).alias("m"))
+    """Configuration files, each as one MAP; JSON, or YAML by its extension."""
+    source = spark.read.text(path, wholetext=True)
+    document = _as_json(F.col("value")) if path.endswith((".yaml", ".yml")) else F.col("value")
+    return source.select(F.from_json(document, schema).alias("m"))
 
 
 def read_dataset_config(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -15,53 +16,76 @@ from brinewave.functions.timing import parent_name, parse_stamp, samples_duratio
 from brinewave.schemas import CHUNKS
 
 CHUNK_S = 100
+#: samples of the same file kept behind each chunk
+HALO = 4096
+#: what a header usually fits in; longer ones are followed to their end
 HEADER_BYTES = 4096
 MAX_DEPTH = 3
+# Format tags
+PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
 
-def walk_header(data: bytes) -> dict:
+class Unreadable(ValueError):
+    """A file that is no recording of a known format."""
+
+
+def walk_header(read: bytes | Callable[[int, int], bytes]) -> dict:
     """Format fields and the position of the samples of a RIFF file.
 
-    ``data`` may be just the start of the file, as long as it reaches the
-    header of the ``data`` chunk.
+    ``read(at, n)`` gives bytes of the file (or pass the bytes themselves): only chunk
+    headers are asked for, wherever the samples begin.
     """
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        raise ValueError("not a RIFF/WAVE file")
-    at, fmt = 12, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+    if isinstance(read, bytes):
+        data = read
+        read = lambda at, n: data[at : at + n]
+    head = read(0, 12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        raise Unreadable("not a RIFF/WAVE file")
+    at, fmt, tag = 12, None, None
+    while len(head := read(at, 8)) == 8:
+        name, size = head[:4], struct.unpack_from("<I", head, 4)[0]
         if name == b"fmt ":
-            fmt = struct.unpack_from("<HHIIHH", data, at + 8)
+            body = read(at + 8, min(size, 40))
+            if len(body) < 16:
+                raise Unreadable("format chunk is cut")
+            fmt = struct.unpack_from("<HHIIHH", body)
+            tag = struct.unpack_from("<H", body, 24)[0] if fmt[0] == EXTENSIBLE and len(body) >= 26 else fmt[0]
         elif name == b"data":
             if fmt is None:
-                raise ValueError("samples before the format")
+                raise Unreadable("samples before the format")
             _, channels, fs, _, align, bits = fmt
+            if (tag, bits) not in _FORMATS or not fs or align != channels * bits // 8:
+                raise Unreadable(f"format {tag} with {bits} bits")
             return {
                 "fs": fs,
                 "channels": channels,
                 "bits": bits,
                 "align": align,
+                "tag": tag,
                 "first_byte": at + 8,
                 "n_bytes": size,
                 "n_samples": size // align,
             }
         at += 8 + size + (size & 1)
-    raise ValueError("no data chunk")
+    raise Unreadable("no data chunk")
+
+
+# readable formats: 24-bit values take the upper bytes of 32, as PCM readers deliver them
+_FORMATS = {(PCM, 8): "u1", (PCM, 16): "<i2", (PCM, 24): None, (PCM, 32): "<i4", (FLOAT, 32): "<f4", (FLOAT, 64): "<f8"}
 
 
 def decode_pcm(data: bytes) -> tuple[int, int, np.ndarray]:
-    """(fs, bits, samples) of a mono PCM file."""
+    """(fs, bits, samples) of a mono file of integers or floats."""
     h = walk_header(data)
     if h["channels"] != 1:
-        raise ValueError(f"{h['channels']} channels, expected one")
+        raise Unreadable(f"{h['channels']} channels, expected one")
     body = data[h["first_byte"] : h["first_byte"] + h["n_samples"] * h["align"]]
-    if h["bits"] == 8:
-        return h["fs"], 8, np.frombuffer(body, np.uint8).astype(np.int32)
+    body = body[: len(body) // h["align"] * h["align"]]
     if h["bits"] == 24:
-        raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
-        value = raw[:, 0] | (raw[:, 1] << 8) | (raw[:, 2] << 16)
-        return h["fs"], 24, np.where(value >= 1 << 23, value - (1 << 24), value).astype(np.int32)
-    return h["fs"], h["bits"], np.frombuffer(body, f"<i{h['bits'] // 8}").astype(np.int32)
+        raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.uint32)
+        value = (raw[:, 0] << 8) | (raw[:, 1] << 16) | (raw[:, 2] << 24)
+        return h["fs"], 24, value.view(np.int32)
+    return h["fs"], h["bits"], np.frombuffer(body, _FORMATS[h["tag"], h["bits"]])
 
 
 # Decoder per file extension: bytes -> (fs, bits, samples)
@@ -112,33 +136,62 @@ def discover_stations(files: DataFrame, root: str, max_depth: int = MAX_DEPTH) -
     )
 
 
+_HEADER = "struct<fs:int,bits:int,n_samples:bigint,reason:string>"
+
+
+def _header_rows(reads: Iterator[Callable[[int, int], bytes] | bytes | None]) -> pa.Array:
+    rows = []
+    for read in reads:
+        try:
+            h = None if read is None else walk_header(read)
+            rows.append(h and {"fs": h["fs"], "bits": h["bits"], "n_samples": h["n_samples"], "reason": None})
+        except Unreadable as error:
+            rows.append({"fs": None, "bits": None, "n_samples": None, "reason": str(error)})
+    kinds = {"fs": pa.int32(), "bits": pa.int32(), "n_samples": pa.int64(), "reason": pa.string()}
+    return pa.array(rows, pa.struct(list(kinds.items())))
+
+
 def header_fields(heads: Column) -> Column:
-    """STRUCT<fs, bits, n_samples> from the first bytes of each file."""
+    """STRUCT<fs, bits, n_samples, reason> from the start of each file; null for null."""
 
-    @arrow_udf("struct<fs:int,bits:int,n_samples:bigint>")
+    @arrow_udf(_HEADER)
     def run(column: pa.Array) -> pa.Array:
-        rows = [walk_header(h.as_py()) for h in column]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([r["fs"] for r in rows], pa.int32()),
-                pa.array([r["bits"] for r in rows], pa.int32()),
-                pa.array([r["n_samples"] for r in rows], pa.int64()),
-            ],
-            names=["fs", "bits", "n_samples"],
-        )
+        return _header_rows(column.to_pylist())
 
     # not deterministic to the optimizer: several columns read the result of one call
     return run.asNondeterministic()(heads)
 
 
-def file_catalog(files: DataFrame) -> DataFrame:
-    """``(station, path, start_us, end_us, fs, bits, n_samples)`` of all non-empty files.
+def headers(files: DataFrame) -> DataFrame:
+    """``(path, h)`` of all non-empty files.
 
-    Only the first bytes of a file go to Python.
+    With a ``content`` column, the first bytes go to Python, and a whole file only if they
+    do not reach its samples. Without one, the files are opened by path and only chunk
+    headers are read, so the archive's payload stays where it is.
     """
-    heads = files.where("length > 0").select(
-        "path", header_fields(F.substring("content", 1, HEADER_BYTES)).alias("h")
-    )
+    files = files.where("length > 0")
+    if "content" in files.columns:
+        short = files.select("path", "content", header_fields(F.substring("content", 1, HEADER_BYTES)).alias("h"))
+        unreached = F.col("h.reason") == "no data chunk"
+        whole = short.withColumn("w", header_fields(F.when(unreached, F.col("content"))))
+        return whole.select("path", F.coalesce("w", "h").alias("h"))
+
+    @arrow_udf(_HEADER)
+    def run(paths: pa.Array) -> pa.Array:
+        def reader(path: str):
+            store, name = fs.FileSystem.from_uri(path)
+            file = store.open_input_file(name)
+            size = file.size()
+            return lambda at, n: file.read_at(min(n, max(0, size - at)), at) if at < size else b""
+
+        return _header_rows(reader(p) for p in paths.to_pylist())
+
+    return files.select("path", run.asNondeterministic()(F.col("path")).alias("h"))
+
+
+def file_catalog(files: DataFrame) -> DataFrame:
+    """``(station, path, start_us, end_us, fs, bits, n_samples)`` of all readable non-empty files."""
+    heads = headers(files).where("h.reason IS NULL")
     start = to_us(parse_stamp(stem("path")))
     return heads.select(
         parent_name("path").alias("station"),
@@ -151,8 +204,16 @@ def file_catalog(files: DataFrame) -> DataFrame:
     )
 
 
-def decode_chunks(files: DataFrame, extension: str = "wav", chunk_s: int = CHUNK_S) -> DataFrame:
-    """Waveform table from a binary-file scan: one row per ``chunk_s`` seconds of a file."""
+def unreadable_files(files: DataFrame) -> DataFrame:
+    """``(path, reason)`` of the files that ``file_catalog`` and ``decode_chunks`` leave out."""
+    return headers(files).where("h.reason IS NOT NULL").select("path", "h.reason")
+
+
+def decode_chunks(files: DataFrame, extension: str = "wav", chunk_s: float = CHUNK_S, halo: int = HALO) -> DataFrame:
+    """Waveform table from a binary-file scan: one row per ``chunk_s`` seconds of a file.
+
+    Unreadable files give no rows; ``unreadable_files`` names them.
+    """
     decode = DECODERS[extension]
     named = files.where("length > 0").select(
         parent_name("path").alias("station"),
@@ -170,13 +231,18 @@ def decode_chunks(files: DataFrame, extension: str = "wav", chunk_s: int = CHUNK
                 ("chunk_us", pa.int64()),
                 ("fs", pa.int32()),
                 ("bits", pa.int32()),
-                ("samples", pa.list_(pa.int32())),
+                ("samples", pa.list_(pa.float64())),
+                ("halo", pa.list_(pa.float64())),
             ]
         )
         for batch in batches:
             for station, start, content in zip(*(batch.column(i) for i in range(3))):
-                fs, bits, x = decode(content.as_py())
-                size = fs * chunk_s
+                try:
+                    fs, bits, x = decode(content.as_py())
+                except Unreadable:
+                    continue
+                x = x.astype(np.float64)
+                size = max(1, int(fs * min(chunk_s, 86_400)))
                 first = np.arange(0, len(x), size)
                 if not len(first):
                     continue
@@ -192,7 +258,8 @@ def decode_chunks(files: DataFrame, extension: str = "wav", chunk_s: int = CHUNK
                         pa.array(start.as_py() + np.rint(first * 1e6 / fs).astype(np.int64)),
                         pa.array(np.full(n, fs), pa.int32()),
                         pa.array(np.full(n, bits), pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)),
+                        pa.array([x[end : end + halo] for end in ends], pa.list_(pa.float64())),
                     ],
                     schema=schema,
                 )
@@ -200,21 +267,30 @@ def decode_chunks(files: DataFrame, extension: str = "wav", chunk_s: int = CHUNK
     return named.mapInArrow(run, CHUNKS)
 
 
+def encode_wav(samples, fs: int, bits: int = 16, tag: int = PCM, before: bytes = b"") -> bytes:
+    """Mono file of the given values; ``before`` stands in a LIST chunk in front of them."""
+    if bits == 24:
+        body = np.asarray(samples, dtype="<i4").reshape(-1, 1).view(np.uint8)[:, :3].tobytes()
+    else:
+        body = np.asarray(samples).astype(_FORMATS[tag, bits]).tobytes()
+    width = bits // 8
+    fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, tag, 1, fs, width * fs, width, bits)
+    extra = struct.pack("<4sI", b"LIST", len(before)) + before + b"\0" * (len(before) & 1) if before else b""
+    chunks = fmt + extra + struct.pack("<4sI", b"data", len(body)) + body + b"\0" * (len(body) & 1)
+    return struct.pack("<4sI4s", b"RIFF", 4 + len(chunks), b"WAVE") + chunks
+
+
 def encode_pcm16(samples: list, fs: int) -> bytes:
     """Mono 16-bit WAV file of the given integers."""
-    body = np.asarray(samples, dtype="<i2").tobytes()
-    head = struct.pack(
-        "<4sI4s4sIHHIIHH4sI",
-        b"RIFF", 36 + len(body), b"WAVE", b"fmt ", 16, 1, 1, fs, 2 * fs, 2, 16, b"data", len(body),
-    )
-    return head + body
+    return encode_wav(samples, fs)
 
 
-def encoded(samples: str, fs: int):
-    """Binary column with the WAV file of an integer array column."""
+def encoded(samples: str, fs: int, kinds: list[dict] | None = None, kind: Column | None = None):
+    """Binary column with the WAV file of an array column; ``kind`` chooses from ``encode_wav`` options."""
+    kinds = kinds or [{}]
 
     @arrow_udf("binary")
-    def run(s: pa.Array) -> pa.Array:
-        return pa.array([encode_pcm16(row.as_py(), fs) for row in s], pa.binary())
+    def run(s: pa.Array, k: pa.Array) -> pa.Array:
+        return pa.array([encode_wav(row.as_py(), fs, **kinds[i.as_py()]) for row, i in zip(s, k)], pa.binary())
 
-    return run(F.col(samples))
+    return run(F.col(samples), F.lit(0) if kind is None else kind)

@@ -7,10 +7,10 @@ Building only what is new is a checkpointed file source: each run with
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from brinewave.operators.scoring import auc_counts
+from brinewave.sources.sinks import by_slice
 from brinewave.sources.wav import decode_chunks
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
@@ -31,7 +31,7 @@ def ingest_new(spark: SparkSession, root: str, table: str, checkpoint: str, exte
     """Append the chunks of files not seen before to the waveform table, then stop."""
     chunks = decode_chunks(new_files(spark, root, extension), extension)
     return (
-        chunks.withColumn("date", F.to_date(F.timestamp_micros("chunk_us")))
+        by_slice(chunks)
         .writeStream.format("parquet")
         .partitionBy("station", "date")
         .option("path", table)

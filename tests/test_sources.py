@@ -51,7 +51,7 @@ def test_header_with_other_chunks_and_widths():
     assert (fs, bits, x.tolist()) == (100, 16, [1, -2, 3, -4])
     three = b"RIFF" + struct.pack("<I", 0) + b"WAVE" + struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, 100, 300, 3, 24)
     three += struct.pack("<4sI", b"data", 6) + b"\xff\xff\xff\x01\x00\x00"
-    assert wav.decode_pcm(three)[2].tolist() == [-1, 1]
+    assert wav.decode_pcm(three)[2].tolist() == [-256, 256]  # upper bytes of 32 bits
     with pytest.raises(ValueError):
         wav.walk_header(b"nothing")
 
@@ -82,7 +82,7 @@ def test_segments_do_not_depend_on_the_chunk_length(spark, archive, chunk_s):
 def test_waveform_table_round_trip(spark, archive, tmp_path):
     root, _ = archive
     chunks = wav.decode_chunks(wav.list_files(spark, root), chunk_s=50)
-    sinks.write_chunks(chunks, str(tmp_path / "t"), files_per_day=2)
+    sinks.write_chunks(chunks, str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t"))
     assert back.count() == chunks.count()
     pruned = back.where("station = 'NORTH' and date = '2020-01-01'").select("fs")
@@ -90,7 +90,7 @@ def test_waveform_table_round_trip(spark, archive, tmp_path):
     assert "PartitionFilters: [isnotnull(station" in plan and "samples" not in plan
 
 
-@pytest.mark.parametrize("chunk_s", [16, 64, 1000])
+@pytest.mark.parametrize("chunk_s", [16, 64, 100, 7.3, 1000])
 def test_archive_frames_equal_whole_file_frames(spark, archive, chunk_s):
     from brinewave.functions.kernels import power_frames
 
@@ -213,3 +213,79 @@ def test_feature_key_and_history(spark, tmp_path):
         "fold"
     ).parquet(str(tmp_path / "h"))
     assert tuple(tables.read_history(spark, str(tmp_path / "h")).first()) == (0, 1, "loss", 0.5)
+
+
+@pytest.mark.parametrize(
+    "bits,tag,values,want",
+    [
+        (8, 1, [0, 128, 255], [0, 128, 255]),
+        (16, 1, [-32768, 5], [-32768, 5]),
+        (24, 1, [-1, 8388607], [-256, 8388607 * 256]),
+        (32, 1, [-(2**31), 7], [-(2**31), 7]),
+        (32, 3, [0.5, -0.25, 1.0], [0.5, -0.25, 1.0]),
+        (64, 3, [1e-9, 2.0], [1e-9, 2.0]),
+    ],
+)
+def test_formats(bits, tag, values, want):
+    data = wav.encode_wav(values, 50, bits, tag, before=b"x" * 6001)
+    assert wav.decode_pcm(data)[:2] == (50, bits) and wav.decode_pcm(data)[2].tolist() == want
+    extensible = data[:20] + struct.pack("<H", 0xFFFE) + data[22:]
+    with pytest.raises(wav.Unreadable):
+        wav.decode_pcm(extensible)
+
+
+def test_odd_files_are_named_and_left_out(spark, tmp_path):
+    folder = tmp_path / "data" / "S"
+    folder.mkdir(parents=True)
+    good = wav.encode_wav([1, 2, 3], 1, before=b"y" * 9000)
+    (folder / "20200101_000000.wav").write_bytes(good)
+    (folder / "20200101_000100.wav").write_bytes(b"")
+    (folder / "20200101_000200.wav").write_bytes(b"no sound at all")
+    (folder / "20200101_000300.wav").write_bytes(wav.encode_wav([1], 1)[:20] + struct.pack("<H", 2) + wav.encode_wav([1], 1)[22:])
+    files = wav.list_files(spark, str(tmp_path / "data"))
+    for view in (files, files.select("path", "length")):
+        assert [r.n_samples for r in wav.file_catalog(view).collect()] == [3]
+        assert sorted(r.path[-19:-4] for r in wav.unreadable_files(view).collect()) == ["20200101_000200", "20200101_000300"]
+    assert [r.samples for r in wav.decode_chunks(files).collect()] == [[1.0, 2.0, 3.0]]
+
+
+def test_second_ingest_adds_only_new_files(spark, tmp_path):
+    from brinewave.plans.dataset_build import ingest
+
+    folder = tmp_path / "data" / "S"
+    folder.mkdir(parents=True)
+    (folder / "20200101_000000.wav").write_bytes(wav.encode_wav([1, 2], 1))
+    for _ in range(2):
+        ingest(spark, str(tmp_path / "data"), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    (folder / "20200101_000100.wav").write_bytes(wav.encode_wav([3], 1))
+    ingest(spark, str(tmp_path / "data"), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_stem_of_any_extension(spark):
+    from brinewave.functions.timing import stem
+
+    df = spark.createDataFrame([("a/20200101_000000.flac",), ("a/b.c.d",), ("a/plain",)], "p string")
+    assert [r.s for r in df.select(stem("p").alias("s")).collect()] == ["20200101_000000", "b.c", "plain"]
+
+
+def test_blank_and_short_lines(spark, tmp_path):
+    from brinewave.sources import tables
+
+    (tmp_path / "a.csv").write_text("S,T,20200101_000000,3\n\nS\n   \nS,H,bad,x\n")
+    got = tables.read_test_annotations(spark, str(tmp_path / "a.csv")).collect()
+    assert [(r.station, r["class"], r.n_annotators) for r in got] == [("S", "T", 3), ("S", "H", None)]
+    (tmp_path / "m.csv").write_text("x/a.png,positive,1.5,2\n\nlonely\n")
+    rows = tables.read_manifest(spark, str(tmp_path / "m.csv"), "test").collect()
+    assert [(r.path, r.label, len(r.picks)) for r in rows] == [("x/a.png", "positive", 1), ("lonely", None, 0)]
+
+
+def test_yaml_configs_of_several_files(spark, tmp_path):
+    from brinewave.sources import tables
+
+    (tmp_path / "a.yaml").write_text("# events\nE_1:\n  dataset: d\n  station: 'ELAN'\n  segment_duration_s: 750\n  segment_center: 20200606_153730\n\nE_2:\n  dataset: d\n  arrow_offset: 3 # later\n")
+    (tmp_path / "b.yaml").write_text("E_3:\n  dataset: \"x: y\"\n")
+    got = {r.name: r for r in tables.read_event_config(spark, str(tmp_path / "*.yaml")).collect()}
+    assert set(got) == {"E_1", "E_2", "E_3"} and got["E_1"].duration_s == 750 and got["E_1"].station == "ELAN"
+    assert got["E_2"].arrow_offset == 3 and got["E_3"].dataset == "x: y"
