@@ -29,12 +29,12 @@ from brinewave.llm.common import flat_bytes, held_out, llm_query, schema_with, s
 
 HALF = 256
 SPAN = 8
-FILTERS = 16
+FILTERS = 24
 EMBED = 8
 HIDDEN = 16
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 6000
 SAMPLE_CHUNKS = 5
-EPOCHS = 9
+EPOCHS = 7
 #: share of training chunks that are cut to a random length, so that short texts are known
 CUT = 0.4
 #: score from which a document counts as good
