@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.functions.curves import at_least, local_maxima, peak_seconds, suppress_close
+from brinewave.functions.curves import find_peaks, peak_seconds, unnest
 from brinewave.functions.timing import HOUR_US, seconds
 from brinewave.operators import compare, folds, history, matching, scoring
 from brinewave.plans import sql, views
@@ -37,7 +37,7 @@ peaks as (
 )
 def peaks(t: Tables) -> DataFrame:
     waves = views.waves(t.embeddings)
-    found = waves.select("vec_id", F.explode(at_least(local_maxima("samples"), 0.05)).alias("p"))
+    found = unnest(waves.withColumn("l", find_peaks("samples", 0.05)), ["vec_id"], "l", "_n", "p")
     return found.select(
         "vec_id",
         F.col("p.i").alias("i"),
@@ -58,8 +58,8 @@ select id as vec_id, u.i::int as i, round(u.h, 6) as height from (select id, unn
 )
 def peaks_apart(t: Tables) -> DataFrame:
     waves = views.waves(t.embeddings)
-    kept = suppress_close(at_least(local_maxima("samples"), 0.05), 6)
-    found = waves.select("vec_id", F.explode(peak_seconds(kept, 1.0)).alias("p"))
+    kept = peak_seconds(find_peaks("samples", 0.05, 6), 1.0)
+    found = unnest(waves.withColumn("l", kept), ["vec_id"], "l", "_n", "p")
     return found.select("vec_id", F.col("p.pos_s").cast("int").alias("i"), F.round("p.h", 6).alias("height"))
 
 
