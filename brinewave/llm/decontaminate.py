@@ -106,7 +106,8 @@ def near_items(fingerprints: DataFrame, items: DataFrame) -> DataFrame:
     numbered = F.posexplode(F.array(*(_block(F.col("fp"), b) for b in range(BLOCKS))))
     probes = items.select("item_id", F.col("fp").alias("item_fp"), numbered.alias("block", "value"))
     probes = probes.select("item_id", "item_fp", "block", "value", F.explode(F.lit(flips)).alias("flip"))
-    index = probes.select("item_id", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    # a table of its own: Spark then joins by its real size, which no estimate of the items tells
+    index = materialise(probes.select("item_id", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value")), "block-index")
     asked = fingerprints.select("fp", numbered.alias("block", "value"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
     return asked.join(index, ["block", "value"]).where(close).select("fp", "item_id").distinct()
