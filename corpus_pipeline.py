@@ -47,14 +47,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows without an id and with equal texts become one.
     """
     prepare(spark)
-    found = neardup.near_duplicates(docs, NEAR_PERCENT)
-    # ids that stay, and how often they occur; texts are moved only for ids that occur again
-    counts = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"))
-    counts = materialise(counts, "kept")
-    mine, times = fresh(docs, "kept_id"), fresh(docs, "kept_times")
-    kept = docs.join(counts.select(F.col("doc_id").alias(mine), F.col("times").alias(times)), docs["doc_id"] == F.col(mine), "left_outer")
-    single = kept.where(F.col(times) == 1).select(*docs.columns)
-    again = kept.where(F.col(times) > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    found = materialise(neardup.near_duplicates(docs, NEAR_PERCENT).select("doc_id", "kept"), "kept").where("doc_id is not null")
+    # the ids that go, and those that occur again, are fewer than those that stay
+    gone = materialise(found.where("not kept").select("doc_id").distinct(), "gone")
+    repeated = materialise(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return single.unionByName(again)
