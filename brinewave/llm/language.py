@@ -130,12 +130,13 @@ class Hierarchy:
 def train(docs: DataFrame, most: int = SAMPLE_DOCS, pieces: int = PIECES) -> Hierarchy | None:
     """A model of the languages in ``docs(doc_id, text, lang)`` outside the held-out part."""
     known = docs.where(~held_out("doc_id")).where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
-    # rank by a hash inside a bucket first, so that no task ranks a whole language
+    # a share of each language's hashes that holds about twice the sample, then the first of these
     order = F.xxhash64("doc_id", F.lit(5))
-    ids = known.select("doc_id", "lang", order.alias("o"), F.pmod(order, F.lit(256)).alias("bucket"))
-    near = Window.partitionBy("lang", "bucket").orderBy("o", "doc_id")
-    ids = ids.withColumn("k", F.row_number().over(near)).where(F.col("k") <= most)
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("k", "o", "doc_id"))).where(F.col("k") <= most)
+    count = known.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
+    ids = known.select("doc_id", "lang", order.alias("o"), place.alias("u")).join(count, "lang").where(F.col("u") * F.col("n") < 2.0 * most)
+    first = Window.partitionBy("lang").orderBy("u", "o", "doc_id")
+    ids = ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
     rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
