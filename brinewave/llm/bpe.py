@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from brinewave.llm.common import fresh, llm_query, schema_with, table
 
 #: at most so many words are remembered by a worker, none longer than WORD_BYTES
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 WORD_BYTES = 64
 #: up to so many bytes are merged one pair at a time
 SHORT = 256
