@@ -124,6 +124,10 @@ class ByteNet:
         np.add.at(g["embed"], seen, into)
         return g
 
+    def __getstate__(self) -> dict:
+        """Weights only: tasks make the tables themselves."""
+        return {**self.__dict__, "tables": None}
+
     def compile(self) -> None:
         """Byte-pair tables: one row of filter responses for each pair at each even place."""
         per_byte = np.einsum("be,jef->jbf", self.w["embed"], self.w["conv"].reshape(SPAN, EMBED, FILTERS))
@@ -133,6 +137,8 @@ class ByteNet:
 
     def half_maxima(self, data: np.ndarray, block: int = 256 * HALF) -> np.ndarray:
         """Largest response of each filter in each half of padded bytes."""
+        if self.tables is None:
+            self.compile()
         total = (len(data) - SPAN) // HALF * HALF
         pairs = data[:-1].astype(np.uint16) | (data[1:].astype(np.uint16) << 8)
         out = np.empty((total // HALF, FILTERS), np.float32)
@@ -214,7 +220,6 @@ def train(docs: DataFrame, labels: DataFrame, docs_most: int = SAMPLE_DOCS, chun
     x = np.stack([np.frombuffer(r.chunk, np.uint8) for r in rows])
     net = ByteNet()
     net.fit(x, y)
-    net.compile()
     # combination of the chunks, on the sampled documents
     ids = np.array([r.doc_id for r in rows])
     _, first = np.unique(ids, return_index=True)
