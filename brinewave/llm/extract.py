@@ -7,7 +7,7 @@ in one scan, is the content. Parts of the run that are menus, forms, adverts, no
 reader comments by their tag, class, id or role are left out.
 
 Weights are log-odds from pages that mark their article themselves (an ``article`` or
-``main`` element), at most ``SAMPLE_PAGES`` of them, chosen by a hash of the url and id;
+``main`` element): those with one of the first ``SAMPLE_PAGES`` hashes of their html, copies included;
 scripts, styles and titles are never text.
 
 Defined cases: null or empty html and pages without words give an empty text; without any
