@@ -20,8 +20,8 @@ LLM_SQL: dict[str, str] = {}
 
 # whole texts travel in Arrow batches; both bounds keep a worker's memory small
 ARROW_CONF = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
