@@ -211,4 +211,6 @@ def classifier_eval(t: Tables) -> DataFrame:
     outcomes = found["confusion"].agg(
         F.count(F.when(F.col("outcome") == "TP", 1)).alias("n_hits"), F.count(F.when(F.col("outcome") != "TP", 1)).alias("n_wrong")
     )
-    return found["auc"].withColumn("auc", F.round("auc", 6)).join(outcomes, F.lit(True))
+    # one row each, put side by side by an aggregation
+    both = found["auc"].withColumn("auc", F.round("auc", 6)).unionByName(outcomes, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
