@@ -32,11 +32,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those that are ``und`` (null, or without a letter) go."""
+    """Documents in a language: those that are ``und`` (null, or without a letter) go, and those
+    whose score is below ``language.LEAST_SCORE``.
+
+    The model learns from the stage's own documents; where none has a language, nothing can be
+    told apart and all documents with a letter stay.
+    """
     prepare(spark)
+    model = language.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     name, score = fresh(docs, "lang_found"), fresh(docs, "lang_score")
-    found = language.identify(docs, language.train(docs), name=name, score=score)
-    return found.where(F.col(name) != "und").select(*docs.columns)
+    found = language.identify(docs, model, name=name, score=score)
+    return found.where((F.col(name) != "und") & (F.col(score) >= language.LEAST_SCORE)).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

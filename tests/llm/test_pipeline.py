@@ -37,6 +37,23 @@ def test_stage_on_odd_and_empty_tables(spark, name, stage):
         assert sorted((r.text or "") for r in rows if r.doc_id is None) == ["", "the end of it"]
 
 
+def test_language_stage_rejects_low_scores(spark):
+    prepare(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = docs.where("lang is not null").count()
+    odd = [(10**6, "Это русский текст о погоде", None, "s", 26), (10**6 + 1, "asdf 12345 9999 ..... 1111", None, "s", 26), (10**6 + 2, "123", None, "s", 3)]
+    both = materialise(docs.unionByName(spark.createDataFrame(odd, docs.schema)), "both")
+    left = {r.doc_id for r in c.known_language(spark, both, FOLDER).collect()}
+    assert not left & {10**6, 10**6 + 1, 10**6 + 2} and len(left) == known
+
+
+def test_language_stage_without_languages(spark):
+    prepare(spark)
+    rows = [(1, "some words", None), (2, "12 3", None), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r.doc_id for r in c.known_language(spark, docs, FOLDER).collect()] == [1]
+
+
 def test_run(spark):
     out = c.run(spark, FOLDER)
     assert out.columns == [*COLUMNS, "n_tokens", "ids_sha256", "decoded_sha256"]
