@@ -1,9 +1,9 @@
 """URL filter: a tree of path templates per host, judged by labelled purity.
 
-Each host's paths form a tree of segments. Level by level, segments that vary (numbers,
-identifiers, or many different values under one template) are generalised into a wildcard;
-sibling branches whose labels do not differ significantly (two-proportion test) are merged
-into the wildcard branch too. A template's purity is its share of good labelled urls,
+Each host's paths form a tree of segments. Level by level, segments that vary (numbers and
+identifiers) are generalised into a wildcard; sibling branches whose labels do not differ
+significantly (two-proportion test) are merged into the wildcard branch too, and every branch
+that differs stays, however many siblings it has. A template's purity is its share of good labelled urls,
 smoothed towards its parent's, from the host's root down. A url gets the verdict of the
 deepest template that matches it; templates below ``LEAST_PURITY`` are rejected.
 
@@ -28,8 +28,6 @@ from brinewave.llm.common import llm_query, materialise, table
 
 #: levels of a path that are generalised; deeper segments share the template of the last one
 DEPTH = 4
-#: a template has at most so many literal children; with more, the segment is variable
-MANY = 30
 #: pseudo-count of the parent's purity
 SMOOTH = 8.0
 LEAST_PURITY = 0.5
@@ -98,7 +96,7 @@ def build(labelled: DataFrame) -> Tree:
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / F.nullif(rest_n, F.lit(0))))
         differs = F.abs(F.col("g") / F.col("n") - rest_g / F.nullif(rest_n, F.lit(0))) > Z * spread
         alone = F.col("kinds") == 1
-        literal = (F.col("segment") != "*") & (F.col("kinds") <= MANY) & (alone | F.coalesce(differs, F.lit(False)))
+        literal = (F.col("segment") != "*") & (alone | F.coalesce(differs, F.lit(False)))
         kept = materialise(by.withColumn("into", F.when(literal, F.col("segment")).otherwise("*")), "branches")
         merged = kept.groupBy("node", "into").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.max("above").alias("above"))
         level = merged.select("node", F.col("into").alias("segment"), F.concat("node", "into", F.lit("/")).alias("child"), smooth(F.col("above")).alias("purity"))

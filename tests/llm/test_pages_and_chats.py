@@ -77,6 +77,17 @@ def test_bad_branch_is_rejected(spark):
     assert got[1].verdict == "block" and got[1].template == "h/bad/*/" and got[2].verdict == "allow" and got[4].purity == tree.overall
 
 
+def test_bad_branch_among_many_stays_apart(spark):
+    """The number of labelled siblings does not merge a branch that differs."""
+    prepare(spark)
+    rows = [("h", f"/{'abcdefghijklmnopqrst'[i // 20]}{'abcdefghijklmnopqrst'[i % 20]}/{j}", int(i > 0)) for i in range(60) for j in range(20)]
+    tree = u.build(spark.createDataFrame(rows, "host string, path string, good int"))
+    df = spark.createDataFrame([(1, "q://h/aa/999"), (2, "q://h/ab/999")], "page_id long, url string")
+    got = {t.page_id: t for t in u.judge(df, tree).collect()}
+    assert got[1].verdict == "block" and got[1].template == "h/aa/*/"
+    assert got[2].verdict == "allow" and got[2].template == "h/*/*/"
+
+
 def paths_of(parents):
     inner = set(parents.values())
     for leaf in sorted(set(parents) - inner):
