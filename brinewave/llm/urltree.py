@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from brinewave.llm.common import llm_query, materialise, table
 
-#: levels of a path that are generalised; deeper segments share the template of the last one
-DEPTH = 4
 #: pseudo-count of the parent's purity
 SMOOTH = 8.0
 LEAST_PURITY = 0.5
@@ -54,8 +52,8 @@ def path_of(url: Column) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Segments of a path, numbers and identifiers as ``*``, at most ``DEPTH`` of them."""
-    parts = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, DEPTH)
+    """Segments of a path, numbers and identifiers as ``*``."""
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
     variable = r"^(?:[0-9]+|[0-9a-fA-F]{8,}(?:-[0-9a-fA-F]+)*|[^/]*[0-9]{4,}[^/]*|[0-9]+\.[A-Za-z0-9]+)$"
     return F.transform(parts, lambda s: F.when(s.rlike(variable), F.lit("*")).otherwise(s))
 
@@ -72,7 +70,10 @@ class Tree:
 
 
 def build(labelled: DataFrame) -> Tree:
-    """A tree of ``labelled(host, path, good)``; ``good`` is 1 or 0, nulls are left out."""
+    """A tree of ``labelled(host, path, good)``; ``good`` is 1 or 0, nulls are left out.
+
+    It is as deep as the longest labelled path; a level costs a few jobs.
+    """
     spark = labelled.sparkSession
     rows = labelled.where("good is not null").groupBy("host", segments(F.col("path")).alias("parts")).agg(F.sum("good").alias("g"), F.count("*").alias("n"))
     rows = materialise(rows, "labelled-paths")
@@ -85,8 +86,11 @@ def build(labelled: DataFrame) -> Tree:
     root = materialise(root, "template-0")
     at = rows.join(root, "host").select(F.concat("host", F.lit("/")).alias("node"), "parts", "g", "n", F.col("purity").alias("above"))
     levels = []
-    for _ in range(DEPTH):
-        here = at.where(F.size("parts") > 0).withColumn("segment", F.get("parts", 0))
+    while True:
+        at = materialise(at.where(F.size("parts") > 0), "labelled-left")
+        if at.isEmpty():
+            return Tree(overall, root, levels)
+        here = at.withColumn("segment", F.get("parts", 0))
         by = here.groupBy("node", "segment").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.max("above").alias("above"))
         siblings = by.where("segment <> '*'").groupBy("node").agg(F.count("*").alias("kinds"), F.sum("g").alias("ag"), F.sum("n").alias("an"))
         by = by.join(siblings, "node", "left")
@@ -105,8 +109,7 @@ def build(labelled: DataFrame) -> Tree:
         # a branch that was merged goes on below the wildcard
         step = kept.select("node", "segment", "into").join(level.withColumnRenamed("segment", "into"), ["node", "into"])
         at = here.drop("above").join(step.select("node", "segment", "child", "purity"), ["node", "segment"])
-        at = at.select(F.col("child").alias("node"), F.slice("parts", 2, DEPTH).alias("parts"), "g", "n", F.col("purity").alias("above"))
-    return Tree(overall, root, levels)
+        at = at.select(F.col("child").alias("node"), F.slice("parts", F.lit(2), F.size("parts")).alias("parts"), "g", "n", F.col("purity").alias("above"))
 
 
 def purity(urls: DataFrame, tree: Tree) -> DataFrame:
@@ -118,6 +121,8 @@ def purity(urls: DataFrame, tree: Tree) -> DataFrame:
         "host", "parts", F.concat("host", F.lit("/")).alias("node"), F.coalesce("purity", F.lit(tree.overall)).alias("purity"), F.col("purity").isNotNull().alias("on")
     )
     for k, level in enumerate(tree.levels):
+        if k and k % 4 == 0:  # deep trees: the plan stays small
+            at = materialise(at, "matched")
         exact = level.where("segment <> '*'").select("node", F.col("segment").alias("_s"), F.col("child").alias("_c"), F.col("purity").alias("_p"))
         wild = level.where("segment = '*'").select("node", F.col("child").alias("_wc"), F.col("purity").alias("_wp"))
         at = at.withColumn("_s", F.when(F.col("on"), F.get("parts", k)))

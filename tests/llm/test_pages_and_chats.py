@@ -88,6 +88,17 @@ def test_bad_branch_among_many_stays_apart(spark):
     assert got[2].verdict == "allow" and got[2].template == "h/*/*/"
 
 
+def test_deep_branches_are_judged(spark):
+    prepare(spark)
+    rows = [("h", f"/a/b/c/d/{kind}/e/{i}", good) for kind, good in (("spam", 0), ("docs", 1)) for i in range(40)]
+    tree = u.build(spark.createDataFrame(rows, "host string, path string, good int"))
+    assert len(tree.levels) == 7
+    df = spark.createDataFrame([(1, "q://h/a/b/c/d/spam/e/999/f"), (2, "q://h/a/b/c/d/docs/x"), (3, "q://h/a/b")], "page_id long, url string")
+    got = {t.page_id: t for t in u.judge(df, tree).collect()}
+    assert [got[i].template for i in (1, 2, 3)] == ["h/a/b/c/d/spam/e/*/", "h/a/b/c/d/docs/", "h/a/b/"]
+    assert got[1].verdict == "block" and got[2].verdict == "allow"
+
+
 def paths_of(parents):
     inner = set(parents.values())
     for leaf in sorted(set(parents) - inner):
