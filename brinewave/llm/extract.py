@@ -39,7 +39,8 @@ _TOKEN = re.compile(
     r"|<(?P<shut>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>|\Z)|[^>]*+(?:>|\Z))",
     re.S,
 )
-_ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden|type)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: name and value of the next attribute; a quote that is not closed takes the rest
+_ATTR = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?")
 _SPACE = re.compile(r"\s+")
 # fixed values: kinds of elements of the format
 _RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())

@@ -47,6 +47,12 @@ def test_broken_and_empty_html(weights):
     x.extract("<p '" * 20000, weights)
 
 
+def test_words_in_attribute_values_are_no_attributes():
+    plain = ['<a href="/hidden-gems">', '<p title="Hidden costs">', '<p data-hidden="false">', '<a href="/x?id=menu">', "<p title='class=ad'>", '<p data-id="menu" xid=nav>', "<p title=class=ad>"]
+    furniture = ["<p hidden>", '<p title="a" hidden="x">', "<p class = 'ad'>", "<p ID=menu>", '<p data-x="1"role="navigation"/>', '<p aria-hidden="true">', '<p style="display:none">']
+    assert [t for t in plain if x.parts_of(t)[0].furniture] == [] and [t for t in furniture if not x.parts_of(t)[0].furniture] == []
+
+
 def test_extract_table(spark):
     prepare(spark)
     rows = [(1, PAGE.format(open="<article>", close="</article>")), (2, None), (None, "<p>x</p>"), (None, "<p>x</p>")]
