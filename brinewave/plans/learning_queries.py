@@ -13,8 +13,6 @@ from brinewave.session import cut_lineage
 
 
 FOLDS, TRIALS = 5, 10
-#: range of the number of trees in the queries; ``training.TREE_LIMITS`` is the whole space
-TREES = (1, 4)
 
 
 def fold_vectors(t: Tables, n_folds: int) -> DataFrame:
@@ -32,7 +30,7 @@ def fold_vectors(t: Tables, n_folds: int) -> DataFrame:
 def gbt_cv(t: Tables) -> DataFrame:
     """AUC of each of five folds and the mean."""
     rows = fold_vectors(t, FOLDS)
-    aucs = training.cross_validate(rows, FOLDS, trees=TREES[1], rate=training.TUNED_RATE)
+    aucs = training.cross_validate(rows, FOLDS, trees=training.TUNED_TREES, rate=training.TUNED_RATE)
     per_fold = t.spark.createDataFrame(list(enumerate(aucs)), "fold int, auc double")
     return per_fold.withColumn("mean_auc", F.lit(sum(aucs) / len(aucs)))
 
@@ -41,7 +39,7 @@ def gbt_cv(t: Tables) -> DataFrame:
 def random_search(t: Tables) -> DataFrame:
     """Trial table of a seeded random search of ten trials, with the best one marked."""
     rows = fold_vectors(t, FOLDS)
-    trials = training.search(rows, training.draw_trials(TRIALS, seed=0, trees=TREES), FOLDS)
+    trials = training.search(rows, training.draw_trials(TRIALS, seed=0), FOLDS)
     best = training.best_trial(trials)
     return trials.join(best.select("trial", F.lit(True).alias("is_best")), "trial", "left").na.fill(False)
 

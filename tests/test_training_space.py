@@ -1,0 +1,24 @@
+"""The tree queries use the whole search space and the tuned number of trees."""
+
+from brinewave.operators import training
+from brinewave.plans import learning_queries as q
+
+
+class Rows:
+    na = property(lambda self: self)
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+
+def test_queries_use_the_whole_space(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(q, "fold_vectors", lambda t, n: None)
+    monkeypatch.setattr(training, "cross_validate", lambda rows, folds, trees, rate: asked.update(trees=trees) or [0.5] * folds)
+    monkeypatch.setattr(training, "search", lambda rows, trials, folds: asked.update(trials=trials) or Rows())
+    monkeypatch.setattr(training, "best_trial", lambda trials: Rows())
+    monkeypatch.setattr(q.F, "lit", lambda x: Rows())
+    q.gbt_cv(type("T", (), {"spark": Rows()}))
+    q.random_search(None)
+    assert asked["trees"] == training.TUNED_TREES
+    assert asked["trials"] == training.draw_trials(10, seed=0, trees=training.TREE_LIMITS)
