@@ -56,6 +56,8 @@ def walk_header(read: bytes | Callable[[int, int], bytes]) -> dict:
             _, channels, fs, _, align, bits = fmt
             if (tag, bits) not in _FORMATS or not fs or align != channels * bits // 8:
                 raise Unreadable(f"format {tag} with {bits} bits")
+            if channels != 1:
+                raise Unreadable(f"{channels} channels, expected one")
             return {
                 "fs": fs,
                 "channels": channels,
@@ -77,8 +79,6 @@ _FORMATS = {(PCM, 8): "u1", (PCM, 16): "<i2", (PCM, 24): None, (PCM, 32): "<i4",
 def decode_pcm(data: bytes) -> tuple[int, int, np.ndarray]:
     """(fs, bits, samples) of a mono file of integers or floats."""
     h = walk_header(data)
-    if h["channels"] != 1:
-        raise Unreadable(f"{h['channels']} channels, expected one")
     body = data[h["first_byte"] : h["first_byte"] + h["n_samples"] * h["align"]]
     body = body[: len(body) // h["align"] * h["align"]]
     if h["bits"] == 24:

@@ -289,3 +289,19 @@ def test_yaml_configs_of_several_files(spark, tmp_path):
     got = {r.name: r for r in tables.read_event_config(spark, str(tmp_path / "*.yaml")).collect()}
     assert set(got) == {"E_1", "E_2", "E_3"} and got["E_1"].duration_s == 750 and got["E_1"].station == "ELAN"
     assert got["E_2"].arrow_offset == 3 and got["E_3"].dataset == "x: y"
+
+
+def test_files_with_several_channels_are_named():
+    """A header with more than one channel, or none, is unreadable, as it is for the decoder."""
+    import struct
+
+    import pytest
+
+    from brinewave.sources import wav
+
+    mono = wav.encode_pcm16([1, 2, 3, 4], 240)
+    for channels in (0, 2):
+        fmt = struct.pack("<HIIH", channels, 240, 480 * channels, 2 * channels)
+        with pytest.raises(wav.Unreadable):
+            wav.walk_header(mono[:22] + fmt + mono[34:])
+    assert wav.walk_header(mono)["n_samples"] == 4
