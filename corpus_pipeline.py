@@ -50,25 +50,29 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id.
 
-    Repeated rows (equal id and text) become one row. Texts without a word link with
-    nothing and stay. A row without an id stays unless it has a copy with one; several
-    rows without an id and with equal texts become one.
+    Every distinct (id, text) is a document of its own: repeated rows become one, and of a
+    group's texts under its smallest id the one with the smallest hash stays. Rows without
+    an id come after all others. Texts without a word link with nothing and stay, but for
+    those without an id that equal another one.
     """
     prepare(spark)
-    found = materialise(neardup.near_duplicates(docs, NEAR_PERCENT).select("doc_id", "kept"), "kept").where("doc_id is not null")
-    # the ids that go, and those that occur again, are fewer than those that stay
-    gone = materialise(found.where("not kept").select("doc_id").distinct(), "gone")
-    repeated = materialise(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return single.unionByName(again)
-    known = docs.where("doc_id is not null").select(F.xxhash64("text").alias("_t1"), F.xxhash64("text", F.lit(1)).alias("_t2")).distinct()
-    same = (F.xxhash64(nameless["text"]) == F.col("_t1")) & (F.xxhash64(nameless["text"], F.lit(1)) == F.col("_t2"))
-    nameless = nameless.join(known, same, "left_anti").dropDuplicates(["text"])
-    return single.unionByName(again).unionByName(nameless)
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        found = neardup.near_duplicates(docs, NEAR_PERCENT).where("not kept")
+        # the ids that go are fewer than those that stay
+        return docs.join(materialise(found.select("doc_id"), "gone"), "doc_id", "left_anti").select(*docs.columns)
+    key = fresh(docs, "row_key")
+    rows = materialise(docs.dropDuplicates(["doc_id", "text"]).withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(rows, NEAR_PERCENT, doc_id=key).select(F.col("doc_id").alias(key), "component_id", "n_shingles")
+    # a text without a word is alone, except that its copies without an id meet it
+    alone = F.col("n_shingles") == 0
+    hashes = F.xxhash64("text"), F.xxhash64("text", F.lit(1))
+    about = rows.select(F.col(key), "doc_id", F.col("text").isNull().alias("none"), hashes[0].alias("t1"), hashes[1].alias("t2"))
+    found = materialise(found.join(about, key).withColumn("alone", alone), "groups")
+    group = [F.when(~F.col("alone"), F.col("component_id")).alias("c"), *(F.when(F.col("alone"), F.col(x)).alias(f"g_{x}") for x in ("none", "t1", "t2"))]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2", key))
+    chosen = found.groupBy(*group).agg(first.alias("first")).select(F.col(f"first.{key}").alias(key))
+    chosen = chosen.unionByName(found.where("alone and doc_id is not null").select(key)).distinct()
+    return rows.join(materialise(chosen, "chosen"), key, "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

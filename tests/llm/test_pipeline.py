@@ -54,6 +54,17 @@ def test_language_stage_without_languages(spark):
     assert [r.doc_id for r in c.known_language(spark, docs, FOLDER).collect()] == [1]
 
 
+def test_groups_follow_texts_not_ids(spark):
+    """An id with two texts, one of them a copy: the other one stays; near copies without an id are one."""
+    prepare(spark)
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, one), (5, one + " more"), (5, two), (7, two + " more"), (None, three), (None, three + " more"), (8, "..."), (None, "...")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.text) for r in c.one_of_each_group(spark, docs, FOLDER).collect()]
+    assert (1, one) in found and (5, two) in found and (8, "...") in found
+    assert len(found) == 4 and sum(i is None and t.startswith(three) for i, t in found) == 1
+
+
 def test_run(spark):
     out = c.run(spark, FOLDER)
     assert out.columns == [*COLUMNS, "n_tokens", "ids_sha256", "decoded_sha256"]
