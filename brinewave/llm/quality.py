@@ -8,7 +8,8 @@ combined into one probability.
 
 Training: a sample of at most ``SAMPLE_DOCS`` labelled documents, chosen by a hash of the
 id, of which at most ``SAMPLE_CHUNKS`` chunks each are collected; that bounds what reaches
-the driver. Scoring reads whole texts. A filter over byte pairs is a table look-up, so a
+the driver. The combination is fitted on mean, largest and smallest logit of the sample's
+whole texts, which tasks compute. Scoring reads whole texts. A filter over byte pairs is a table look-up, so a
 response is a sum of ``SPAN / 2`` table rows.
 
 Defined cases: null and empty texts are one chunk of zero bytes; equal texts get equal
@@ -212,22 +213,30 @@ def _chunks_of(frame: DataFrame, chunks: int) -> list:
     return rows.mapInArrow(run, "doc_id long, quality int, chunk binary").orderBy("doc_id", "chunk").collect()
 
 
+def _features_of(frame: DataFrame, net: ByteNet) -> list:
+    """``(doc_id, quality, f)`` of each sampled document, ``f`` over all its chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 18):
+            f = pa.array(net.features(batch.column(1)).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), f], ["doc_id", "quality", "f"])
+
+    rows = frame.select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    return rows.mapInArrow(run, "doc_id long, quality int, f array<double>").orderBy("doc_id", "f").collect()
+
+
 def train(docs: DataFrame, labels: DataFrame, docs_most: int = SAMPLE_DOCS, chunks_most: int = SAMPLE_CHUNKS) -> ByteNet | Constant:
-    rows = _chunks_of(sample(docs, labels, docs_most), chunks_most)
+    chosen = sample(docs, labels, docs_most)
+    rows = _chunks_of(chosen, chunks_most)
     y = np.array([r.quality for r in rows], np.float32)
     if not len(y) or len(set(y.tolist())) < 2:
         return Constant((y.sum() + 1) / (len(y) + 2))
     x = np.stack([np.frombuffer(r.chunk, np.uint8) for r in rows])
     net = ByteNet()
     net.fit(x, y)
-    # combination of the chunks, on the sampled documents
-    ids = np.array([r.doc_id for r in rows])
-    _, first = np.unique(ids, return_index=True)
-    halves = net.half_maxima(np.concatenate([np.pad(x[:, : 2 * HALF + SPAN - 1], ((0, 0), (0, HALF - SPAN + 1))).ravel(), np.zeros(SPAN, np.uint8)]))
-    logits = net.chunk_logits(halves)[::3]
-    count = np.diff([*first, len(ids)])
-    f = np.stack([np.add.reduceat(logits, first) / count, np.maximum.reduceat(logits, first), np.minimum.reduceat(logits, first), np.ones(len(first))], 1)
-    net.combine = _logistic(f, y[first])
+    # combination of the chunks, on the whole sampled documents
+    whole = _features_of(chosen, net)
+    net.combine = _logistic(np.array([r.f for r in whole]), np.array([r.quality for r in whole], np.float32))
     return net
 
 

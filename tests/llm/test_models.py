@@ -66,6 +66,19 @@ def test_quality_without_labels(spark):
     assert quality.score(docs, quality.train(docs, none)).first().score == 0.5
 
 
+def test_combination_is_fitted_on_whole_texts(spark):
+    prepare(spark)
+    rng = np.random.default_rng(4)
+    text = lambda good: "".join(rng.choice(list("abcde " if good else "abcde#"), 9000))
+    rows = [(i, text(i % 2), i % 2) for i in range(24)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    net = quality.train(docs, labels)
+    used = quality.sample(docs, labels).collect()
+    whole = net.features(pa.array([r.text for r in used]))
+    assert np.allclose(net.combine, quality._logistic(whole, np.array([r.quality for r in used], np.float32)), atol=1e-5)
+
+
 def test_every_byte_is_in_a_chunk():
     net = quality.ByteNet()
     net.compile()
