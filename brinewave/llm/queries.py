@@ -1,6 +1,18 @@
 """All queries of the subpackage."""
 
-from brinewave.llm import bpe, decontaminate, extract, language, matroska, neardup, quality, replytree, urltree, warc  # noqa: F401
+from brinewave.llm import (  # noqa: F401
+    bpe,
+    decontaminate,
+    extract,
+    language,
+    matroska,
+    neardup,
+    quality,
+    replytree,
+    urltree,
+    vectorcode,
+    warc,
+)
 from brinewave.llm.common import LLM_QUERIES, LLM_SQL
 
 __all__ = ["LLM_QUERIES", "LLM_SQL"]
