@@ -2,6 +2,7 @@
 
 from brinewave.llm import (  # noqa: F401
     bpe,
+    crosstoken,
     decontaminate,
     extract,
     language,
