@@ -8,6 +8,7 @@ from brinewave.llm import (  # noqa: F401
     language,
     matroska,
     neardup,
+    ngramjoin,
     quality,
     replytree,
     urltree,
