@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from brinewave.operators.ordered import running_total_before
-from brinewave.session import cut_lineage
+from pyspark.sql.types import LongType
 
 # Clip of the cross-entropy, number of thresholds of the bucketed AUC
 CLIP = 1e-7
@@ -78,37 +78,45 @@ def roc_points(
     )
 
 
-#: distinct scores that one span of the exact AUC sorts
-SPAN_ROWS = 500_000
+#: bits of a score that one step of the exact AUC orders: a window holds at most 2**DIGIT_BITS rows
+DIGIT_BITS = 16
+
+
+@F.pandas_udf(LongType())
+def _order_bits(score: pd.Series) -> pd.Series:
+    """Whole numbers in the order of the scores: the bits of a double, those below the sign flipped where negative."""
+    bits = (score.to_numpy(np.float64) + 0.0).view(np.int64)  # one zero
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), bits))
 
 
-def auc_exact(scored: DataFrame, score: str = "score", truth: str = "truth", spans: int | None = None) -> DataFrame:
+def auc_exact(scored: DataFrame, score: str = "score", truth: str = "truth", by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by counting ordered pairs; equal scores count half.
 
-    A null score ranks below all others. Rows without a truth are left out.
+    A null score ranks below all others. Rows without a truth are left out. With ``by``,
+    one area for each group.
 
-    Equal scores are reduced to one row, then negatives below each score come
-    from a running total over score spans instead of one global sort. The
-    reduced table is read for the cut points and again for the totals, so it is
-    checkpointed and the scores are computed once.
+    Equal scores are reduced to one row by a map-side aggregation. Their bits are then
+    summed up digit by digit from the right: scores that agree in all higher digits are
+    one group of at most 2**16 rows, in which a running total counts the pairs, and the
+    group becomes one row of the next step. No quantiles, no sort of the whole table and
+    nothing written in between.
     """
-    per_score = cut_lineage(
-        scored.where(F.col(truth).isNotNull())
-        .groupBy(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("s"))
-        .agg(
-            F.sum(F.col(truth)).alias("p"), F.sum(1 - F.col(truth)).alias("n")
-        )
-    )
-    spans = spans or min(4096, 8 + per_score.count() // SPAN_ROWS)
-    below = running_total_before(per_score, "s", "n", spans)
-    wins = F.sum(F.col("p") * (F.col("below") + F.col("n") / F.lit(2.0)))
-    return below.agg(
-        wins.alias("w"), F.sum("p").cast("bigint").alias("n_pos"), F.sum("n").cast("bigint").alias("n_neg")
-    ).select(
-        F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"),
-        "n_pos",
-        "n_neg",
-    )
+    by = by or []
+    value = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    counts = scored.where(F.col(truth).isNotNull()).groupBy(*by, value.alias("_s")).agg(F.sum(truth).alias("p"), F.sum(1 - F.col(truth)).alias("n"))
+    rows = counts.select(*by, _order_bits("_s").alias("_k"), "p", "n", (F.col("p") * F.col("n") / 2.0).alias("w"))
+    sums = F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("w") + F.col("p") * F.col("_below")).alias("w")
+
+    def with_below(rows: DataFrame, group: list[str]) -> DataFrame:
+        run = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("_below", F.coalesce(F.sum("n").over(run), F.lit(0)))
+
+    for _ in range(64 // DIGIT_BITS - 1):
+        rows = rows.withColumn("_up", F.shiftright("_k", DIGIT_BITS))
+        rows = with_below(rows, [*by, "_up"]).groupBy(*by, "_up").agg(*sums).withColumnRenamed("_up", "_k")
+    total = with_below(rows, by).groupBy(*by).agg(*sums)
+    area = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n")))
+    return total.select(*by, area.alias("auc"), F.col("p").cast("bigint").alias("n_pos"), F.col("n").cast("bigint").alias("n_neg"))
 
 
 def auc_counts(

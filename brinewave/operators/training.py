@@ -5,15 +5,14 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinewave.operators.folds import training_part, validation_part
+from brinewave.operators import boosting
+from brinewave.operators.boosting import Model, Spec, Trees
 from brinewave.operators.scoring import auc_exact
 
 # Tuned parameters and the search space
@@ -24,37 +23,45 @@ TREE_LIMITS = (1, 10_000)
 RATE_LIMITS = (0.01, 1.0)
 
 
-def with_vector(rows: DataFrame, array: str, label: str) -> DataFrame:
-    """``features`` vector and DOUBLE ``label`` from an array column."""
-    return rows.withColumn("features", array_to_vector(F.col(array).cast("array<double>"))).withColumn(
-        "label", F.col(label).cast("double")
-    )
+def stops_early(rows: DataFrame, wanted: bool | None) -> bool:
+    """Whether fits end where the loss of a tenth kept aside stalls: by default on large tables only."""
+    return rows.count() > boosting.STOP_FROM_ROWS if wanted is None else wanted
 
 
 def fit_trees(
-    rows: DataFrame, trees: int = TUNED_TREES, rate: float = TUNED_RATE, depth: int = DEPTH, seed: int = 0
-):
-    """One fit on all given rows."""
-    return GBTClassifier(maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed).fit(rows)
+    rows: DataFrame, array: str, label: str, key: str, trees: int = TUNED_TREES, rate: float = TUNED_RATE,
+    depth: int = DEPTH, stop_early: bool | None = None,
+) -> Model:
+    """One fit on all rows with a label; ``key`` is a number unique to a row."""
+    spec = Spec(0, trees, rate, None, depth, stops_early(rows, stop_early))
+    fits, _, edges = boosting.fit_many(rows, array, label, [spec], key)
+    found = fits.first()
+    return Model(Trees.unpack(found["trees"]) if found else Trees(0.0, depth), edges)
+
 
+def score_trees(model: Model, rows: DataFrame, array: str) -> DataFrame:
+    """``rows`` with the probability of label 1 as ``score``."""
+    return model.score(rows, array)
 
-def score_trees(model, rows: DataFrame) -> DataFrame:
-    probability = F.get(vector_to_array("probability"), F.lit(1))
-    return model.transform(rows).withColumn("score", probability)
 
+def cross_validate(
+    rows: DataFrame, array: str, label: str, key: str, folds: int, trees: int = TUNED_TREES, rate: float = TUNED_RATE,
+    depth: int = DEPTH, stop_early: bool | None = None,
+) -> DataFrame:
+    """``(fold, n_trees, auc)``: a model for each fold, scored on the rows it has not seen.
 
-def fold_auc(rows: DataFrame, fold: int, trees: int, rate: float, depth: int = DEPTH) -> float:
-    """AUC of one fold; rows without a fold train in all of them."""
-    model = fit_trees(training_part(rows, fold), trees, rate, depth)
-    return auc_exact(score_trees(model, validation_part(rows, fold)), "score", "label").first()["auc"]
+    ``rows`` carries a fold column; rows without one train in all of them.
+    """
+    early = stops_early(rows, stop_early)
+    specs = [Spec(i, trees, rate, i, depth, early) for i in range(folds)]
+    return _fold_aucs(rows, array, label, key, specs).select(F.col("model").alias("fold"), "n_trees", "auc")
 
 
-def cross_validate(
-    rows: DataFrame, folds: int, trees: int, rate: float, depth: int = DEPTH, parallelism: int = 4
-) -> list[float]:
-    """AUC of every fold, several folds at a time; hand in a materialised table."""
-    with ThreadPool(parallelism) as pool:
-        return pool.map(lambda i: fold_auc(rows, i, trees, rate, depth), range(folds))
+def _fold_aucs(rows: DataFrame, array: str, label: str, key: str, specs: list[Spec]) -> DataFrame:
+    """``(model, n_trees, auc)`` of all models, which are fitted at once."""
+    fits, held, _ = boosting.fit_many(rows, array, label, specs, key, "fold")
+    aucs = auc_exact(held, "score", "label", by=["model"])
+    return fits.select("model", "n_trees").join(aucs.select("model", "auc"), "model", "left")
 
 
 def draw_trials(n: int, seed: int = 0, trees=TREE_LIMITS, rates=RATE_LIMITS) -> list[tuple[int, int, float]]:
@@ -66,23 +73,25 @@ def draw_trials(n: int, seed: int = 0, trees=TREE_LIMITS, rates=RATE_LIMITS) ->
     ]
 
 
-def search(rows: DataFrame, trials: list[tuple[int, int, float]], folds: int, parallelism: int = 4) -> DataFrame:
-    """Trial table ``(trial, trees, rate, loss)`` with loss = 1 - mean AUC.
+def search(
+    rows: DataFrame, array: str, label: str, key: str, trials: list[tuple[int, int, float]], folds: int,
+    depth: int = DEPTH, stop_early: bool | None = None,
+) -> DataFrame:
+    """Trial table ``(trial, trees, rate, n_trees, loss)`` with loss = 1 - mean AUC.
 
-    Folds of all trials share one pool. ``rows`` is read once per fold and trial: hand in
-    a materialised table.
+    Folds of all trials are fitted at once; ``n_trees`` is the largest number a fold took.
+    A fold whose held rows have one class has no AUC and is left out of the mean.
     """
-    work = [(trees, rate, fold) for _, trees, rate in trials for fold in range(folds)]
-    with ThreadPool(parallelism) as pool:
-        aucs = pool.map(lambda w: fold_auc(rows, w[2], w[0], w[1]), work, chunksize=1)
-    results = [
-        (*trial, 1.0 - sum(aucs[k * folds : (k + 1) * folds]) / folds) for k, trial in enumerate(trials)
-    ]
-    return rows.sparkSession.createDataFrame(results, "trial int, trees int, rate double, loss double")
+    early = stops_early(rows, stop_early)
+    specs = [Spec(t * folds + i, trees, rate, i, depth, early) for t, trees, rate in trials for i in range(folds)]
+    found = _fold_aucs(rows, array, label, key, specs).withColumn("trial", (F.col("model") / folds).cast("int"))
+    means = found.groupBy("trial").agg(F.max("n_trees").alias("n_trees"), (1 - F.avg("auc")).alias("loss"))
+    drawn = rows.sparkSession.createDataFrame(trials, "trial int, trees int, rate double")
+    return drawn.join(means, "trial", "left").select("trial", "trees", "rate", "n_trees", "loss")
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    low = F.min(F.struct("loss", "trial", "trees", "rate"))
+    low = F.min(F.struct(F.col("loss").isNull(), "loss", "trial", "trees", "rate"))
     return trials.agg(low.alias("b")).select("b.trial", "b.trees", "b.rate", "b.loss")
 
 

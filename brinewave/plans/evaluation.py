@@ -80,8 +80,8 @@ def evaluate_classifier(
     offsets = quorum(F.col("label"), F.col("picks"), min_annotators)
     named = relabel(F.col("label"), offsets)
     truth = F.when(named == "positive", 1).otherwise(0)
-    ready = training.with_vector(rows.where(F.col(array).isNotNull()).withColumn("truth", truth), array, "truth")
-    scored = training.score_trees(model, ready).select("seg_id", "truth", "score")
+    ready = rows.where(F.col(array).isNotNull()).select("seg_id", truth.alias("truth"), array)
+    scored = training.score_trees(model, ready, array).select("seg_id", "truth", "score")
     return {
         "scored": scored,
         "auc": scoring.auc_exact(scored, "score", "truth"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewave.functions.timing import SECOND_US, floor_div, format_stamp
@@ -191,26 +191,62 @@ def segmenter_eval(t: Tables) -> DataFrame:
     return found["totals"]
 
 
-@query(
-    "q51_classifier_eval",
-    """select round(1.0::double, 6) as auc, count(*) filter (label < 5) as n_pos, count(*) filter (label >= 5) as n_neg,
-       count(*) filter (label < 5) as n_hits, 0::bigint as n_wrong from embeddings""",
-)
-def classifier_eval(t: Tables) -> DataFrame:
-    """Trees fitted on all rows of features that determine the label: area and outcomes of their scores."""
+def labelled_vectors(embeddings: DataFrame, features: Column) -> DataFrame:
+    """``(seg_id, label, picks, share)`` of the vectors: positives carry one pick."""
     label = F.when(F.col("label") < 5, "positive").otherwise("negative")
     pick = F.struct(F.lit(1.0).alias("offset_s"), F.lit(1).alias("n_annotators"), F.lit(1).cast("bigint").alias("copies"))
     none = F.array().cast("array<struct<offset_s:double,n_annotators:int,copies:bigint>>")
-    rows = t.embeddings.select(
-        F.col("vec_id").alias("seg_id"), label.alias("label"), F.when(F.col("label") < 5, F.array(pick)).otherwise(none).alias("picks"),
-        F.array(F.col("label").cast("double"), (F.col("vec_id") % 3).cast("double")).alias("share"),
-    )
-    ready = training.with_vector(rows.withColumn("y", F.when(F.col("label") == "positive", 1).otherwise(0)), "share", "y")
-    model = training.fit_trees(ready, trees=3, rate=0.5)
-    found = evaluation.evaluate_classifier(rows, model)
-    outcomes = found["confusion"].agg(
-        F.count(F.when(F.col("outcome") == "TP", 1)).alias("n_hits"), F.count(F.when(F.col("outcome") != "TP", 1)).alias("n_wrong")
-    )
+    picks = F.when(F.col("label") < 5, F.array(pick)).otherwise(none)
+    return embeddings.select(F.col("vec_id").alias("seg_id"), label.alias("label"), picks.alias("picks"), features.alias("share"))
+
+
+def held_out_results(rows: DataFrame, trees: int, rate: float, depth: int) -> DataFrame:
+    """Fit on four fifths of the segments, evaluate on the others: area and outcome counts in one row."""
+    seen = rows.where(F.col("seg_id") % 5 != 0).withColumn("y", F.when(F.col("label") == "positive", 1).otherwise(0))
+    model = training.fit_trees(seen, "share", "y", "seg_id", trees, rate, depth)
+    found = evaluation.evaluate_classifier(rows.where(F.col("seg_id") % 5 == 0), model)
+    count = lambda o: F.count(F.when(F.col("outcome") == o, 1))
+    outcomes = found["confusion"].agg(*(count(o).alias(f"n_{o.lower()}") for o in ("TP", "FP", "FN")))
     # one row each, put side by side by an aggregation
     both = found["auc"].withColumn("auc", F.round("auc", 6)).unionByName(outcomes, allowMissingColumns=True)
     return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
+@query(
+    "q51_classifier_eval",
+    """with f as (
+  select vec_id, (label < 5)::int as y, unnest([0, 1]) as feature,
+         unnest([round(embedding[1]::double * 8), round((embedding[2]::double - embedding[1]::double) * 6)]) as x from embeddings),
+train as (select * from f where vec_id % 5 <> 0),
+prior as (select avg(y)::double as p, count(*) as n from train where feature = 0),
+bins as (select feature, x, count(*) as n, sum(y) as pos from train group by feature, x),
+cuts as (
+  select feature, x, sum(n) over w as n_left, sum(pos) over w as pos_left, sum(n) over (partition by feature) as n_all, sum(pos) over (partition by feature) as pos_all
+  from bins window w as (partition by feature order by x)),
+gains as (
+  select feature, x, n_left, pos_left, n_all, pos_all,
+         pow(n_left * p - pos_left, 2) / (n_left * p * (1 - p)) + pow((n_all - n_left) * p - (pos_all - pos_left), 2) / ((n_all - n_left) * p * (1 - p)) as gain, p
+  from cuts, prior where n_left >= 20 and n_all - n_left >= 20),
+best as (select * from gains order by gain desc, feature, x limit 1),
+scored as (
+  select f.y, 1 / (1 + exp(-(ln(p / (1 - p)) + 0.5 * case when f.x <= best.x then (pos_left - n_left * p) / (n_left * p * (1 - p))
+         else (pos_all - pos_left - (n_all - n_left) * p) / ((n_all - n_left) * p * (1 - p)) end))) as score
+  from f join best on best.feature = f.feature where f.vec_id % 5 = 0)
+select round((select sum(case when a.score > b.score then 1 when a.score = b.score then 0.5 else 0 end) from scored a, scored b where a.y = 1 and b.y = 0)
+         / (sum(y) * sum(1 - y))::double, 6) as auc,
+       sum(y)::bigint as n_pos, sum(1 - y)::bigint as n_neg,
+       count(*) filter (y = 1 and score > 0.5) as n_tp, count(*) filter (y = 0 and score > 0.5) as n_fp, count(*) filter (y = 1 and score <= 0.5) as n_fn
+from scored""",
+)
+def classifier_eval(t: Tables) -> DataFrame:
+    """The smallest model, one split, fitted on four fifths of the vectors and evaluated on the others."""
+    first, second = F.get("embedding", 0).cast("double"), F.get("embedding", 1).cast("double")
+    features = F.array(F.round(first * 8), F.round((second - first) * 6))
+    return held_out_results(labelled_vectors(t.embeddings, features), 1, 0.5, 1)
+
+
+@query("q51_tuned_eval")
+def tuned_eval(t: Tables) -> DataFrame:
+    """The tuned model on whole vectors, fitted on four fifths of them and evaluated on the others."""
+    rows = labelled_vectors(t.embeddings, F.col("embedding"))
+    return held_out_results(rows, training.TUNED_TREES, training.TUNED_RATE, training.DEPTH)

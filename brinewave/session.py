@@ -57,16 +57,18 @@ def get_session(app: str = "brinewave", master: str | None = None, conf: dict |
     return configure(builder.getOrCreate())
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Let checkpoints go to the shared folder the cluster names; without one, as in tests, one is made."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="brinewave-checkpoint-"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names.
+    """Checkpoint to the shared folder.
 
     Used where one table feeds many later jobs (cross-validation, search), so a
     lost executor costs a re-read and not a rebuild of the features.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:  # a cluster names its shared folder; without one, as in tests, one is made
-            folder = tempfile.mkdtemp(prefix="brinewave-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -123,6 +123,20 @@ def test_auc_exact_and_bucketed(spark):
     assert scoring.auc_from_counts(parts).first().auc == pytest.approx(plain_auc(rows), abs=0.01)
 
 
+def test_auc_exact_by_group(spark):
+    rng = random.Random(7)
+    values = [0.0, -0.0, 1e-300, -1e-300, 0.1, 0.1 + 1e-17, 0.5, 1e300, -1e300, -2.5, float("inf"), 0.1000000001, None]
+    rows = [(g, t, rng.choice(values)) for g in range(3) for _ in range(120) for t in [rng.randrange(2)]] + [(4, 1, 0.3), (None, 0, 0.1), (None, 1, 0.2)]
+    df = spark.createDataFrame(rows, "g int, truth int, score double")
+    got = {r.g: r for r in scoring.auc_exact(df, by=["g"]).collect()}
+    for g in range(3):
+        mine = [(g, t, float("-inf") if s is None else s) for x, t, s in rows if x == g]
+        assert got[g].auc == pytest.approx(plain_auc(mine))
+    assert got[4].auc is None and got[4].n_pos == 1 and got[None].auc == 1.0
+    empty = scoring.auc_exact(df.where("g = 99")).first()
+    assert empty.auc is None
+
+
 def test_histogram_borders(spark):
     low, n = scoring.histogram_grid(10, 2 * 100 / 186)
     assert n == 19 and low == pytest.approx(-9.677, abs=1e-3)

@@ -150,13 +150,13 @@ def test_trees_end_to_end(spark):
     df = spark.createDataFrame(rows, "seg_id int, y int, share array<double>")
     from brinewave.operators.folds import assign_folds
 
-    parts = training.with_vector(assign_folds(df, "seg_id", "y", 2), "share", "y").cache()
-    aucs = training.cross_validate(parts, 2, trees=2, rate=0.3, depth=2)
-    assert all(a > 0.9 for a in aucs)
-    trials = training.search(parts, training.draw_trials(2, trees=(1, 3)), 2)
+    parts = assign_folds(df, "seg_id", "y", 2)
+    aucs = training.cross_validate(parts, "share", "y", "seg_id", 2, trees=2, rate=0.3, depth=2).collect()
+    assert [r.n_trees for r in aucs] == [2, 2] and all(r.auc > 0.9 for r in aucs)
+    trials = training.search(parts, "share", "y", "seg_id", training.draw_trials(2, trees=(1, 3)), 2)
     best = training.best_trial(trials).first()
     assert best.loss == min(r.loss for r in trials.collect())
-    model = training.fit_trees(parts, 2, 0.3, 2)
+    model = training.fit_trees(parts, "share", "y", "seg_id", 2, 0.3, 2)
     noted = df.select(
         "seg_id", "share", F.when(F.col("y") == 1, "positive").otherwise("negative").alias("label"),
         F.expr("if(y = 1, array(named_struct('offset_s', 0D, 'n_annotators', 2, 'copies', 1L)), array())").alias("picks"),
