@@ -6,21 +6,24 @@ byte range. After both have run over the whole text, every place where a space-m
 token begins in A and in B alike is an anchor: the tokens before it end there in both, and
 nothing that overlaps lies across it. Anchors cut a document into windows, pairs of id
 tuples. What happens inside a window depends on nothing but its ids, so it is worked out
-once by a merge of the two lists of ends and remembered under them: its groups (cut where
-both end) and its links (pairs of tokens whose ranges overlap).
+once and remembered under them: its groups (cut where both end) and its links (pairs of
+tokens whose ranges overlap). The windows of a batch that are new are laid end to end and
+worked out together from the sorted ends of their tokens.
 
-A worker remembers at most ``MEMO`` windows and ``MEMO`` words, none longer than
-``MEMO_TOKENS`` tokens or ``MEMO_CHARS`` characters; a table that is full is emptied, so its
-memory is bounded whatever it reads.
+A worker remembers at most ``MEMO`` windows of at most ``MEMO_TOKENS`` tokens; a full table is
+emptied, so its memory is bounded whatever it reads.
 
 Corpus counts are plain Spark: a row for each distinct linked id pair of a document, a count
 for each pair (pre-aggregated in the tasks, so frequent pairs travel once per task), and a
-join back that Spark makes by the measured size of the counts and splits where a pair is hot.
+join back. The counts grow with the vocabulary, so the join is a shuffled one at every size; Spark
+splits its partitions where a pair is hot.
 
-Tokenizer B by words: no piece of the model holds a space mark after another character, so
-no merge crosses the place before a run of spaces, and the runs that begin there can be
-tokenized one by one. This, and that the model leaves characters alone, is checked when it
-is loaded; a model without these properties is run on whole texts.
+Texts of up to ``WHOLE`` characters go through compiled tokenizers at once. Longer ones keep
+memory bounded: A's merges run in the streaming transducer of ``bpe``, and B reads word by
+word: no piece of the model holds a space mark after another character, so no merge crosses
+the place before a run of spaces, and the runs that begin there are tokenized one by one.
+This, and that the model leaves characters alone, is checked when it is loaded; a model
+without these properties is run on whole texts.
 
 Defined cases: null and empty texts, and those whose tokens do not give back the bytes of
 space and text in both, have no tokens: zeros and an empty digest; control strings in a text
@@ -33,6 +36,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import importlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -45,8 +49,9 @@ from pyspark.sql.types import StructType
 from brinewave.llm import bpe
 from brinewave.llm.common import fresh, llm_query, materialise, slices, table
 
-MEMO = 200_000
-MEMO_TOKENS, MEMO_CHARS = 48, 64
+MEMO, MEMO_TOKENS = 300_000, 48
+#: characters of a text that is tokenized at once
+WHOLE = 1 << 17
 MARK = "▁"
 # a run of spaces and what follows it up to the next space
 _RUN = re.compile(r" +[^ ]*")
@@ -57,20 +62,23 @@ def default_paths() -> tuple[str, str]:
     return path("byte_bpe_50k.json"), path("piece_bpe_32k.model")
 
 
-class Bounded(dict):
-    """Remembers what ``make`` gives for short keys; emptied when full."""
+class ByteModel:
+    """Ids of a byte-level BPE file, and the bytes each id stands for."""
 
-    def __init__(self, make, longest: int):
-        super().__init__()
-        self.make, self.longest = make, longest
+    def __init__(self, path: str):
+        self.path, vocab = path, bpe.vocabulary(path)
+        self.pieces = vocab.pieces
+        self.marked = np.array([p[:1] == b" " for p in self.pieces])
+        # the compiled library takes ids for ranks
+        ranks = {t: i for t, i in vocab.ids.items() if vocab.added.get(t.decode("utf-8", "replace")) != i}
+        in_order = all(ranks.get(x + y) == 256 + k for k, (x, y) in enumerate(vocab.merges)) and len(ranks) == 256 + len(vocab.merges)
+        library = importlib.import_module("tiktoken")
+        self.model = library.Encoding("byte-bpe", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order else None
 
-    def __missing__(self, key):
-        found = self.make(key)
-        if (len(key) if isinstance(key, str) else len(key[0]) + len(key[1])) <= self.longest:
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = found
-        return found
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; control strings are plain text."""
+        short = lambda t: self.model is not None and len(t) <= WHOLE
+        return [self.model.encode_to_numpy(t, disallowed_special=()).tobytes() if short(t) else b"".join(bpe.encode_pieces([t], self.path)) for t in texts]
 
 
 class PieceModel:
@@ -84,90 +92,129 @@ class PieceModel:
             bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)
         ]
         inner = any(MARK in n.lstrip(MARK) for n in names)
-        odd = "a  b ﬁ ① \t\n ́x\r\n  한한 "
+        odd = "a  b ﬁ ① \t\n ́x\r\n  한한 "
         self.by_words = not inner and self.model.normalize(odd) == (MARK + odd.replace(" ", MARK))
-        self.words = Bounded(self._run, MEMO_CHARS)
-
-    def _run(self, run: str) -> bytes:
-        # nothing is added to an empty text: a last space is its own piece
-        ids = self.model.encode(run[1:], num_threads=1) if run != " " else [self.model.piece_to_id(MARK)]
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Packed ids of a text that begins with the space the model adds itself."""
-        if self.by_words and MARK not in text:
-            return b"".join(map(self.words.__getitem__, _RUN.findall(text)))
-        return self._run(text)
-
-
-class Window:
-    """Groups and links of one pair of id lists that cover the same bytes."""
-
-    __slots__ = ("groups", "n_groups", "sizes", "links")
-
-    def __init__(self, groups: str, n_groups: int, sizes: list[tuple[int, int]], links: list[int]):
-        self.groups, self.n_groups, self.sizes, self.links = groups, n_groups, sizes, links
-
-
-def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> Window:
-    """Merge of the two lists of ends; every step moves past the token that ends first."""
-    groups, sizes, links = [], [], []
-    i = j = from_i = from_j = 0
-    end_a, end_b = size_a[0], size_b[0]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a == end_b:
-            groups.append(",".join(map(str, a[from_i : i + 1])) + "|" + ",".join(map(str, b[from_j : j + 1])))
-            sizes.append((i + 1 - from_i, j + 1 - from_j))
-            i, j = i + 1, j + 1
-            from_i, from_j = i, j
-            if i == len(a):
-                return Window(";".join(groups), len(groups), sizes, links)
-            end_a, end_b = end_a + size_a[i], end_b + size_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += size_a[i]
-        else:
-            j += 1
-            end_b += size_b[j]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.model.encode([t[1:] for t in texts], num_threads=1)
+        # nothing is added to an empty text: a space alone is its own piece
+        return [np.array(ids if t != " " else [self.model.piece_to_id(MARK)], "<u4").tobytes() for t, ids in zip(texts, found)]
+
+    def _long(self, text: str) -> bytes:
+        runs = _RUN.findall(text)
+        known = sorted(set(runs))
+        return b"".join(map(dict(zip(known, self._ids(known))).__getitem__, runs))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text, which begins with the space the model adds itself."""
+        long = [self.by_words and len(t) > WHOLE and MARK not in t for t in texts]
+        at_once = iter(self._ids([t for t, x in zip(texts, long) if not x]))
+        return [self._long(t) if x else next(at_once) for t, x in zip(texts, long)]
+
+
+class Pieces:
+    """The bytes of all ids, end to end."""
+
+    def __init__(self, pieces: list[bytes], marked: np.ndarray):
+        self.marked, self.size = marked, np.array([len(p) for p in pieces])
+        self.first = np.cumsum(self.size) - self.size
+        self.whole = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        return self.whole[np.arange(int(size.sum())) + np.repeat(self.first[ids] - ends + size, size)]
+
+
+#: text of the groups of a window, each ended by ";", and its links: A's id in the upper 32 bits, B's in the lower, packed
+Window = tuple[str, bytes]
 
 
 class Aligner:
     """Both tokenizers and the remembered windows of one worker."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a_path, self.a, self.b = a_path, bpe.vocabulary(a_path), PieceModel(b_path)
-        self.size_a = np.array([len(p) for p in self.a.pieces])
-        self.size_b = np.array([len(p) for p in self.b.pieces])
-        self.marked_a = np.array([p[:1] == b" " for p in self.a.pieces])
-        self.windows = Bounded(self._window, 4 * MEMO_TOKENS)
-
-    def _window(self, key: tuple[bytes, bytes]) -> Window:
-        a, b = np.frombuffer(key[0], "<u4"), np.frombuffer(key[1], "<u4")
-        return align_window(a.tolist(), b.tolist(), self.size_a[a].tolist(), self.size_b[b].tolist())
-
-    def __call__(self, text: str | None) -> tuple[bytes, bytes, list[Window]]:
-        """Packed ids of A and B, and the windows in order; empty where the tokens do not cover the text."""
-        if not text:
-            return b"", b"", []
-        whole = " " + text
-        data = whole.encode()
-        packed_a, packed_b = b"".join(bpe.encode_pieces([whole], self.a_path)), self.b.encode(whole)
-        a, b = np.frombuffer(packed_a, "<u4"), np.frombuffer(packed_b, "<u4")
-        for ids, pieces in ((a, self.a.pieces), (b, self.b.pieces)):
-            if b"".join(map(pieces.__getitem__, ids.tolist())) != data:
-                return b"", b"", []
-        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        start_a, start_b = end_a - self.size_a[a], end_b - self.size_b[b]
-        marks = np.zeros(len(data) + 1, np.uint8)
-        marks[start_a[self.marked_a[a]]] = 1
-        marks[start_b[self.b.marked[b]]] += 1
+        self.models = ByteModel(a_path), PieceModel(b_path)
+        self.a, self.b = (Pieces(m.pieces, m.marked) for m in self.models)
+        # every id as text, followed by each of the separators
+        most = max(len(self.a.size), len(self.b.size))
+        self.names = [f"{i}{mark}" for i in range(most) for mark in ",|;"]
+        self.name_sizes = np.array([len(n) for n in self.names])
+        self.windows: dict[tuple[bytes, bytes], Window] = {}
+
+    def tokens(self, texts: list[str | None]) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
+        """Packed ids of A and B of every text, and the bytes they cover; none where they do not cover space and text."""
+        whole = [" " + t if t else "" for t in texts]
+        data = [w.encode() for w in whole]
+        sizes = np.array([len(d) for d in data], np.int64)
+        asked = [w for w in whole if w]
+        found = [dict(zip([i for i, w in enumerate(whole) if w], m.encode(asked))) for m in self.models]
+        good = sizes > 0
+        for ids_of, pieces in zip(found, (self.a, self.b)):
+            for i in np.flatnonzero(good).tolist():
+                good[i] = pieces.size[np.frombuffer(ids_of[i], "<u4")].sum() == sizes[i]
+            fits = np.flatnonzero(good)
+            if len(fits):
+                ids = np.frombuffer(b"".join([ids_of[i] for i in fits.tolist()]), "<u4")
+                differs = pieces.spell(ids, np.cumsum(pieces.size[ids])) != np.frombuffer(b"".join([data[i] for i in fits.tolist()]), np.uint8)
+                good[fits] = np.add.reduceat(differs, np.cumsum(sizes[fits]) - sizes[fits]) == 0
+        return [(found[0][i], found[1][i]) if g else (b"", b"") for i, g in enumerate(good.tolist())], np.where(good, sizes, 0)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[bytes, bytes, list[Window]]]:
+        """Packed ids of A and B and the windows in order, of every text."""
+        found, sizes = self.tokens(texts)
+        all_a, all_b = (b"".join([f[k] for f in found]) for k in (0, 1))
+        a, b = np.frombuffer(all_a, "<u4"), np.frombuffer(all_b, "<u4")
+        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        ends = np.cumsum(sizes)
+        marks = np.zeros(int(sizes.sum()) + 1, np.uint8)
+        marks[(end_a - self.a.size[a])[self.a.marked[a]]] = 1
+        marks[(end_b - self.b.size[b])[self.b.marked[b]]] += 1
+        marks[ends] = 2  # every text begins a window
         anchors = np.flatnonzero(marks == 2)
-        anchors = np.concatenate([anchors[anchors > 0], [len(data)]])
+        anchors = anchors[anchors > 0]
         cut_a = (4 * (np.searchsorted(end_a, anchors) + 1)).tolist()
         cut_b = (4 * (np.searchsorted(end_b, anchors) + 1)).tolist()
-        keys = [(packed_a[i:j], packed_b[k:m]) for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
-        return packed_a, packed_b, list(map(self.windows.__getitem__, keys))
+        keys = [(all_a[i:j], all_b[k:m]) for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
+        windows = list(map(self.windows.get, keys))
+        if None in windows:
+            new = dict.fromkeys([k for k, w in zip(keys, windows) if w is None])
+            made = dict(zip(new, self.align(list(new))))
+            windows = [w or made[k] for k, w in zip(keys, windows)]
+            short = {k: w for k, w in made.items() if len(k[0]) + len(k[1]) <= 4 * MEMO_TOKENS}
+            if len(self.windows) + len(short) > MEMO:
+                self.windows.clear()
+            self.windows.update(itertools.islice(short.items(), MEMO))
+        last = np.searchsorted(anchors, ends, side="right").tolist()
+        return [(f[0], f[1], windows[i:j]) for f, i, j in zip(found, [0, *last], last)]
+
+    def align(self, keys: list[tuple[bytes, bytes]]) -> list[Window]:
+        """Groups and links of windows not seen before, laid end to end."""
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), "<u4").astype(np.int64) for side in (0, 1))
+        last_a, last_b = (np.cumsum([len(k[side]) // 4 for k in keys]) for side in (0, 1))
+        size_a, size_b = self.a.size[a], self.b.size[b]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        # a group ends where both do
+        at = np.searchsorted(end_b, end_a)
+        closes_a = end_b[at] == end_a
+        closes_b = np.zeros(len(b), bool)
+        closes_b[at[closes_a]] = True
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        first_b = np.flatnonzero(np.concatenate([[True], closes_b[:-1]]))  # of each group
+        after_a = np.flatnonzero(closes_a) + 1
+        # text of the groups: A's tokens of a group, then B's
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + first_b[group_a]] = 3 * a + closes_a
+        codes[np.arange(len(b)) + after_a[group_b]] = 3 * b + 2 * closes_b
+        text = "".join(map(self.names.__getitem__, codes.tolist()))
+        cut = np.cumsum(self.name_sizes[codes])[last_a + last_b - 1].tolist()
+        # tokens of B that begin before a token of A ends and end after it begins
+        low, high = np.searchsorted(end_b, end_a - size_a, side="right"), np.searchsorted(end_b - size_b, end_a)
+        n = high - low
+        until = np.cumsum(n)
+        mate = np.arange(until[-1]) - np.repeat(until - n - low, n)
+        links = (np.repeat(a, n) << 32 | b[mate]).astype("<i8").tobytes()
+        cut_links = (8 * until[last_a - 1]).tolist()
+        return [(text[i:j], links[k:m]) for i, j, k, m in zip([0, *cut], cut, [0, *cut_links], cut_links)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -185,9 +232,10 @@ def alignments(docs: DataFrame, text: str = "text", paths: tuple[str, str] | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = aligner(*paths)
         for batch in slices(batches, text, 1 << 20):
-            found = [align(t) for t in batch.column(at).to_pylist()]
+            found = align(batch.column(at).to_pylist())
             ids = [pa.array([np.frombuffer(f[k], "<i4") for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            groups = pa.array([[list(s) for w in f[2] for s in w.sizes] for f in found], pa.list_(pa.list_(pa.int32())))
+            sizes = lambda g: [side.count(",") + 1 for side in g.split("|")]
+            groups = pa.array([[sizes(g) for w in f[2] for g in w[0].split(";")[:-1]] for f in found], pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns, *ids, groups], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -207,12 +255,12 @@ def digests(docs: DataFrame, key: str, text: str, paths: tuple[str, str]) -> Dat
         align = aligner(*paths)
         for batch in slices(batches, "text", 1 << 20):
             out = [[] for _ in names]
-            for t in batch.column(1).to_pylist():
-                packed_a, packed_b, windows = align(t)
-                state = hashlib.sha256(";".join([w.groups for w in windows]).encode()).hexdigest() if windows else ""
-                links = np.array([link for w in windows for link in w.links], np.int64)
+            for packed_a, packed_b, windows in align(batch.column(1).to_pylist()):
+                groups = "".join([w[0] for w in windows])
+                state = hashlib.sha256(groups[:-1].encode()).hexdigest() if windows else ""
+                links = np.frombuffer(b"".join([w[1] for w in windows]), "<i8")
                 pairs, times = np.unique(links, return_counts=True)
-                row = len(packed_a) // 4, len(packed_b) // 4, sum([w.n_groups for w in windows]), len(links), state, pairs, times.astype(np.int32)
+                row = len(packed_a) // 4, len(packed_b) // 4, groups.count(";"), len(links), state, pairs, times.astype(np.int32)
                 for column, value in zip(out, row):
                     column.append(value)
             kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -238,7 +286,7 @@ def aligned_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", pat
     linked = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("row", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
     counts = pair_counts(linked.select("row", "pair"))
     best, total = F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)), F.sum(F.col("times") * F.col("n"))
-    sums = linked.join(counts, "pair").groupBy("row").agg(best.alias("n_best"), total.alias("count_sum"))
+    sums = linked.join(counts.hint("shuffle_hash"), "pair").groupBy("row").agg(best.alias("n_best"), total.alias("count_sum"))
     whole = rows.drop("pairs", "times").join(sums, "row", "left").drop("row")
     return whole.fillna(0, ["n_best", "count_sum"])
 
