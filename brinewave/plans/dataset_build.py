@@ -11,20 +11,33 @@ from brinewave.functions.timing import SECOND_US, format_stamp, parent_name, par
 from brinewave.operators import segments as seg
 from brinewave.operators.features import segment_features
 from brinewave.session import cut_lineage
-from brinewave.sources import sinks, wav
+from brinewave.sources import ranges, sinks, wav
 
 HALF_US = 50 * SECOND_US
 
 
-def ingest(spark: SparkSession, root: str, table: str, extension: str = "wav") -> None:
-    """Decode the files that the waveform table does not hold yet into it, by station and day."""
+def ingest(spark: SparkSession, root: str, table: str, extension: str = "wav", by_range: bool = True) -> None:
+    """Decode the files that the waveform table does not hold yet into it, by station and day.
+
+    Files are read by byte ranges, and those that cannot be read, or end before their
+    samples do, are added to ``<table>_problems`` from their headers. ``by_range=False`` is for
+    stores that only Spark's own readers reach: whole files then go through the tasks.
+    """
     files = wav.list_files(spark, root, extension)
     stored = sinks.read_if_exists(spark, table)
     if stored is not None:
         known = stored.select("station", "file_start_us").distinct()
         named = files.withColumn("station", parent_name("path")).withColumn("file_start_us", to_us(parse_stamp(stem("path"))))
         files = named.join(known, ["station", "file_start_us"], "left_anti").select(*files.columns)
-    sinks.write_chunks(wav.decode_chunks(files, extension), table)
+    if by_range:
+        files = files.select("path", "length")
+    chunks = ranges.decode_ranges(files, extension) if by_range else wav.decode_chunks(files, extension)
+    if extension == "wav":
+        found = cut_lineage(wav.headers(files))
+        cut = F.concat_ws(" ", F.lit("cut:"), "h.n_samples", F.lit("of"), "h.n_declared", F.lit("samples"))
+        problems = found.select("path", F.coalesce("h.reason", F.when(F.col("h.n_samples") < F.col("h.n_declared"), cut)).alias("reason"))
+        problems.where("reason IS NOT NULL").write.mode("append").parquet(f"{table}_problems")
+    sinks.write_chunks(chunks, table)
 
 
 def archive_rates(files: DataFrame) -> list[int]:

@@ -12,11 +12,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewave.functions.timing import SECOND_US, floor_div, format_stamp
+from brinewave.functions.timing import SECOND_US, floor_div, format_stamp, parent_name
 from brinewave.operators import training, wavelet
 from brinewave.plans import evaluation, sql, views
 from brinewave.plans.registry import Tables, query
-from brinewave.sources import sinks, tables, wav
+from brinewave.sources import ranges, sinks, tables, wav
 
 with_ = sql.with_
 
@@ -83,6 +83,99 @@ def wav_headers(t: Tables) -> DataFrame:
     )
 
 
+#: names of station folders: blanks and characters that mean something in a URI
+PLACES = ["A", "B c", "D%20e", "F#g"]
+#: every so many vectors are one recording of a station; one recording in three is cut after its 1,000th sample
+TOGETHER, CUT_AT = 50, 1000
+
+
+def long_files(embeddings: DataFrame) -> DataFrame:
+    """``(path, content)``: recordings of many vectors each, 16 bits at 8 Hz, below folders with odd names."""
+    pcm = F.transform("embedding", lambda x: F.round(x.cast("double") * F.lit(10000.0)).cast("int"))
+    number = F.floor(F.col("vec_id") / TOGETHER)
+    joined = embeddings.groupBy(number.alias("f")).agg(F.array_sort(F.collect_list(F.struct("vec_id", pcm.alias("x")))).alias("l"))
+    samples = F.flatten(F.transform("l", lambda p: p["x"]))
+    start = F.lit(views.WAVE_BASE_US) + F.col("f") * F.lit(TOGETHER * 8 * SECOND_US)
+    place = F.element_at(F.array(*map(F.lit, PLACES)), (F.col("f") % len(PLACES) + 1).cast("int"))
+    path = F.concat(F.lit("net/"), place, F.lit("/"), format_stamp(start), F.lit(".wav"))
+    content = wav.encoded("x", views.WAVE_FS)
+    whole = joined.select(path.alias("path"), F.col("f"), samples.alias("x")).withColumn("content", content)
+    kept = F.when(F.col("f") % 3 == 0, F.substring("content", 1, 44 + 2 * CUT_AT)).otherwise(F.col("content"))
+    return whole.select("path", kept.alias("content"))
+
+
+def long_archive(t: Tables) -> str:
+    folder = new_folder(t.spark, "archive")
+    sinks.write_files(long_files(t.embeddings), folder)
+    return folder
+
+
+LONG_SQL = f"""places as (select unnest([0, 1, 2, 3]) as k, unnest({PLACES}) as place),
+samples as (
+  select vec_id // {TOGETHER} as f, (row_number() over (partition by vec_id // {TOGETHER} order by vec_id, i)) - 1 as pos, x
+  from (select vec_id, unnest(range(64)) as i, unnest(list_transform(embedding, lambda x: round(x::double * 10000)::bigint)) as x from embeddings)),
+files as (
+  select f, place, 1704067200000000 + f * {TOGETHER * 8 * SECOND_US} as start_us, count(*) as declared,
+         case when f % 3 = 0 then least(count(*), {CUT_AT}) else count(*) end as held
+  from samples join places on k = f % 4 group by f, place),
+held as (select s.*, place, start_us from samples s join files using (f) where pos < held)"""
+
+
+@query(
+    "q52_wav_ranges",
+    with_(LONG_SQL)
+    + """select place as station, start_us as file_start_us, start_us + (pos // 160) * 20000000 as chunk_us, count(*) as n,
+       sum(x * (pos % 160 + 1))::double as weighted from held group by all""",
+)
+def wav_ranges(t: Tables) -> DataFrame:
+    """Recordings on disk, several byte ranges each, some of them cut, through the data source."""
+    chunks = ranges.read_recordings(t.spark, long_archive(t), rangeBytes=1500, chunkSeconds=20)
+    weighted = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return chunks.select("station", "file_start_us", "chunk_us", F.size("samples").cast("bigint").alias("n"), weighted.alias("weighted"))
+
+
+@query(
+    "q52_wav_ranges_filtered",
+    with_(LONG_SQL)
+    + """, c as (select place, start_us + (pos // 160) * 20000000 as chunk_us, x from held)
+select place as station, count(*) as n, sum(x)::double as total from c
+where place in ('B c', 'F#g') and chunk_us >= 1704067260000000 and chunk_us < 1704071000000000 group by place""",
+)
+def wav_ranges_filtered(t: Tables) -> DataFrame:
+    """Two stations and a stretch of time: other files and chunks are not read."""
+    chunks = ranges.read_recordings(t.spark, long_archive(t), rangeBytes=1500, chunkSeconds=20)
+    some = chunks.where(F.col("station").isin("B c", "F#g") & (F.col("chunk_us") >= 1704067260000000) & (F.col("chunk_us") < 1704071000000000))
+    return some.groupBy("station").agg(
+        F.sum(F.size("samples")).cast("bigint").alias("n"), F.sum(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v)).alias("total")
+    )
+
+
+@query(
+    "q52_wav_headers_by_path",
+    with_(LONG_SQL)
+    + """select place as station, count(*) as n_files, sum(held)::bigint as n_samples, max(start_us + held * 125000)::bigint as end_us,
+       count(*) filter (held < declared) as n_cut, sum(declared - held)::bigint as n_missing from files group by place""",
+)
+def wav_headers_by_path(t: Tables) -> DataFrame:
+    """Catalog of files opened by path, their payload unread; cut files count with what they hold."""
+    files = wav.list_files(t.spark, long_archive(t)).select("path", "length")
+    held = wav.file_catalog(files).groupBy("station").agg(
+        F.count("*").alias("n_files"), F.sum("n_samples").alias("n_samples"), F.max("end_us").alias("end_us")
+    )
+    cut = wav.cut_files(files).groupBy(parent_name("path").alias("station")).agg(
+        F.count("*").alias("n_cut"), F.sum(F.col("n_declared") - F.col("n_samples")).alias("n_missing")
+    )
+    return held.join(cut, "station", "left").na.fill(0)
+
+
+@query("q52_stations", with_(LONG_SQL) + "select distinct place as station from files")
+def stations(t: Tables) -> DataFrame:
+    """Folders of an archive that hold recordings."""
+    folder = long_archive(t)
+    files = wav.list_files(t.spark, folder).select("path", "length")
+    return wav.discover_stations(files, folder).select("station")
+
+
 @query(
     "q48_annotation_lines",
     with_(sql.EV)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -48,6 +50,22 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     )
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """``(path, content)`` rows as files below ``root``; a task that runs again replaces its own files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme, place = root.split(":", 1) if ":" in root.split("/", 1)[0] else ("file", root)
+        store, base = (fs.LocalFileSystem(), "/" + place.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("path", "content").mapInArrow(run, "n long").agg({"n": "sum"}).collect()
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("overwrite").parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -29,14 +30,17 @@ class Unreadable(ValueError):
     """A file that is no recording of a known format."""
 
 
-def walk_header(read: bytes | Callable[[int, int], bytes]) -> dict:
+def walk_header(read: bytes | Callable[[int, int], bytes], length: int | None = None) -> dict:
     """Format fields and the position of the samples of a RIFF file.
 
     ``read(at, n)`` gives bytes of the file (or pass the bytes themselves): only chunk
-    headers are asked for, wherever the samples begin.
+    headers are asked for, wherever the samples begin. ``length`` is that of the file: a
+    file that ends before its samples do has as many as it holds (``n_samples``), however
+    many its header declares (``n_declared``).
     """
     if isinstance(read, bytes):
         data = read
+        length = len(data) if length is None else length
         read = lambda at, n: data[at : at + n]
     head = read(0, 12)
     if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
@@ -58,6 +62,9 @@ def walk_header(read: bytes | Callable[[int, int], bytes]) -> dict:
                 raise Unreadable(f"format {tag} with {bits} bits")
             if channels != 1:
                 raise Unreadable(f"{channels} channels, expected one")
+            held = size if length is None else min(size, length - at - 8)
+            if held < align:
+                raise Unreadable("no samples")
             return {
                 "fs": fs,
                 "channels": channels,
@@ -65,8 +72,8 @@ def walk_header(read: bytes | Callable[[int, int], bytes]) -> dict:
                 "align": align,
                 "tag": tag,
                 "first_byte": at + 8,
-                "n_bytes": size,
-                "n_samples": size // align,
+                "n_samples": held // align,
+                "n_declared": size // align,
             }
         at += 8 + size + (size & 1)
     raise Unreadable("no data chunk")
@@ -79,13 +86,15 @@ _FORMATS = {(PCM, 8): "u1", (PCM, 16): "<i2", (PCM, 24): None, (PCM, 32): "<i4",
 def decode_pcm(data: bytes) -> tuple[int, int, np.ndarray]:
     """(fs, bits, samples) of a mono file of integers or floats."""
     h = walk_header(data)
-    body = data[h["first_byte"] : h["first_byte"] + h["n_samples"] * h["align"]]
-    body = body[: len(body) // h["align"] * h["align"]]
+    return h["fs"], h["bits"], pcm_samples(data[h["first_byte"] : h["first_byte"] + h["n_samples"] * h["align"]], h)
+
+
+def pcm_samples(body: bytes, h: dict) -> np.ndarray:
+    """Samples of a piece of the data chunk; ``h`` are the fields of ``walk_header``."""
     if h["bits"] == 24:
         raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.uint32)
-        value = (raw[:, 0] << 8) | (raw[:, 1] << 16) | (raw[:, 2] << 24)
-        return h["fs"], 24, value.view(np.int32)
-    return h["fs"], h["bits"], np.frombuffer(body, _FORMATS[h["tag"], h["bits"]])
+        return ((raw[:, 0] << 8) | (raw[:, 1] << 16) | (raw[:, 2] << 24)).view(np.int32)
+    return np.frombuffer(body, _FORMATS[h["tag"], h["bits"]])
 
 
 # Decoder per file extension: bytes -> (fs, bits, samples)
@@ -111,7 +120,7 @@ def discover_stations(files: DataFrame, root: str, max_depth: int = MAX_DEPTH) -
 
     Below a directory that holds files nothing further is looked at.
     """
-    base = root.rstrip("/")
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?(?=/)", "", root).rstrip("/")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     relative = F.regexp_extract("folder", rf"^.*?\Q{base}\E/?(.*)$", 1)
     found = (
@@ -136,30 +145,41 @@ def discover_stations(files: DataFrame, root: str, max_depth: int = MAX_DEPTH) -
     )
 
 
-_HEADER = "struct<fs:int,bits:int,n_samples:bigint,reason:string>"
+_HEADER = "struct<fs:int,bits:int,n_samples:bigint,n_declared:bigint,reason:string>"
+_KINDS = {"fs": pa.int32(), "bits": pa.int32(), "n_samples": pa.int64(), "n_declared": pa.int64(), "reason": pa.string()}
 
 
-def _header_rows(reads: Iterator[Callable[[int, int], bytes] | bytes | None]) -> pa.Array:
-    rows = []
-    for read in reads:
-        try:
-            h = None if read is None else walk_header(read)
-            rows.append(h and {"fs": h["fs"], "bits": h["bits"], "n_samples": h["n_samples"], "reason": None})
-        except Unreadable as error:
-            rows.append({"fs": None, "bits": None, "n_samples": None, "reason": str(error)})
-    kinds = {"fs": pa.int32(), "bits": pa.int32(), "n_samples": pa.int64(), "reason": pa.string()}
-    return pa.array(rows, pa.struct(list(kinds.items())))
+def _header_row(read: Callable[[int, int], bytes] | bytes, length: int) -> dict:
+    try:
+        h = walk_header(read, length)
+        return {c: h.get(c) for c in _KINDS}
+    except Unreadable as error:
+        return {"reason": str(error)}
 
 
-def header_fields(heads: Column) -> Column:
-    """STRUCT<fs, bits, n_samples, reason> from the start of each file; null for null."""
+def header_fields(heads: Column, length: Column) -> Column:
+    """STRUCT<fs, bits, n_samples, n_declared, reason> from the start and the length of each file; null for null."""
 
     @arrow_udf(_HEADER)
-    def run(column: pa.Array) -> pa.Array:
-        return _header_rows(column.to_pylist())
+    def run(column: pa.Array, lengths: pa.Array) -> pa.Array:
+        rows = zip(column.to_pylist(), lengths.to_pylist())
+        return pa.array([None if c is None else _header_row(c, n) for c, n in rows], pa.struct(list(_KINDS.items())))
 
     # not deterministic to the optimizer: several columns read the result of one call
-    return run.asNondeterministic()(heads)
+    return run.asNondeterministic()(heads, length)
+
+
+def open_path(path: str) -> pa.NativeFile:
+    """A file by the name a file scan gives it: scheme and path, in which blanks, ``%`` and ``#`` are plain characters."""
+    scheme, place, name = re.match(r"(?:([A-Za-z][A-Za-z0-9+.-]+):)?(//[^/]*)?(.*)", path, re.S).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem().open_input_file(name)
+    store, base = fs.FileSystem.from_uri(f"{scheme}:{place or '//'}/")
+    return store.open_input_file(base.rstrip("/") + name)
+
+
+def reader_of(file: pa.NativeFile, length: int) -> Callable[[int, int], bytes]:
+    return lambda at, n: file.read_at(min(n, max(0, length - at)), at) if at < length else b""
 
 
 def headers(files: DataFrame) -> DataFrame:
@@ -171,20 +191,19 @@ def headers(files: DataFrame) -> DataFrame:
     """
     files = files.where("length > 0")
     if "content" in files.columns:
-        short = files.select("path", "content", header_fields(F.substring("content", 1, HEADER_BYTES)).alias("h"))
-        unreached = F.col("h.reason") == "no data chunk"
-        whole = short.withColumn("w", header_fields(F.when(unreached, F.col("content"))))
+        size = F.octet_length("content").cast("bigint")
+        short = files.select("path", "content", header_fields(F.substring("content", 1, HEADER_BYTES), size).alias("h"))
+        unreached = F.col("h.reason").isin("no data chunk", "format chunk is cut")
+        whole = short.withColumn("w", header_fields(F.when(unreached, F.col("content")), size))
         return whole.select("path", F.coalesce("w", "h").alias("h"))
 
     @arrow_udf(_HEADER)
     def run(paths: pa.Array) -> pa.Array:
-        def reader(path: str):
-            store, name = fs.FileSystem.from_uri(path)
-            file = store.open_input_file(name)
-            size = file.size()
-            return lambda at, n: file.read_at(min(n, max(0, size - at)), at) if at < size else b""
-
-        return _header_rows(reader(p) for p in paths.to_pylist())
+        rows = []
+        for path in paths.to_pylist():
+            with open_path(path) as file:
+                rows.append(_header_row(reader_of(file, file.size()), file.size()))
+        return pa.array(rows, pa.struct(list(_KINDS.items())))
 
     return files.select("path", run.asNondeterministic()(F.col("path")).alias("h"))
 
@@ -209,6 +228,12 @@ def unreadable_files(files: DataFrame) -> DataFrame:
     return headers(files).where("h.reason IS NOT NULL").select("path", "h.reason")
 
 
+def cut_files(files: DataFrame) -> DataFrame:
+    """``(path, n_samples, n_declared)`` of the files that end before their samples do; catalog and chunks hold what is there."""
+    found = headers(files).select("path", "h.n_samples", "h.n_declared")
+    return found.where("n_samples < n_declared")
+
+
 def decode_chunks(files: DataFrame, extension: str = "wav", chunk_s: float = CHUNK_S, halo: int = HALO) -> DataFrame:
     """Waveform table from a binary-file scan: one row per ``chunk_s`` seconds of a file.
 
@@ -222,51 +247,60 @@ def decode_chunks(files: DataFrame, extension: str = "wav", chunk_s: float = CHU
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [
-                ("station", pa.string()),
-                ("file_start_us", pa.int64()),
-                ("file_samples", pa.int64()),
-                ("first_sample", pa.int64()),
-                ("chunk_us", pa.int64()),
-                ("fs", pa.int32()),
-                ("bits", pa.int32()),
-                ("samples", pa.list_(pa.float64())),
-                ("halo", pa.list_(pa.float64())),
-            ]
-        )
         for batch in batches:
             for station, start, content in zip(*(batch.column(i) for i in range(3))):
                 try:
                     fs, bits, x = decode(content.as_py())
                 except Unreadable:
                     continue
-                x = x.astype(np.float64)
-                size = max(1, int(fs * min(chunk_s, 86_400)))
+                size = chunk_samples(fs, chunk_s)
                 first = np.arange(0, len(x), size)
-                if not len(first):
-                    continue
-                ends = np.append(first[1:], len(x))
-                offsets = np.append(first, len(x)).astype(np.int32)
-                n = len(first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([station.as_py()] * n),
-                        pa.array([start.as_py()] * n, pa.int64()),
-                        pa.array(np.full(n, ends[-1]), pa.int64()),
-                        pa.array(first, pa.int64()),
-                        pa.array(start.as_py() + np.rint(first * 1e6 / fs).astype(np.int64)),
-                        pa.array(np.full(n, fs), pa.int32()),
-                        pa.array(np.full(n, bits), pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)),
-                        pa.array([x[end : end + halo] for end in ends], pa.list_(pa.float64())),
-                    ],
-                    schema=schema,
-                )
+                if len(first):
+                    yield chunk_batch(station.as_py(), start.as_py(), fs, bits, len(x), size, first, x.astype(np.float64), 0, halo)
 
     return named.mapInArrow(run, CHUNKS)
 
 
+def chunk_samples(fs: int, chunk_s: float) -> int:
+    return max(1, int(fs * min(chunk_s, 86_400)))
+
+
+_CHUNK_FIELDS = pa.schema(
+    [
+        ("station", pa.string()),
+        ("file_start_us", pa.int64()),
+        ("file_samples", pa.int64()),
+        ("first_sample", pa.int64()),
+        ("chunk_us", pa.int64()),
+        ("fs", pa.int32()),
+        ("bits", pa.int32()),
+        ("samples", pa.list_(pa.float64())),
+        ("halo", pa.list_(pa.float64())),
+    ]
+)
+
+
+def chunk_batch(station: str, start: int, fs: int, bits: int, total: int, size: int, first: np.ndarray, x: np.ndarray, at: int, halo: int) -> pa.RecordBatch:
+    """Rows of the chunks that begin at samples ``first``; ``x`` are the file's samples from number ``at``, halo included."""
+    n = len(first)
+    ends = np.minimum(first + size, total)
+    offsets = (np.append(first, ends[-1]) - at).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([station] * n, pa.string()),
+            pa.array([start] * n, pa.int64()),
+            pa.array(np.full(n, total), pa.int64()),
+            pa.array(first, pa.int64()),
+            pa.array([None if start is None else start + us for us in np.rint(first * 1e6 / fs).astype(np.int64).tolist()], pa.int64()),
+            pa.array(np.full(n, fs), pa.int32()),
+            pa.array(np.full(n, bits), pa.int32()),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)),
+            pa.array([x[end - at : end - at + halo] for end in ends], pa.list_(pa.float64())),
+        ],
+        schema=_CHUNK_FIELDS,
+    )
+
+
 def encode_wav(samples, fs: int, bits: int = 16, tag: int = PCM, before: bytes = b"") -> bytes:
     """Mono file of the given values; ``before`` stands in a LIST chunk in front of them."""
     if bits == 24:
