@@ -14,7 +14,8 @@ Defined cases: null roles and texts are empty; a null score counts as 0; a messa
 parent is missing or null starts a tree of its own; equal scores rank by the leaf's id;
 rows with the id of another row in the tree are the same node only if callers number them
 alike (``chains`` numbers turns, so repeated rows are turns of their own); replies in a
-circle have no root and give no path; an empty table gives no rows.
+circle, and those that hang on one, have no root and give no path, and other trees keep
+theirs; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,23 +47,26 @@ def paths(nodes: DataFrame) -> DataFrame:
     nodes = materialise(nodes.select("tree", "node", "parent"), "nodes")
     alive = nodes.select("tree", F.col("node").alias("parent")).distinct()
     up = nodes.join(alive, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("far"))
-    up = materialise(up, "jumps")
+    # a path of its tree is no longer than the tree: beyond that a pointer runs in a circle
+    sizes = nodes.groupBy("tree").agg(F.count("*").alias("size"))
+    up = materialise(up.join(sizes, "tree"), "jumps")
     inner = up.select("tree", F.col("far").alias("node")).distinct()
     leaves = nodes.join(inner, ["tree", "node"], "left_anti")
     found = materialise(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("above")), "ancestors")
-    step, rows = 1, found.count()
+    roots = nodes.select("tree", "node").join(up.select("tree", "node"), ["tree", "node"], "left_anti").distinct()
+    step = 1
     while True:
-        more = found.join(up, ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"), (F.col("above") + step).alias("above"))
-        more = materialise(more, "ancestors")
+        more = found.join(up, ["tree", "node"]).where(F.col("above") + step < F.col("size"))
+        more = materialise(more.select("tree", "leaf", F.col("far").alias("node"), (F.col("above") + step).alias("above")), "ancestors")
         if more.isEmpty():
             break
         found, step = found.unionByName(more), 2 * step
-        if step > max(2, 2 * rows):
-            raise ValueError("replies in a circle")
         hop = up.select("tree", F.col("node").alias("far"), F.col("far").alias("next"))
-        up = materialise(up.join(hop, ["tree", "far"]).select("tree", "node", F.col("next").alias("far")), "jumps")
-    length = found.groupBy("tree", "leaf").agg(F.max("above").alias("last"))
-    return found.join(length, ["tree", "leaf"]).select("tree", "leaf", "node", (F.col("last") - F.col("above")).alias("place"))
+        up = materialise(up.join(hop, ["tree", "far"]).select("tree", "node", F.col("next").alias("far"), "size"), "jumps")
+    # a chain of replies without a root ends in a circle
+    rooted = found.join(roots, ["tree", "node"]).groupBy("tree", "leaf").agg(F.max("above").alias("last"))
+    whole = found.join(rooted, ["tree", "leaf"])
+    return whole.select("tree", "leaf", "node", (F.col("last") - F.col("above")).alias("place"))
 
 
 def conversations(nodes: DataFrame, best: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from brinewave.llm import decontaminate as d
 from brinewave.llm import extract as x
 from brinewave.llm import replytree as r
 from brinewave.llm import urltree as u
-from brinewave.llm.common import prepare
+from brinewave.llm.common import LLM_QUERIES, prepare
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header class="site"><h1>Site</h1></header>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>{open}<h1>A title</h1><p><b>First &amp; words
@@ -133,6 +133,23 @@ def test_paths_of_random_trees(spark):
         assert t.leaf == ranked[0][1] and [n.text for n in t.turns] == [f"t{n}" for n in want[(t.tree, t.leaf)]]
 
 
+@pytest.mark.parametrize("turns", [1, 2, 3, 12, 200])
+def test_one_conversation_alone(spark, tmp_path, turns):
+    rows = [(7, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {t.conv_id: t.n_turns for t in LLM_QUERIES["op2_reply_paths"](spark, str(tmp_path)).collect()}
+    assert got == {7: turns, -1: 2}
+
+
+def test_long_paths_beside_circles_with_tails(spark):
+    kind = "tree string, node int, parent int, role string, text string, score double"
+    line = [("long", i, i - 1 if i else None, "user", str(i), 1.0) for i in range(40)]
+    circle = [("bad", 1, 3, "user", "a", 0.0), ("bad", 2, 1, "user", "b", 0.0), ("bad", 3, 2, "user", "c", 0.0), ("bad", 4, 3, "user", "tail", 0.0), ("bad", 5, 4, "user", "end", 0.0)]
+    both = [("both", 1, None, "user", "root", 0.0), ("both", 2, 1, "user", "x", 0.0), ("both", 8, 9, "user", "y", 0.0), ("both", 9, 8, "user", "z", 0.0), ("both", 10, 9, "user", "tail", 0.0), ("self", 1, 1, "user", "me", 0.0)]
+    found = r.conversations(spark.createDataFrame(line + circle + both, kind)).collect()
+    assert {(t.tree, t.leaf): [x.text for x in t.turns] for t in found} == {("long", 39): [str(i) for i in range(40)], ("both", 2): ["root", "x"]}
+
+
 def test_circles_and_empty_trees(spark):
     prepare(spark)
     kind = "tree string, node int, parent int, role string, text string, score double"
