@@ -340,6 +340,53 @@ def waveform_column(
     return run(samples)
 
 
+def tenths_half_even(us: np.ndarray) -> np.ndarray:
+    """Microseconds in tenths of a second, half to even."""
+    q, rest = np.divmod(us, 100_000)
+    return q + ((rest > 50_000) | ((rest == 50_000) & (q % 2 != 0)))
+
+
+def ordered_picks(times: np.ndarray, copies: np.ndarray, at: int, center: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets in tenths, copies): the own time first, then earlier and later ones by their distance.
+
+    Times of one side with the same offset are one pick.
+    """
+    gap = times - at
+    side, distance = np.where(gap == 0, 0, np.where(gap < 0, 1, 2)), np.abs(gap)
+    offset = tenths_half_even(times - center)
+    order = np.lexsort((distance, offset, side))
+    side, offset, distance = side[order], offset[order], distance[order]
+    first = np.flatnonzero(np.append(True, (side[1:] != side[:-1]) | (offset[1:] != offset[:-1])))
+    total = np.add.reduceat(copies[order], first)
+    place = np.lexsort((offset[first], distance[first], side[first]))
+    return offset[first][place], total[place]
+
+
+def neighbour_picks(near: Column | str, at_us: Column | str, center_us: Column | str) -> Column:
+    """ARRAY<STRUCT<offset_s, n_annotators, copies>> from lists of STRUCT<event_us, copies>; empty for null."""
+
+    @arrow_udf("array<struct<offset_s:double,n_annotators:int,copies:bigint>>")
+    def run(lists: pa.Array, at: pa.Array, center: pa.Array) -> pa.Array:
+        sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+        flat = lists.flatten()
+        times, copies = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        offsets, counts, n = [], [], []
+        end = np.cumsum(sizes)
+        for first, last, a, c in zip((end - sizes).tolist(), end.tolist(), at.to_pylist(), center.to_pylist()):
+            o, k = ordered_picks(times[first:last], copies[first:last], a, c) if last > first else (times[:0], copies[:0])
+            offsets.append(o)
+            counts.append(k)
+            n.append(len(o))
+        tenths = np.concatenate([times[:0], *offsets])
+        picks = pa.StructArray.from_arrays(
+            [pa.array(tenths / 10.0), pa.nulls(len(tenths), pa.int32()), pa.array(np.concatenate([copies[:0], *counts]), pa.int64())],
+            ["offset_s", "n_annotators", "copies"],
+        )
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), picks)
+
+    return run(near, at_us, center_us)
+
+
 def triangles(at: np.ndarray, n: int, width: float) -> np.ndarray:
     """Triangles of half width ``width`` steps around the positions of each row, over n steps."""
     steps = np.arange(n, dtype=float)

@@ -121,31 +121,42 @@ def anchored_segments(
     )
 
 
+def neighbour_lists(anchors: DataFrame, events: DataFrame, half_us: int) -> DataFrame:
+    """``anchors`` with ``near``: the event times of the station within the half width of the center.
+
+    ``near`` is ordered ARRAY<STRUCT<event_us, copies>>, null where there is none; events at
+    one time are one entry. Time is cut into cells of one window. A cell is one row that
+    lists its events and those up to half a window beyond its borders, so an anchor meets
+    one row and no pairs are formed; a cell with many anchors is a skewed join, which Spark
+    splits. A list is as long as its window has distinct times.
+    """
+    width = 2 * half_us
+    times = events.groupBy("station", F.col("at_us").alias("event_us")).agg(F.count("*").alias("copies"))
+    touched = F.sequence(floor_div(F.col("event_us") - half_us, width), floor_div(F.col("event_us") + half_us, width))
+    cells = times.withColumn("_cell", F.explode(touched)).groupBy("station", "_cell").agg(
+        F.array_sort(F.collect_list(F.struct("event_us", "copies"))).alias("_times")
+    )
+    met = anchors.withColumn("_cell", floor_div("center_us", width)).join(cells, ["station", "_cell"], "left")
+    inside = F.filter("_times", lambda t: F.abs(t["event_us"] - F.col("center_us")) <= half_us)
+    return met.withColumn("near", inside).drop("_cell", "_times")
+
+
 def anchor_context(anchors: DataFrame, events: DataFrame, half_us: int) -> DataFrame:
-    """All events of the station within the half width of each anchor's center.
+    """``neighbour_lists`` in long form, a row for each event time.
 
-    Rows come out in long form; ``side`` is 0 for the anchor's own time, 1 for
-    earlier and 2 for later events, which with ``gap_us`` gives the list order.
-    Events at one time are collapsed into a row with ``copies`` beforehand:
-    annotation stamps are whole seconds, so a window has at most as many rows as
-    seconds, whatever number of annotations it holds.
+    ``side`` is 0 for the anchor's own time, 1 for earlier and 2 for later events, which
+    with ``gap_us`` gives the order of the pick list.
     """
-    times = events.groupBy("station", F.col("at_us").alias("event_us")).agg(
-        F.count("*").alias("copies")
-    )
-    windows = anchors.withColumn("_hi", F.col("seg_end_us"))
-    pairs = points_in_intervals(
-        times, windows, ["station"], "event_us", "seg_start_us", "_hi", 2 * half_us, closed_right=True
-    )
-    gap = F.col("event_us") - F.col("at_us")
-    return pairs.select(
+    near = neighbour_lists(anchors, events, half_us).select("station", "event_id", "at_us", "center_us", F.explode("near").alias("n"))
+    gap = F.col("n.event_us") - F.col("at_us")
+    return near.select(
         "station",
         "event_id",
         "center_us",
         F.when(gap == 0, 0).when(gap < 0, 1).otherwise(2).alias("side"),
         F.abs(gap).alias("gap_us"),
-        one_decimal(F.col("event_us") - F.col("center_us")).alias("offset_s"),
-        "copies",
+        one_decimal(F.col("n.event_us") - F.col("center_us")).alias("offset_s"),
+        F.col("n.copies").alias("copies"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewave.functions.timing import SECOND_US, format_stamp, parent_name, parse_stamp, stem, to_us
+from brinewave.functions.kernels import neighbour_picks
 from brinewave.operators import segments as seg
 from brinewave.operators.features import segment_features
 from brinewave.session import cut_lineage
@@ -78,18 +79,8 @@ def training_segments(annotations: DataFrame, half_us: int = HALF_US, multiplier
     """
     positives = annotations.where("label = 'positive'")
     anchors = seg.anchored_segments(positives, half_us, multiplier, seed)
-    context = seg.anchor_context(anchors, positives, half_us)
-    per_offset = context.groupBy("event_id", "side", "offset_s").agg(
-        F.min("gap_us").alias("gap_us"), F.sum("copies").alias("copies")
-    )
-    pick = F.struct(
-        "offset_s", F.lit(None).cast("int").alias("n_annotators"), F.col("copies")
-    )
-    listed = per_offset.groupBy("event_id").agg(
-        F.array_sort(F.collect_list(F.struct("side", "gap_us", pick.alias("pick")))).alias("l")
-    )
-    picks = listed.select("event_id", F.transform("l", lambda x: x["pick"]).alias("picks"))
-    anchored = anchors.join(picks, "event_id").withColumn("label", F.lit("positive"))
+    listed = seg.neighbour_lists(anchors, positives, half_us)
+    anchored = listed.withColumn("picks", neighbour_picks("near", "at_us", "center_us")).withColumn("label", F.lit("positive")).drop("near")
     negatives = annotations.where("label = 'negative'").select(
         "station",
         "event_id",
@@ -97,7 +88,7 @@ def training_segments(annotations: DataFrame, half_us: int = HALF_US, multiplier
         F.col("at_us").alias("center_us"),
         (F.col("at_us") - half_us).alias("seg_start_us"),
         (F.col("at_us") + half_us).alias("seg_end_us"),
-        F.array().cast(picks.schema["picks"].dataType).alias("picks"),
+        F.array().cast(anchored.schema["picks"].dataType).alias("picks"),
         F.lit("negative").alias("label"),
     )
     return anchored.unionByName(negatives)

@@ -136,6 +136,37 @@ def test_anchor_context_is_within_the_window(spark):
         assert any(r.side == 0 for r in mine)
 
 
+def test_picks_equal_those_of_the_long_form(spark):
+    """The list of a training segment against its rows, with ties, copies and offsets on the half."""
+    from brinewave.plans.dataset_build import training_segments
+
+    rng = random.Random(10)
+    rows = [("A" if i % 3 else "B", i, rng.randrange(0, 4000) * 50_000, "positive") for i in range(300)]
+    ev = spark.createDataFrame(rows + [("A", 900, 5, "negative")], "station string, event_id int, at_us bigint, label string")
+    positives = ev.where("label = 'positive'")
+    segments = training_segments(ev, 20 * S)
+    got = {r.event_id: [(p.offset_s, p.copies) for p in r.picks] for r in segments.collect()}
+    long = {}
+    for r in seg.anchor_context(seg.anchored_segments(positives, 20 * S), positives, 20 * S).collect():
+        merged = long.setdefault(r.event_id, {})
+        gap, n = merged.get((r.side, r.offset_s), (r.gap_us, 0))
+        merged[r.side, r.offset_s] = (min(gap, r.gap_us), n + r.copies)
+    assert got.pop(900) == []
+    assert got == {e: [(o, n) for _, _, o, n in sorted((s, g, o, n) for (s, o), (g, n) in m.items())] for e, m in long.items()}
+
+
+def test_neighbours_form_no_pairs(spark):
+    ev = spark.createDataFrame([("A", i, i * S) for i in range(50)], "station string, event_id int, at_us bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = seg.neighbour_lists(seg.anchored_segments(ev, 5 * S), ev, 5 * S)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") <= 2 and "NestedLoop" not in plan
+    assert found.count() == 50  # a row for each anchor
+
+
 def test_no_shift_with_multiplier_zero(spark):
     ev = spark.createDataFrame([("A", 1, 77 * S)], "station string, event_id int, at_us bigint")
     assert seg.anchored_segments(ev, 50 * S, multiplier=0.0).first().center_us == 77 * S
