@@ -34,16 +34,14 @@ def points_in_intervals(
     A point lies in one cell, so no pair is found twice and ``how='left'`` is safe.
     """
     cut_points = points.withColumn("_cell", floor_div(at, width))
-    cut_intervals = intervals.withColumn("_cell", cells(F.col(lo), F.col(hi), width))
+    # the keys of the intervals get names of their own: both sides may come from one table
+    other = {k: f"_of_{k}" for k in [*keys, "_cell"]}
+    cut_intervals = intervals.withColumn("_cell", cells(F.col(lo), F.col(hi), width)).withColumnsRenamed(other)
     upper = F.col(at) <= F.col(hi) if closed_right else F.col(at) < F.col(hi)
-    same = [cut_points[k] == cut_intervals[k] for k in [*keys, "_cell"]]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    joined = cut_points.join(cut_intervals, on & (F.col(at) >= F.col(lo)) & upper, how)
-    for k in [*keys, "_cell"]:
-        joined = joined.drop(cut_intervals[k])
-    return joined.drop("_cell")
+    on = (F.col(at) >= F.col(lo)) & upper
+    for k, name in other.items():
+        on = (F.col(k) == F.col(name)) & on
+    return cut_points.join(cut_intervals, on, how).drop("_cell", *other.values())
 
 
 def overlaps(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from brinewave.functions.curves import unnest
 from brinewave.functions.kernels import image_column, resize_images
 from brinewave.functions.levels import to_pixel
-from brinewave.functions.timing import SECOND_US
+from brinewave.functions.timing import HOUR_US, SECOND_US, floor_div
 from brinewave.operators.rangejoin import points_in_intervals
 
 
@@ -118,18 +118,53 @@ def viewport(frames: DataFrame, requests: DataFrame, f_lo: float, f_hi: float, w
     ``frames(station, frame_us, f, v)``, ``requests(request, station, center_us,
     length_us)``.
     """
+    windows = request_windows(requests)
+    inside = frames.where((F.col("f") >= f_lo) & (F.col("f") <= f_hi))
+    found = points_in_intervals(
+        inside, windows, ["station"], "frame_us", "v_start", "v_end", width_us, closed_right=True
+    )
+    return relative(found)
+
+
+def request_windows(requests: DataFrame) -> DataFrame:
     half = (F.col("length_us") / 2).cast("bigint")
-    windows = requests.select(
+    return requests.select(
         "request",
         "station",
         "center_us",
         (F.col("center_us") - half).alias("v_start"),
         (F.col("center_us") + half).alias("v_end"),
     )
-    inside = frames.where((F.col("f") >= f_lo) & (F.col("f") <= f_hi))
-    found = points_in_intervals(
-        inside, windows, ["station"], "frame_us", "v_start", "v_end", width_us, closed_right=True
-    )
+
+
+def relative(found: DataFrame) -> DataFrame:
     return found.withColumn(
         "t_rel", (F.col("frame_us") - F.col("center_us")) / F.lit(float(SECOND_US))
     ).drop("v_start", "v_end")
+
+
+def requested_only(rows: DataFrame, requests: DataFrame, start: str, end: str, width_us: int) -> DataFrame:
+    """``rows(station, start, end, ...)`` that touch a requested window, once each.
+
+    Windows are cut into cells first, so rows meet a short list of cells and nothing is
+    paired; what is left can then be transformed.
+    """
+    windows = request_windows(requests)
+    cell = F.explode(F.sequence(floor_div("v_start", width_us), floor_div("v_end", width_us)))
+    # a row is told by its first and last cell: it must be no longer than a cell
+    wanted = windows.select("station", cell.alias("_cell")).distinct()
+    near = wanted.select("station", F.explode(F.array(F.col("_cell"), F.col("_cell") + 1)).alias("_end_cell")).distinct()
+    cut = rows.withColumn("_end_cell", floor_div(end, width_us))
+    return cut.join(near, ["station", "_end_cell"], "left_semi").drop("_end_cell")
+
+
+def stored_viewport(frames: DataFrame, requests: DataFrame, f_lo: float, f_hi: float) -> DataFrame:
+    """``viewport`` of frames that ``sinks.write_frames`` stored: requests name their hours, other folders are not read.
+
+    Spark prunes folders by the requests at run time where it broadcasts them.
+    """
+    hours = F.explode(F.sequence(floor_div("v_start", HOUR_US), floor_div("v_end", HOUR_US)))
+    windows = request_windows(requests).withColumn("hour", hours)
+    inside = frames.where((F.col("f") >= f_lo) & (F.col("f") <= f_hi))
+    met = inside.join(windows, ["station", "hour"]).where((F.col("frame_us") >= F.col("v_start")) & (F.col("frame_us") <= F.col("v_end")))
+    return relative(met.drop("hour"))

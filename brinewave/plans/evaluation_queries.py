@@ -10,6 +10,8 @@ from brinewave.functions.timing import HOUR_US, seconds
 from brinewave.operators import compare, folds, history, matching, scoring
 from brinewave.plans import sql, views
 from brinewave.plans.registry import Tables, query
+from brinewave.plans.storage import new_folder
+from brinewave.sources import sinks
 from brinewave.sources.tables import join_features
 
 with_ = sql.with_
@@ -401,25 +403,23 @@ def model_compare(t: Tables) -> DataFrame:
     return report.withColumn("errors", F.round("errors", 9)).withColumn("clicks", F.round("clicks", 9))
 
 
+#: buckets of the stored features, about 128 MB each on the tables at hand
+FEATURE_BUCKETS = 8
+
+
 @query(
     "q38_feature_store_join",
     """select e.vec_id, l.quality as y, 's' || (e.vec_id % 7) || '.npy' as file, round(list_sum(list_transform(e.embedding, lambda x: x::double)), 6) as total
 from embeddings e join labels l on l.doc_id = e.vec_id""",
 )
 def feature_store_join(t: Tables) -> DataFrame:
-    """Stored vectors of both classes joined to the manifest by label, file and index."""
-    named = F.when(F.col("quality") == 1, "positive").otherwise("negative")
-    file = lambda c: F.concat(F.lit("s"), (F.col(c) % 7).cast("string"), F.lit(".npy"))
-    manifest = t.labels.select(
-        named.alias("label"), file("doc_id").alias("file"), F.col("doc_id").alias("idx"), F.col("quality").alias("y")
-    )
-    stored = views.waves(t.embeddings)
-    features = stored.select(
-        F.explode(F.array(F.lit("positive"), F.lit("negative"))).alias("label"),
-        file("vec_id").alias("file"),
-        F.col("vec_id").alias("idx"),
-        "samples",
-    )
-    joined = join_features(manifest, features)
+    """Vectors stored in buckets of (label, file, index), joined to a manifest without moving them."""
+    named = F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label")
+    file = lambda c: F.concat(F.lit("s"), (F.col(c) % 7).cast("string"), F.lit(".npy")).alias("file")
+    manifest = t.labels.select(named, file("doc_id"), F.col("doc_id").alias("idx"), F.col("quality").alias("y"))
+    known = t.labels.select(F.col("doc_id").alias("vec_id"), named)
+    vectors = views.waves(t.embeddings).join(known, "vec_id", "left").select("label", file("vec_id"), F.col("vec_id").alias("idx"), "samples")
+    folder = new_folder(t.spark, "features")
+    features = sinks.write_buckets(vectors, f"features_{folder[-32:]}", folder, ["label", "file", "idx"], FEATURE_BUCKETS)
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
-    return joined.select(F.col("idx").alias("vec_id"), "y", "file", F.round(total, 6).alias("total"))
+    return join_features(manifest, features).select(F.col("idx").alias("vec_id"), "y", "file", F.round(total, 6).alias("total"))

@@ -11,8 +11,9 @@ from brinewave.operators import segments as seg
 from brinewave.operators import spectral, waveform, wavelet
 from brinewave.operators.archive import archive_frames
 from brinewave.plans import sql, views
+from brinewave.plans.storage import new_folder
 from brinewave.plans.registry import Tables, query
-from brinewave.sources import wav
+from brinewave.sources import sinks, wav
 
 with_ = sql.with_
 FS, NPERSEG = 8.0, 16
@@ -196,8 +197,7 @@ def quantise(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "q35_viewport",
+VIEWPORT_SQL = (
     with_(sql.FRAMES)
     + """, fr as (
   select id % 5 as station, 1704067200000000 + (id // 5) * 8000000 + ((1 + t_bin) * 1000000)::bigint as frame_us, f_bin, v
@@ -205,22 +205,51 @@ def quantise(t: Tables) -> DataFrame:
 req as (
   select n_name as request, n_regionkey as station, 1704067200000000 + n_nationkey * 31000000 + 9000000 as center_us from nation)
 select request, fr.station::bigint as station, (frame_us - center_us) / 1e6 as t_rel, f_bin::int as f_bin, round(v, 4) as v
-from fr join req on fr.station = req.station and frame_us between center_us - 10000000 and center_us + 10000000""",
+from fr join req on fr.station = req.station and frame_us between center_us - 10000000 and center_us + 10000000"""
 )
+
+
+@query("q35_viewport", VIEWPORT_SQL)
 def viewport(t: Tables) -> DataFrame:
     """Spectrogram between 0.5 and 2.5 Hz in 20-second windows around requested centers."""
-    station, block = F.col("vec_id") % 5, F.floor(F.col("vec_id") / 5)
-    rows = spectral.long_form(spectral.spectrogram(views.waves(t.embeddings), FS, NPERSEG).drop("samples"), ["vec_id"], FS, NPERSEG)
-    frame = F.lit(views.WAVE_BASE_US) + block * F.lit(8_000_000) + (F.col("t") * F.lit(1e6)).cast("bigint")
-    frames = rows.select(station.alias("station"), frame.alias("frame_us"), "f_bin", "f", "v")
-    requests = t.nation.select(
+    asked = view_requests(t)
+    waves = placed_waves(t).withColumn("end_us", F.col("start_us") + 8_000_000)
+    wanted = spectral.requested_only(waves, asked, "start_us", "end_us", 20_000_000)
+    seen = spectral.viewport(wave_frames(wanted), asked, 0.5, 2.5, 20_000_000)
+    return seen.select("request", "station", "t_rel", "f_bin", F.round("v", 4).alias("v"))
+
+
+def placed_waves(t: Tables) -> DataFrame:
+    """The vectors as recordings of five stations, eight seconds each."""
+    start = F.lit(views.WAVE_BASE_US) + F.floor(F.col("vec_id") / 5) * F.lit(8_000_000)
+    return views.waves(t.embeddings).withColumn("station", F.col("vec_id") % 5).withColumn("start_us", start)
+
+
+def wave_frames(waves: DataFrame) -> DataFrame:
+    """``(station, frame_us, f_bin, f, v)`` of placed waves."""
+    rows = spectral.spectrogram(waves, FS, NPERSEG).drop("samples")
+    each = spectral.long_form(rows, ["station", "start_us"], FS, NPERSEG)
+    return each.select("station", (F.col("start_us") + (F.col("t") * F.lit(1e6)).cast("bigint")).alias("frame_us"), "f_bin", "f", "v")
+
+
+def view_requests(t: Tables) -> DataFrame:
+    return t.nation.select(
         F.col("n_name").alias("request"),
         F.col("n_regionkey").cast("bigint").alias("station"),
         (F.lit(views.WAVE_BASE_US) + F.col("n_nationkey") * F.lit(31_000_000) + 9_000_000).alias("center_us"),
         F.lit(20_000_000).cast("bigint").alias("length_us"),
     )
-    seen = spectral.viewport(frames, requests, 0.5, 2.5, 20_000_000)
-    return seen.select("request", "station", "t_rel", "f_bin", F.round("v", 4).alias("v"))
+
+
+@query("q35_stored_viewport", VIEWPORT_SQL)
+def stored_viewport(t: Tables) -> DataFrame:
+    """The same windows out of frames stored by station and hour."""
+    folder = new_folder(t.spark, "frames")
+    sinks.write_frames(wave_frames(placed_waves(t)), folder)
+    # the requests inside the archive's time
+    asked = view_requests(t).where(F.col("center_us") >= views.WAVE_BASE_US)
+    seen = spectral.stored_viewport(t.spark.read.parquet(folder), asked, 0.5, 2.5)
+    return seen.select("request", F.col("station").cast("bigint").alias("station"), "t_rel", "f_bin", F.round("v", 4).alias("v"))
 
 
 def offsets_of(quality: str, key: str):

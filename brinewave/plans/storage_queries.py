@@ -6,26 +6,19 @@ folder where none is set).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.functions.timing import SECOND_US, floor_div, format_stamp, parent_name
 from brinewave.operators import training, wavelet
 from brinewave.plans import evaluation, sql, views
 from brinewave.plans.registry import Tables, query
+from brinewave.plans.storage import new_folder
 from brinewave.sources import ranges, sinks, tables, wav
 
 with_ = sql.with_
 
 
-def new_folder(spark: SparkSession, kind: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brinewave-")
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 #: kinds of files of the mixed archive; the last kind is an empty file
 KINDS = [{}, {"bits": 8}, {"bits": 24}, {"bits": 32}, {"bits": 32, "tag": wav.FLOAT}, {"before": b"x" * 6001}]
 

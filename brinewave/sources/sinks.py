@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from brinewave.functions.timing import HOUR_US, floor_div
 from brinewave.operators.segments import missing_only
 
 RESULT_KEYS = ["model", "dataset", "min_annot"]
@@ -95,6 +96,32 @@ def write_new_features(
     compute(todo).write.mode("append").partitionBy(*partition).parquet(path)
 
 
+def write_buckets(rows: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """A feature table dealt out by its keys once: joins by them move the other side only.
+
+    The number of buckets holds for the table's life; about 128 MB a bucket suits a scan.
+    """
+    dealt = rows.repartition(buckets, *keys)  # one file for each bucket
+    dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def open_buckets(spark: SparkSession, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """A table that ``write_buckets`` made in another session, under a name in this one."""
+    fields = spark.read.parquet(path).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    by = ", ".join(f"`{k}`" for k in keys)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(table)
+
+
+def write_frames(frames: DataFrame, path: str) -> None:
+    """Archive spectrogram by station and hour, which a viewport prunes by."""
+    hourly = frames.withColumn("hour", floor_div("frame_us", HOUR_US))
+    hourly.repartition("station", "hour").write.mode("append").partitionBy("station", "hour").parquet(path)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Evaluation results by (model, dataset, min_annot); a rerun replaces its own folder."""
     (
