@@ -62,7 +62,9 @@ def check(spark, tmp_path, rows):
     assert sorted(key((r.doc_id, r.n_shingles, r.component_id)) for r in got) == sorted(map(key, brute(rows)))
 
 
-def test_against_all_pairs(spark, tmp_path):
+@pytest.mark.parametrize("tokens", [300_000, 100])
+def test_against_all_pairs(spark, tmp_path, monkeypatch, tokens):
+    monkeypatch.setattr(nj, "BLOCK_TOKENS", tokens)
     check(spark, tmp_path, list(enumerate(corpus(1))))
 
 
@@ -82,6 +84,35 @@ def test_chain_of_links(spark, tmp_path):
     check(spark, tmp_path, [(900 - k, " ".join(words[3 * k : 3 * k + 60])) for k in range(60)])
 
 
+def test_links_among_give_the_components():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        base = rng.choice(400, 40, replace=False)
+        sets = [np.unique(np.concatenate([rng.choice(base, 40 - k, replace=False), rng.integers(400, 500, k)])) for k in rng.integers(0, 9, 12)]
+        same = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+        want = [(i, j) for i in range(12) for j in range(i) if same(sets[i], sets[j])]
+        found = nj.links_among(sets, 80)
+        assert all(same(sets[i], sets[j]) for i, j in found) and len(found) < 12
+        parts = lambda edges: {frozenset(c) for c in closure(edges, 12)}
+        assert parts(found) == parts(want)
+
+
+def closure(edges, n):
+    group = list(range(n))
+    for i, j in edges:
+        group = [group[i] if g == group[j] else g for g in group]
+    return [[k for k in range(n) if group[k] == g] for g in set(group)]
+
+
+def test_a_large_cluster_goes_bucket_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_TOKENS", 10)
+    member = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4), (8, 8), (8, 9)], "leader long, rep long")
+    sets = spark.createDataFrame([(i, 5) for i in (1, 2, 3, 4, 8, 9)], "rep long, n long")
+    got = {(r.cluster, r.leader, r.rep, r.blocks) for r in nj.groups(member, sets).collect()}
+    chain = {(1, a, b, 1) for a, b in [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4)]}
+    assert got == {(8, None, 8, 1), (8, None, 9, 1)} | chain
+
+
 @pytest.mark.parametrize("percent", [50, 67, 80, 90, 100])
 def test_linked_sets_share_a_key(monkeypatch, percent):
     monkeypatch.setattr(nj, "RARE", 3)
