@@ -4,7 +4,10 @@ A page becomes a sequence of tags and words. Words score above zero, more so whe
 pages have article words (after the same block tag); tags score below zero, more so if
 labelled pages have them outside the article. The contiguous run with the largest sum, found
 in one scan, is the content. Parts of the run that are menus, forms, adverts, notices or
-reader comments by their tag, class, id or role are left out.
+reader comments by their tag, class, id or role are left out; class names are read as whole
+tokens, and an element around the article is never left out for its name. (Weights of class
+names cannot be learned from pages that mark their own article: adverts inside it are marked
+as article too.)
 
 Weights are log-odds from pages that mark their article themselves (an ``article`` or
 ``main`` element): those with one of the first ``SAMPLE_PAGES`` hashes of their html, copies included;
@@ -52,43 +55,75 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OPTIONAL = frozenset("p li dt dd td th tr option".split())
 _FURNITURE = frozenset("nav aside footer form noscript template svg math button select dialog menu object audio video canvas datalist search".split())
-#: parts of names that mark page furniture
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|comments?|commentlist|respond|replies|disqus\w*|sidebar\w*|cookies?|consent|gdpr|notice\w*|alert\w*"
-    r"|popup|modal|overlay|newsletter|subscribe|subscription|shar(?:e|ing)\w*|social\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar"
-    r"|related\w*|recommend\w*|widget\w*|pagination|pager|login|signup|hidden|search|complementary|contentinfo|banner-top|skip-link)(?:$|[\s_-])",
-    re.I,
+# fixed values: words for page furniture, and words for a part of a page that say nothing about its kind
+_NAMES = re.compile(
+    r"ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription"
+    r"|share|sharing|social\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|related|recommend\w*|widget\w*|pagination|pager|login"
+    r"|signup|hidden|search|complementary|contentinfo|skip"
 )
+_COMMENTS = re.compile(r"comments?|commentlist|respond|replies|disqus\w*")
+_NEUTRAL = frozenset(
+    "area bar block body box button buttons card column container content count form group header heading icons inner item items label layout link links list main "
+    "message outer pane panel policy posts row section site slot template text thread title top unit widget wrap wrapper".split()
+)
+_MODIFIERS = frozenset("has have no not with without non is hide hides".split())
+#: an element that is named like furniture but holds more than this share of the page's words is layout
+MOST_WORDS = 0.5
 
 
 class Part:
     """A tag or a text of a page."""
 
-    __slots__ = ("tag", "shut", "text", "furniture", "words", "kind")
+    __slots__ = ("tag", "shut", "text", "furniture", "sign", "words", "kind")
 
-    def __init__(self, tag=None, shut=False, text="", furniture=False):
-        self.tag, self.shut, self.text, self.furniture = tag, shut, text, furniture
+    def __init__(self, tag=None, shut=False, text="", sign=""):
+        self.tag, self.shut, self.text, self.sign = tag, shut, text, sign
+        self.furniture = bool(sign)
         self.words, self.kind = 0, ""
 
 
-def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
+def _named(value: str, names: re.Pattern, in_article: bool) -> bool:
+    """Whether a class token, id or role is a name of furniture.
+
+    A token is read as words. It names what its last word says, or the one before words that
+    only say "part" (``cookie-notice``, ``related-posts``); ``has-sidebar`` and ``no-comments`` say
+    something about the page. Outside an article the first word counts too; inside one,
+    ``related-work`` and ``notice-text`` are its own sections.
+    """
+    for token in value.lower().split():
+        words = [w for w in re.split(r"[-_]+", token) if w]
+        if not words or _MODIFIERS.intersection(words[:-1]):
+            continue
+        last = len(words) - 1
+        while last and words[last] in _NEUTRAL and not (in_article and words[last] == "text"):
+            last -= 1
+        if names.fullmatch(words[last]) or not in_article and names.fullmatch(words[0]):
+            return True
+    return False
+
+
+def _is_furniture(name: str, attrs: str, in_article: bool) -> str:
+    """How an element shows that it is furniture: by its ``tag``, as ``hidden``, as ``comments``, by a ``name``, or not ("")."""
     if name in _FURNITURE:
-        return True
+        return "tag"
     if name == "header":
-        return not in_article
+        return "" if in_article else "tag"
     if name in ("html", "body", "main") or not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return ""
     for found in _ATTR.finditer(attrs):
         key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "hidden"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id", "role") and _NAMED.search(value):
-            return True
-        if key in ("class", "id") and not in_article and re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", value, re.I):
-            return True
-    return False
+            return "hidden"
+        if key in ("class", "id", "role"):
+            if _named(value, _COMMENTS, in_article):
+                return "comments"
+            if _named(value, _NAMES, in_article):
+                return "name"
+        if key in ("class", "id") and not in_article and "header" in re.split(r"[\s_-]+", value.lower()):
+            return "name"
+    return ""
 
 
 def parts_of(html: str) -> list[Part]:
@@ -113,7 +148,7 @@ def parts_of(html: str) -> list[Part]:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
             at = size if end is None else (html.find(">", end.start()) + 1 or size)
             continue
-        out.append(Part(name, shut, furniture=not shut and _is_furniture(name, found["attrs"], articles > 0)))
+        out.append(Part(name, shut, sign="" if shut else _is_furniture(name, found["attrs"], articles > 0)))
         if name in ("article", "main"):
             articles = max(0, articles + (-1 if shut else 1))
     _spread(out)
@@ -121,7 +156,17 @@ def parts_of(html: str) -> list[Part]:
 
 
 def _spread(parts: list[Part]) -> None:
-    """Marks everything inside a furniture element."""
+    """Marks everything inside a furniture element, but for elements that lay out the page.
+
+    An element named like furniture is layout if the longest article or main element lies in
+    it, or, on a page that has none, more than ``MOST_WORDS`` of the words. Comments are never.
+    """
+    before = [0]
+    for part in parts:
+        before.append(before[-1] + (len(part.text.split()) if part.tag is None else 0))
+    words = lambda i: before[_end(parts, i)] - before[i]
+    marked = [i for i, p in enumerate(parts) if p.tag in ("article", "main") and not p.shut and not p.sign]
+    longest = max(marked, key=words, default=None)
     i = 0
     while i < len(parts):
         part = parts[i]
@@ -129,6 +174,10 @@ def _spread(parts: list[Part]) -> None:
             i += 1
             continue
         end = _end(parts, i)
+        if part.sign == "name" and (i <= longest < end if longest is not None else before[end] - before[i] > MOST_WORDS * before[-1]):
+            part.furniture = False
+            i += 1
+            continue
         for k in range(i, end):
             parts[k].furniture = True
         i = max(end, i + 1)

@@ -53,6 +53,38 @@ def test_words_in_attribute_values_are_no_attributes():
     assert [t for t in plain if x.parts_of(t)[0].furniture] == [] and [t for t in furniture if not x.parts_of(t)[0].furniture] == []
 
 
+BODY = "<h1>Title here</h1><p>Some words of an article that say a thing or two.</p><p>And a second paragraph of it.</p>"
+TEXT = "Title here\nSome words of an article that say a thing or two.\nAnd a second paragraph of it."
+
+
+@pytest.mark.parametrize("name", ["post has-sidebar", "content no-comments", "layout with-nav", "sidebar-layout", "page_with_sidebar", "main-content related-layout", "banner"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main>{}</main>"])
+def test_layout_names_around_an_article_keep_it(weights, name, inner):
+    menu = '<div class="site-nav"><a href="/">Home page</a></div>'
+    assert x.extract(f'<body>{menu}<div class="{name}">{inner.format(BODY)}</div></body>', weights) == TEXT
+
+
+@pytest.mark.parametrize("tag", ['<section id="related-work">', '<p class="notice-text">', '<div class="search-text">', '<div class="alert-no-more">'])
+def test_sections_of_an_article_stay(weights, tag):
+    name = tag[1:].split()[0]
+    page = f"<article>{BODY}{tag}Own words of the article</{name}><p>Last words.</p></article>"
+    assert x.extract(page, weights) == TEXT + "\nOwn words of the article\nLast words."
+
+
+@pytest.mark.parametrize("tag", ['<div class="comments">', '<div id="comments-area">', '<section class="comment-list">', '<div class="cookie-notice">', '<ul class="main-menu">', '<div class="related-posts">', '<div class="share-buttons">', '<div class="ad-slot">', '<div class="newsletter-signup">'])
+@pytest.mark.parametrize("inside", [True, False])
+def test_furniture_names_still_go(weights, tag, inside):
+    name = tag[1:].split()[0]
+    rest = f"{tag}<p>Words that are none of the article, however many of them there may be in here</p></{name}>"
+    page = f"<article>{BODY}{rest}</article>" if inside else f"<article>{BODY}</article>{rest}"
+    assert x.extract(f"<body>{page}</body>", weights) == TEXT
+
+
+def test_long_comments_go_without_a_marked_article(weights):
+    page = f'<body><div class="post">{BODY}</div><div id="comments"><p>{"much ado " * 200}</p></div></body>'
+    assert x.extract(page, weights) == TEXT
+
+
 def test_extract_table(spark):
     prepare(spark)
     rows = [(1, PAGE.format(open="<article>", close="</article>")), (2, None), (None, "<p>x</p>"), (None, "<p>x</p>")]
