@@ -49,7 +49,7 @@ from pyspark.sql.types import StructType
 from brinewave.llm import bpe
 from brinewave.llm.common import fresh, llm_query, materialise, slices, table
 
-MEMO, MEMO_TOKENS = 300_000, 48
+MEMO, MEMO_TOKENS = 60_000, 48
 #: characters of a text that is tokenized at once
 WHOLE = 1 << 17
 MARK = "▁"

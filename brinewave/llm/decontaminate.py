@@ -8,7 +8,7 @@ fingerprints that differ in at most ``RADIUS`` = 19 bits differ in at most 4 bit
 block, so each item is entered under every value within 4 bits of its block (2,517), and a
 look-up by equal block value finds all fingerprints within the radius. Candidates are then
 verified by the exact weighted similarity, sum of the smaller over sum of the larger counts,
-of at least 0.8. At 0.8 a pair is expected to differ in 10 bits; a passage's exact copy in 0.
+of at least 0.8: the shingles of candidate windows and of items are counted and joined. At 0.8 a pair is expected to differ in 10 bits; a passage's exact copy in 0.
 
 Rows are told apart by two hashes of the text, so copies are looked at once, and rows with
 null or repeated ids are judged by their own text.
@@ -23,14 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.llm.common import llm_query, materialise, table
+from brinewave.llm.common import fresh, llm_query, materialise, table
 
 WIDTH = 5
 RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
 #: bits of a block that may differ: by the pigeonhole, RADIUS // BLOCKS
 FLIPS = RADIUS // BLOCKS
-_LANES = 0x0001000100010001
+_LANES, _WIDE_LANES = 0x0001000100010001, 0x0000000100000001
+#: shingles that counters of 16 bits hold
+LANE_TOP = 65_535
 
 
 def word_list(text: Column) -> Column:
@@ -47,30 +49,26 @@ def shingle_hashes(words: Column) -> Column:
 def with_fingerprint(df: DataFrame, hashes: str) -> DataFrame:
     """Adds ``fp``: bit b is 1 if more than half of the shingle occurrences have it.
 
-    Counters are packed four to a long, in lanes of 16 bits, so 16 sums give 64 counters
-    (of up to 32,767 shingles).
+    Counters are packed four to a long, in lanes of 16 bits, so 16 sums give 64 counters;
+    beyond ``LANE_TOP`` shingles two to a long, in lanes of 32 bits.
     """
 
-    def lanes(k: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES)))
+    def lanes(k: int, mask: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask)))
 
-    sums = {f"_s{k}": lanes(k) for k in range(16)}
+    size = F.size(hashes)
+    sums = {f"_s{k}": F.when(size <= LANE_TOP, lanes(k, _LANES)) for k in range(16)}
+    sums |= {f"_w{k}": F.when(size > LANE_TOP, lanes(k, _WIDE_LANES)) for k in range(32)}
     df = df.withColumns(sums)
     fp = F.lit(0).cast("long")
-    for k in range(16):
-        for j in range(4):
-            count = F.shiftrightunsigned(F.col(f"_s{k}"), 16 * j).bitwiseAND(F.lit(0xFFFF))
-            bit = (1 << (16 * j + k)) - (1 << 64 if 16 * j + k == 63 else 0)
-            fp = fp.bitwiseOR(F.when(2 * count > F.size(hashes), F.lit(bit)).otherwise(F.lit(0)).cast("long"))
+    for b in range(64):
+        narrow = F.shiftrightunsigned(F.col(f"_s{b % 16}"), 16 * (b // 16)).bitwiseAND(F.lit(0xFFFF))
+        wide = F.shiftrightunsigned(F.col(f"_w{b % 32}"), 32 * (b // 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+        bit = (1 << b) - (1 << 64 if b == 63 else 0)
+        fp = fp.bitwiseOR(F.when(2 * F.coalesce(narrow, wide) > size, F.lit(bit)).otherwise(F.lit(0)).cast("long"))
     return df.withColumn("fp", fp).drop(*sums)
 
 
-def weighted(hashes: Column) -> Column:
-    """A multiset as a set: each shingle with the number of its occurrence."""
-    ordered = F.array_sort(hashes)
-    return F.transform(ordered, lambda h, i: F.xxhash64(h, i - F.array_position(ordered, h)))
-
-
 def _block(fp: Column, b: int) -> Column:
     return F.shiftrightunsigned(fp, BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
@@ -78,7 +76,9 @@ def _block(fp: Column, b: int) -> Column:
 def items_of(benchmark: DataFrame) -> DataFrame:
     """``(item_id, words, hashes)`` of the items that have a shingle."""
     words = benchmark.select("item_id", word_list(F.col("text")).alias("words"))
-    return words.select("item_id", F.size("words").alias("length"), shingle_hashes(F.col("words")).alias("hashes")).where(F.size("hashes") > 0)
+    # by the number of words: a filter on the hashes would move below and split the text for each of them
+    words = words.where(F.size("words") >= WIDTH)
+    return words.select("item_id", F.size("words").alias("length"), shingle_hashes(F.col("words")).alias("hashes"))
 
 
 def _key(text: str) -> list[Column]:
@@ -89,7 +89,8 @@ def windows(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """``(k1, k2, hashes)``: item-sized windows of each text where it shares a shingle with an item."""
     seeds = materialise(items.select("length", F.posexplode("hashes").alias("q", "h")).distinct(), "item-shingles")
     place = docs.select(*_key(text), word_list(F.col(text)).alias("words"))
-    place = place.select("k1", "k2", F.size("words").alias("n"), F.posexplode(shingle_hashes(F.col("words"))).alias("p", "h"))
+    # outer: else Spark infers a filter on the hashes, which moves below and splits the text for each of them
+    place = place.select("k1", "k2", F.size("words").alias("n"), F.posexplode_outer(shingle_hashes(F.col("words"))).alias("p", "h"))
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("length")))
     laid = place.join(seeds, "h").select("k1", "k2", start.alias("start"), "length").distinct()
     laid = materialise(laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length")).alias("laid")), "windows")
@@ -113,24 +114,40 @@ def near_items(fingerprints: DataFrame, items: DataFrame) -> DataFrame:
     return asked.join(index, ["block", "value"]).where(close).select("fp", "item_id").distinct()
 
 
+def counted(rows: DataFrame, key: list[str], hashes: str = "hashes") -> DataFrame:
+    """How often each shingle occurs: ``(key, h, k)``."""
+    return rows.select(*key, F.explode(hashes).alias("h")).groupBy(*key, "h").agg(F.count("*").alias("k"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``(k1, k2, item_id, shared, total)`` of each text that holds a benchmark item: its best window."""
     items = with_fingerprint(items_of(benchmark), "hashes")
-    items = materialise(items.withColumn("bag", weighted(F.col("hashes"))), "items")
+    items = materialise(items, "items")
     found = with_fingerprint(windows(docs, items.select("length", "hashes"), text), "hashes")
-    found = materialise(found.select("k1", "k2", "fp", weighted(F.col("hashes")).alias("w")).distinct(), "fingerprints")
+    # windows with the same words are compared once
+    same = F.xxhash64("hashes").alias("w1"), F.xxhash64("hashes", F.lit(1)).alias("w2")
+    found = materialise(found.select("k1", "k2", *same, "fp", "hashes"), "fingerprints")
     pairs = materialise(near_items(found.select("fp").distinct(), items.select("item_id", "fp")), "candidates")
-    checked = found.join(pairs, "fp").join(items.select("item_id", "bag"), "item_id")
-    shared = F.size(F.array_intersect("w", "bag"))
-    total = F.size("w") + F.size("bag") - shared
-    checked = checked.select("k1", "k2", "item_id", shared.alias("shared"), total.alias("total")).where("5 * shared >= 4 * total")
-    return materialise(checked.groupBy("k1", "k2", "item_id").agg(F.max("shared").alias("shared"), F.min("total").alias("total")), "contaminated")
+    places = found.select("k1", "k2", "w1", "w2", "fp").distinct()
+    near = found.join(pairs.select("fp").distinct(), "fp", "left_semi")
+    near = near.groupBy("w1", "w2", "fp").agg(F.first("hashes").alias("hashes"))
+    near = materialise(near.select("w1", "w2", "fp", F.size("hashes").alias("n"), "hashes"), "near-windows")
+    asked = near.select("w1", "w2", "fp", "n").join(pairs, "fp").join(items.select("item_id", F.size("hashes").alias("m")), "item_id")
+    per_window = counted(near, ["w1", "w2"])
+    per_item = counted(items, ["item_id"]).withColumnRenamed("k", "ki")
+    both = asked.select("w1", "w2", "item_id").join(per_window, ["w1", "w2"]).join(per_item, ["item_id", "h"])
+    shared = both.groupBy("w1", "w2", "item_id").agg(F.sum(F.least("k", "ki")).cast("int").alias("shared"))
+    total = (F.col("n") + F.col("m") - F.col("shared")).alias("total")
+    checked = asked.join(shared, ["w1", "w2", "item_id"]).select("w1", "w2", "item_id", "shared", total).where("5 * shared >= 4 * total")
+    hits = places.join(materialise(checked, "similar"), ["w1", "w2"])
+    return materialise(hits.groupBy("k1", "k2", "item_id").agg(F.max("shared").alias("shared"), F.min("total").alias("total")), "contaminated")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item; columns unchanged."""
-    found = contaminated(docs, benchmark, text).select(F.col("k1").alias("_hit1"), F.col("k2").alias("_hit2")).distinct()
-    same = (F.xxhash64(docs[text]) == F.col("_hit1")) & (F.xxhash64(docs[text], F.lit(1)) == F.col("_hit2"))
+    names = [fresh(docs, n) for n in ("hit1", "hit2")]
+    found = contaminated(docs, benchmark, text).select("k1", "k2").distinct().toDF(*names)
+    same = (F.xxhash64(docs[text]) == F.col(names[0])) & (F.xxhash64(docs[text], F.lit(1)) == F.col(names[1]))
     return docs.join(found, same, "left_anti")
 
 

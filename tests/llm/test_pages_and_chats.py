@@ -250,3 +250,27 @@ def test_radius_is_guaranteed(spark):
     got = d.near_items(spark.createDataFrame([(a,) for a in asked], "fp long"), spark.createDataFrame(list(enumerate(base)), "item_id long, fp long"))
     found = {(t.fp, t.item_id) for t in got.collect()}
     assert found == {(a, i) for a in asked for i, b in enumerate(base) if (a ^ b).bit_count() <= d.RADIUS}
+
+
+def test_long_items_and_repeated_words(spark):
+    prepare(spark)
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(10**7)}" for _ in range(70_000)]
+    mid = [f"m{rng.randrange(40)}" for _ in range(6000)]
+    near = list(mid)
+    near[3000:3004] = ["other"] * 4
+    docs = spark.createDataFrame([(1, " ".join(["before", *long, "after"])), (2, " ".join(near)), (3, " ".join(long[:40_000]))], "doc_id long, text string")
+    docs = docs.withColumn("hit1", F.lit(0)).withColumn("Hit2", F.lit(0))
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(mid))], "item_id long, text string")
+    kept = d.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and [t.doc_id for t in kept.collect()] == [3]
+
+
+def test_wide_counters_equal_narrow_ones(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = spark.createDataFrame([([rng.randrange(-(2**63), 2**63) for _ in range(n)],) for n in (1, 2, 7, 300)], "h array<long>")
+    narrow = [t.fp for t in d.with_fingerprint(rows, "h").collect()]
+    monkeypatch.setattr(d, "LANE_TOP", 1)
+    assert [t.fp for t in d.with_fingerprint(rows, "h").collect()] == narrow
+    bits = lambda h: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert [f % 2**64 for f in narrow] == [bits(t.h) for t in rows.collect()]
