@@ -130,17 +130,27 @@ class Hierarchy:
         return names.tolist(), score
 
 
+#: languages that are learned, and documents of all of them together: what the driver holds is bounded
+MOST_LANGUAGES, SAMPLE_ALL = 64, 6400
+
+
 def train(docs: DataFrame, most: int = SAMPLE_DOCS, pieces: int = PIECES) -> Hierarchy | None:
     """A model of the languages in ``docs(doc_id, text, lang)`` outside the held-out part."""
     known = docs.where(~held_out("doc_id")).where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
-    # a share of each language's hashes that holds about twice the sample, then the first of these
+    # the commonest languages, and a share of each one's hashes that holds about twice its sample:
+    # a short table, so rows beyond the share go before anything is moved
     order = F.xxhash64("doc_id", F.lit(5))
-    count = known.groupBy("lang").agg(F.count("*").alias("n"))
+    count = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"), F.count("*").alias("rows"))
+    count = count.orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).select("lang", "n")
+    each = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.lit(SAMPLE_ALL) / F.count("*").over(Window.partitionBy(F.lit(0))))))
+    count = F.broadcast(count.select("lang", "n", each.alias("each")))
     place = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
-    ids = known.select("doc_id", "lang", order.alias("o"), place.alias("u")).join(count, "lang").where(F.col("u") * F.col("n") < 2.0 * most)
+    near = known.select("doc_id", "lang", order.alias("o"), place.alias("u")).join(count, "lang").where(F.col("u") * F.col("n") < 2.0 * F.col("each"))
     first = Window.partitionBy("lang").orderBy("u", "o", "doc_id")
-    ids = ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
+    ids = near.distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= F.col("each"))
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
+    # an id that occurs often gives one text
+    rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 18):

@@ -190,7 +190,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> DataF
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # the ids are chosen before any text is moved
     chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # an id that occurs often gives one text
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality"))
 
 
 def _chunks_of(frame: DataFrame, chunks: int) -> list:

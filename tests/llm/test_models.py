@@ -114,3 +114,38 @@ def test_gradients_match_differences():
         down = loss()
         net.w[name][at] = old
         assert abs((up - down) / 2e-2 - grads[name][at]) < 5e-3
+
+
+def test_an_id_that_occurs_often_is_one_document_of_the_sample(spark, monkeypatch):
+    prepare(spark)
+    rows = [(4, f"the same number again {i}", "en") for i in range(3000)] + [(i, f"the story of house {i} and its garden", "en") for i in range(40)]
+    rows += [(i, f"das haus nummer {i} und der garten dahinter", "de") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "Hierarchy", lambda x, langs: seen.append(langs.tolist()) or "model")
+    assert language.train(docs, most=30) == "model"
+    per = {lang: seen[0].count(lang) // (language.PIECES + 1) for lang in ("en", "de")}
+    assert 20 <= per["en"] <= 30 and 20 <= per["de"] <= 30
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    chosen = quality.sample(docs, labels).collect()
+    ids = [r.doc_id for r in chosen]
+    assert len(ids) == len(set(ids)) > 20 and 4 in ids
+
+
+def test_votes_against_their_definition():
+    rng = np.random.default_rng(4)
+    names = np.array([["a", "b", "c", "d"][i % 4] for i in range(80)], object)
+    x = rng.normal(scale=0.4, size=(80, language.SIZE)).astype(np.float32)
+    for k, name in enumerate("abcd"):
+        x[names == name, k] += 6
+    model = language.OneVersusOne(x, names)
+    best, score = model(x)
+    assert (np.array(model.names, object)[best] == names).all()
+    margin = x @ model.weights[:, :-1].T + model.weights[:, -1]
+    for row, chosen, p in zip(margin.tolist(), best.tolist(), score.tolist()):
+        signed = {(a, b): m for m, (a, b) in zip(row, model.pairs)}
+        wins = [sum(m >= 0 if a == k else m < 0 for (a, b), m in signed.items() if k in (a, b)) for k in range(4)]
+        total = [sum(m if a == k else -m for (a, b), m in signed.items() if k in (a, b)) for k in range(4)]
+        assert chosen == max(range(4), key=lambda k: (wins[k], total[k]))
+        lead = min(m if a == chosen else -m for (a, b), m in signed.items() if chosen in (a, b))
+        assert p == pytest.approx(1 / (1 + np.exp(-np.clip(4 * lead, -30, 30))), rel=1e-4)
