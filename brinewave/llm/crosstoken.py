@@ -49,7 +49,7 @@ from pyspark.sql.types import StructType
 from brinewave.llm import bpe
 from brinewave.llm.common import fresh, llm_query, materialise, slices, table
 
-MEMO, MEMO_TOKENS = 60_000, 48
+MEMO, MEMO_TOKENS = 300_000, 48
 #: characters of a text that is tokenized at once
 WHOLE = 1 << 17
 MARK = "▁"
@@ -129,6 +129,21 @@ class Pieces:
 Window = tuple[str, bytes]
 
 
+#: stands between the ids of A and those of B in the key of a window
+BETWEEN = 0xFFFFFFFF
+
+
+def window_keys(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[bytes]:
+    """The id tuples of all windows: ids of A, ``BETWEEN``, ids of B."""
+    n = np.arange(len(last_a))
+    out = np.full(len(a) + len(b) + len(n), BETWEEN, np.uint32)
+    size_a, size_b = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)
+    out[np.arange(len(a)) + np.repeat(last_b - size_b + n, size_a)] = a
+    out[np.arange(len(b)) + np.repeat(last_a + n + 1, size_b)] = b
+    packed, cut = out.tobytes(), (4 * (last_a + last_b + n + 1)).tolist()
+    return [packed[i:j] for i, j in zip([0, *cut], cut)]
+
+
 class Aligner:
     """Both tokenizers and the remembered windows of one worker."""
 
@@ -139,7 +154,7 @@ class Aligner:
         most = max(len(self.a.size), len(self.b.size))
         self.names = [f"{i}{mark}" for i in range(most) for mark in ",|;"]
         self.name_sizes = np.array([len(n) for n in self.names])
-        self.windows: dict[tuple[bytes, bytes], Window] = {}
+        self.windows: dict[bytes, Window] = {}
 
     def tokens(self, texts: list[str | None]) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
         """Packed ids of A and B of every text, and the bytes they cover; none where they do not cover space and text."""
@@ -172,25 +187,27 @@ class Aligner:
         marks[ends] = 2  # every text begins a window
         anchors = np.flatnonzero(marks == 2)
         anchors = anchors[anchors > 0]
-        cut_a = (4 * (np.searchsorted(end_a, anchors) + 1)).tolist()
-        cut_b = (4 * (np.searchsorted(end_b, anchors) + 1)).tolist()
-        keys = [(all_a[i:j], all_b[k:m]) for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
+        keys = window_keys(a, b, np.searchsorted(end_a, anchors) + 1, np.searchsorted(end_b, anchors) + 1)
         windows = list(map(self.windows.get, keys))
         if None in windows:
             new = dict.fromkeys([k for k, w in zip(keys, windows) if w is None])
             made = dict(zip(new, self.align(list(new))))
             windows = [w or made[k] for k, w in zip(keys, windows)]
-            short = {k: w for k, w in made.items() if len(k[0]) + len(k[1]) <= 4 * MEMO_TOKENS}
+            short = {k: w for k, w in made.items() if len(k) <= 4 * MEMO_TOKENS}
             if len(self.windows) + len(short) > MEMO:
                 self.windows.clear()
             self.windows.update(itertools.islice(short.items(), MEMO))
         last = np.searchsorted(anchors, ends, side="right").tolist()
         return [(f[0], f[1], windows[i:j]) for f, i, j in zip(found, [0, *last], last)]
 
-    def align(self, keys: list[tuple[bytes, bytes]]) -> list[Window]:
+    def align(self, keys: list[bytes]) -> list[Window]:
         """Groups and links of windows not seen before, laid end to end."""
-        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), "<u4").astype(np.int64) for side in (0, 1))
-        last_a, last_b = (np.cumsum([len(k[side]) // 4 for k in keys]) for side in (0, 1))
+        ids = np.frombuffer(b"".join(keys), "<u4").astype(np.int64)
+        middle, end = np.flatnonzero(ids == BETWEEN), np.cumsum([len(k) // 4 for k in keys])
+        of_a = np.cumsum(np.bincount(middle + 1, minlength=len(ids) + 1)[:-1] - np.bincount(end, minlength=len(ids) + 1)[:-1]) == 0
+        a, b = ids[of_a & (ids != BETWEEN)], ids[~of_a]
+        start = np.concatenate([[0], end[:-1]])
+        last_a, last_b = np.cumsum(middle - start), np.cumsum(end - middle - 1)
         size_a, size_b = self.a.size[a], self.b.size[b]
         end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
         # a group ends where both do
