@@ -191,6 +191,88 @@ def annotation_lines(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "q48_train_annotations",
+    with_(sql.EV)
+    + """select station::varchar as station, case when class = 'error' then 'negative' else 'positive' end as label, count(*) as n,
+       sum(case when class = 'error' then (at_us // 1000000) * 1000000 + (event_id % 100) * 500000 else (at_us // 1000000) * 1000000 end)::bigint as total_us
+from (select *, event_id from ev) where class in ('error', 'purchase') group by all""",
+)
+def train_annotations(t: Tables) -> DataFrame:
+    """Annotations of the training layout, intervals included, written as lines and read back."""
+    rows = views.annotations(t.events).where("class in ('error', 'purchase')")
+    label = F.when(F.col("class") == "error", tables.TRAIN_NEGATIVE).otherwise(tables.TRAIN_POSITIVE)
+    end = F.when(F.col("class") == "error", format_stamp(F.col("at_us") + F.col("event_id") % 100 * SECOND_US))
+    folder = new_folder(t.spark, "train-lines")
+    rows.select("station", label.alias("class"), format_stamp("at_us").alias("start"), end.alias("end")).write.csv(folder, header=True)
+    found = tables.read_train_annotations(t.spark, folder)
+    return found.groupBy("station", "label").agg(F.count("*").alias("n"), F.sum("at_us").alias("total_us"))
+
+
+def config_lines(t: Tables, yaml: bool) -> DataFrame:
+    """One file of named events, as JSON or as YAML, from the nations."""
+    stamp = format_stamp(F.lit(views.WAVE_BASE_US) + F.col("n_nationkey") * F.lit(3600 * SECOND_US))
+    fields = {
+        "dataset": F.concat(F.lit("set "), F.col("n_regionkey").cast("string")),
+        "station": F.col("n_regionkey").cast("string"),
+        "segment_duration_s": (F.col("n_nationkey") * 10 + 10).cast("string"),
+        "segment_center": stamp,
+        "arrow_offset": F.col("n_nationkey").cast("string"),
+    }
+    if yaml:
+        lines = (F.concat(F.lit(f'  {k}: "'), v, F.lit('"')) for k, v in fields.items())
+        entry = F.concat_ws("\n", F.concat("n_name", F.lit(":  # an event")), *lines)
+    else:
+        entry = F.concat(F.lit('"'), "n_name", F.lit('": '), F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))))
+    # nations are a fixed, short list
+    listed = t.nation.agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    return listed.select((F.array_join("l", "\n") if yaml else F.concat(F.lit("{"), F.array_join("l", ", "), F.lit("}"))).alias("value"))
+
+
+CONFIG_SQL = """select n_name as name, 'set ' || n_regionkey as dataset, n_regionkey::varchar as station, (n_nationkey * 10 + 10)::int as duration_s,
+       (1704067200000000 + n_nationkey * 3600000000)::bigint as center_us, n_nationkey::int as arrow_offset from nation"""
+
+
+def event_config(t: Tables, extension: str) -> DataFrame:
+    name = f"events.{extension}"
+    folder = new_folder(t.spark, "config")
+    sinks.write_files(config_lines(t, extension == "yaml").select(F.lit(name).alias("path"), F.encode("value", "utf-8").alias("content")), folder)
+    return tables.read_event_config(t.spark, f"{folder}/{name}")
+
+
+@query("q48_event_config_json", CONFIG_SQL)
+def event_config_json(t: Tables) -> DataFrame:
+    """Named events of a JSON configuration file."""
+    return event_config(t, "json")
+
+
+@query("q48_event_config_yaml", CONFIG_SQL)
+def event_config_yaml(t: Tables) -> DataFrame:
+    """The same events of a YAML file with comments and quotes."""
+    return event_config(t, "yaml")
+
+
+@query(
+    "q49_run_length_manifest",
+    with_(sql.EV)
+    + """select 'out/' || station || '/' || (at_us // 86400000000) as path, count(distinct at_us // 1000000 * 10 + n_annotators)::int as n_entries, count(*) as n_picks,
+       sum((at_us // 1000000) % 86400)::double as offsets from ev group by station, at_us // 86400000000""",
+)
+def run_length_manifest(t: Tables) -> DataFrame:
+    """Pick lists of whole days whose lines carry the number of copies, written and parsed."""
+    rows = views.annotations(t.events)
+    day, second = floor_div("at_us", 86_400 * SECOND_US), floor_div("at_us", SECOND_US) % 86_400
+    picks = rows.groupBy("station", day.alias("day"), second.cast("double").alias("offset_s"), "n_annotators").agg(F.count("*").alias("copies"))
+    listed = picks.groupBy("station", "day").agg(F.array_sort(F.collect_list(F.struct("offset_s", "n_annotators", "copies"))).alias("picks"))
+    path = F.concat_ws("/", F.lit("out"), F.col("station").cast("string"), F.col("day").cast("string"))
+    folder = new_folder(t.spark, "manifest")
+    sinks.write_manifest_csv(listed.select(path.alias("path"), F.lit("positive").alias("label"), "picks"), folder, runs=True)
+    back = tables.read_manifest(t.spark, folder, "test")
+    copies = F.aggregate("picks", F.lit(0).cast("bigint"), lambda s, p: s + p["copies"])
+    offsets = F.aggregate("picks", F.lit(0.0), lambda s, p: s + p["offset_s"] * p["copies"])
+    return back.select("path", F.size("picks").alias("n_entries"), copies.alias("n_picks"), offsets.alias("offsets"))
+
+
 @query(
     "q49_indexed_manifest",
     """select 'out/' || (case when label < 5 then 'positive' else 'negative' end) || 's/' || vec_id as path, vec_id as idx,

@@ -71,11 +71,11 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("overwrite").parquet(path)
 
 
-def write_manifest_csv(manifest: DataFrame, path: str, counted: bool = True, indexed: bool = False) -> None:
-    """Manifest as ragged text lines; ``indexed`` puts the row's ``idx`` after its path."""
+def write_manifest_csv(manifest: DataFrame, path: str, counted: bool = True, indexed: bool = False, runs: bool = False) -> None:
+    """Manifest as ragged text lines; ``indexed`` puts the row's ``idx`` after its path, ``runs`` counts copies."""
     from brinewave.sources.tables import manifest_line
 
-    line = manifest_line(F.col("path"), F.col("label"), F.col("picks"), counted, F.col("idx") if indexed else None)
+    line = manifest_line(F.col("path"), F.col("label"), F.col("picks"), counted, F.col("idx") if indexed else None, runs)
     manifest.select(line.alias("value")).write.mode("overwrite").text(path)
 
 

@@ -76,7 +76,7 @@ def parse_manifest(lines: DataFrame, layout: str, line: str = "value") -> DataFr
 
     Layouts: ``test`` path,class,offset,n,...  ``train`` path,class,offset,...
     and either with ``indexed_`` in front for path,idx,class,...  Blank lines are dropped;
-    what a short line lacks is null.
+    what a short line lacks is null. An offset may carry its copies, as in ``1.5x20``.
     """
     indexed = layout.startswith("indexed_")
     counted = layout.endswith("test")
@@ -90,12 +90,13 @@ def parse_manifest(lines: DataFrame, layout: str, line: str = "value") -> DataFr
     else:
         starts = F.expr("if(size(_rest) > 0, sequence(0, size(_rest) - 1), array())")
         count = lambda i: F.lit(None).cast("int")
+    run = lambda i, part: F.get(F.split(F.get("_rest", i.cast("int")), "x"), F.lit(part))
     picks = F.transform(
         starts,
         lambda i: F.struct(
-            F.get("_rest", i.cast("int")).cast("double").alias("offset_s"),
+            run(i, 0).cast("double").alias("offset_s"),
             count(i.cast("int")).alias("n_annotators"),
-            F.lit(1).cast("bigint").alias("copies"),
+            F.coalesce(run(i, 1).cast("bigint"), F.lit(1).cast("bigint")).alias("copies"),
         ),
     ).cast(f"array<{PICK}>")
     return parts.select(
@@ -110,12 +111,21 @@ def read_manifest(spark: SparkSession, path: str, layout: str) -> DataFrame:
     return parse_manifest(spark.read.text(path), layout)
 
 
-def manifest_line(path: Column, label: Column, picks: Column, counted: bool = True, idx: Column | None = None) -> Column:
-    """Inverse of ``parse_manifest``: one text line, copies of a pick written out."""
+def manifest_line(
+    path: Column, label: Column, picks: Column, counted: bool = True, idx: Column | None = None, runs: bool = False
+) -> Column:
+    """Inverse of ``parse_manifest``: one text line.
+
+    Copies of a pick are written out, or with ``runs`` as one entry that carries their number, so a
+    moment with a million annotations is a short line too.
+    """
 
     def one(p: Column) -> Column:
-        fields_of = [p["offset_s"].cast("string")] + ([p["n_annotators"].cast("string")] if counted else [])
-        return F.array_repeat(F.concat_ws(",", *fields_of), p["copies"].cast("int"))
+        offset = p["offset_s"].cast("string")
+        if runs:
+            offset = F.concat(offset, F.when(p["copies"] > 1, F.concat(F.lit("x"), p["copies"].cast("string"))).otherwise(""))
+        written = F.concat_ws(",", offset, *([p["n_annotators"].cast("string")] if counted else []))
+        return F.array(written) if runs else F.array_repeat(written, p["copies"].cast("int"))
 
     head = [path] + ([idx.cast("string")] if idx is not None else []) + [label]
     return F.concat_ws(",", *head, F.array_join(F.nullif(F.flatten(F.transform(picks, one)), F.array().cast("array<string>")), ","))

@@ -123,6 +123,17 @@ def test_manifest_layouts(spark):
     assert parse('"a,b ""c"".png",positive,1.0', "train") == ('a,b "c".png', None, "positive", [(1.0, None)])
 
 
+def test_a_hot_moment_is_a_short_line(spark, tmp_path):
+    pick = "array(named_struct('offset_s', 1.5D, 'n_annotators', 2, 'copies', 1000000L), named_struct('offset_s', -3D, 'n_annotators', 1, 'copies', 1L))"
+    for counted, layout in ((True, "test"), (False, "train")):
+        df = spark.range(1).select(F.lit("a.png").alias("path"), F.lit("positive").alias("label"), F.expr(pick).alias("picks"))
+        sinks.write_manifest_csv(df, str(tmp_path / layout), counted, runs=True)
+        line = spark.read.text(str(tmp_path / layout)).first().value
+        assert line == ("a.png,positive,1.5x1000000,2,-3.0,1" if counted else "a.png,positive,1.5x1000000,-3.0")
+        back = tables.read_manifest(spark, str(tmp_path / layout), layout).first()
+        assert [(p.offset_s, p.copies) for p in back.picks] == [(1.5, 1_000_000), (-3.0, 1)]
+
+
 def test_manifest_text_round_trip(spark, tmp_path):
     lines = ["x/1.png,positive,1.5,2,1.5,2,3.0,1", "x/2.png,negative"]
     df = tables.parse_manifest(spark.createDataFrame([(v,) for v in lines], "value string"), "test")
