@@ -31,7 +31,3 @@ def all_counts_equal(picks: Column, n: int) -> Column:
 
 def label_number(text: str | Column) -> Column:
     return (~F.contains(col(text), F.lit("negative"))).cast("int")
-
-
-def decided(p: str | Column, threshold: float = 0.5) -> Column:
-    return col(p) > F.lit(threshold)

@@ -9,7 +9,6 @@ from one span to the next.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,34 +86,3 @@ def shuffled_rank(
         .withColumn(rank, F.col("_before") + F.col("_rn") - 1)
         .drop("_h", "_span", "_rn", "_before")
     )
-
-
-def quantile_spans(df: DataFrame, value: str, spans: int, span: str = "_span") -> DataFrame:
-    """Label rows with one of at most ``spans`` consecutive value ranges of similar size.
-
-    The cut points are approximate quantiles, a list of fixed length; where the
-    cuts fall only changes how the work is spread, never a result.
-    """
-    cuts = df.approxQuantile(value, [i / spans for i in range(1, spans)], 0.5 / spans)
-    edges = [float("-inf"), *sorted({c for c in cuts if abs(c) < float("inf")}), float("inf")]
-    if len(edges) < 3:
-        return df.withColumn(span, F.lit(0.0))
-    cutter = Bucketizer(splits=edges, inputCol="_cut", outputCol=span)
-    return cutter.transform(df.withColumn("_cut", F.col(value).cast("double"))).drop("_cut")
-
-
-def running_total_before(
-    df: DataFrame, order: str, amount: str, spans: int = 64, out: str = "below"
-) -> DataFrame:
-    """Sum of ``amount`` over all rows with a smaller ``order`` value (values are distinct)."""
-    cut = quantile_spans(df, order, spans)
-    sums = cut.groupBy("_span").agg(F.sum(amount).alias("_sum"))
-    over_spans = Window.partitionBy(F.lit(0)).orderBy("_span").rowsBetween(*BEFORE)
-    carry = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(over_spans), F.lit(0)))
-    inside = Window.partitionBy("_span").orderBy(order).rowsBetween(*BEFORE)
-    local = cut.withColumn("_local", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return (
-        local.join(carry.drop("_sum"), "_span")
-        .withColumn(out, F.col("_before") + F.col("_local"))
-        .drop("_span", "_local", "_before")
-    )

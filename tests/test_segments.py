@@ -87,17 +87,6 @@ def test_shuffled_rank_is_a_permutation_and_repeatable(spark):
     assert sorted(a[i] for i in range(500) if i % 7 == 0) == list(range(72))
 
 
-def test_running_total_equals_a_loop(spark):
-    rng = random.Random(5)
-    values = sorted({round(rng.random() ** 4, 6) for _ in range(800)})
-    df = spark.createDataFrame([(v, i % 5) for i, v in enumerate(values)], "s double, n int")
-    got = {r.s: r.below for r in ordered.running_total_before(df, "s", "n", spans=9).collect()}
-    total = 0
-    for i, v in enumerate(values):
-        assert got[v] == total
-        total += i % 5
-
-
 @pytest.mark.parametrize("width", [3, 10, 1000])
 def test_overlaps_once_whatever_the_cell(spark, width):
     rng = random.Random(2)

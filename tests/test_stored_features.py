@@ -1,7 +1,6 @@
 """Bucketed features and stored frames: what the plans read and move."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from brinewave.operators import spectral
 from brinewave.sources import sinks
