@@ -36,8 +36,8 @@ Z = 1.96
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
 
