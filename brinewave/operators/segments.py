@@ -97,7 +97,9 @@ def label_tiles(tile_rows: DataFrame, placed: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("offset_s", "n_annotators", "copies"))).alias("picks"),
         F.sum("copies").alias("n_picks"),
     )
-    joined = tile_rows.join(lists, ["station", "k"], "left")
+    # tiles come out of an explode, whose size Spark takes for that of the stations: where the join
+    # becomes an inner one (positive tiles only), it would broadcast all of them
+    joined = tile_rows.hint("merge").join(lists, ["station", "k"], "left")
     empty = F.array().cast("array<struct<offset_s:double,n_annotators:int,copies:bigint>>")
     return (
         joined.withColumn("picks", F.coalesce("picks", empty))

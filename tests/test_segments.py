@@ -55,6 +55,19 @@ def test_tile_of_an_event_is_right_closed(spark):
     assert got == {t: k for t, k in times.items() if k is not None}
 
 
+def test_positive_tiles_are_never_broadcast(spark):
+    """Tiles are exploded: their estimated size is that of the stations, so a broadcast would hold all of them."""
+    st = spark.createDataFrame([(i, 0, 4000 * S) for i in range(3)], "station bigint, start_us bigint, end_us bigint")
+    ev = spark.createDataFrame([(1, 150 * S, 2), (2, 3999 * S, 1)], "station bigint, at_us bigint, n_annotators int")
+    positive = seg.label_tiles(seg.tiles(st, 100 * S), seg.assign_tiles(ev, st, 100 * S)).where("label = 'positive'")
+    assert [(r.station, r.k) for r in positive.orderBy("station").collect()] == [(1, 1), (2, 39)]
+    positive.collect()
+    whole = positive._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [station" in whole
+    top = whole[: whole.index("Generate explode")]
+    assert "BroadcastHashJoin" not in top and "BroadcastExchange" not in top
+
+
 def test_labels_collapse_equal_picks(spark):
     st = spark.createDataFrame([("A", 0, 200 * S)], "station string, start_us bigint, end_us bigint")
     ev = spark.createDataFrame(
