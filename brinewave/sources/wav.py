@@ -327,4 +327,5 @@ def encoded(samples: str, fs: int, kinds: list[dict] | None = None, kind: Column
     def run(s: pa.Array, k: pa.Array) -> pa.Array:
         return pa.array([encode_wav(row.as_py(), fs, **kinds[i.as_py()]) for row, i in zip(s, k)], pa.binary())
 
-    return run(F.col(samples), F.lit(0) if kind is None else kind)
+    # not deterministic to the optimizer: filters and later columns read the file of one call
+    return run.asNondeterministic()(F.col(samples), F.lit(0) if kind is None else kind)

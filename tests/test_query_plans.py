@@ -28,6 +28,12 @@ def test_kernel_runs_once(spark, name):
     assert plan_of(spark, name).count("ArrowEvalPython") == 1
 
 
+@pytest.mark.parametrize("name, evaluations", [("q47_wav_headers", 3), ("q47_wav_formats", 1), ("q41_wav_catalog", 3)])
+def test_files_are_encoded_once(spark, name, evaluations):
+    """Each Python evaluation in a task is a process: one encodes, one reads the heads, one the long headers."""
+    assert plan_of(spark, name).count("ArrowEvalPython") == evaluations
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(spark, "q06_file_lookup")
     assert "EqualTo(event_type,error)" in plan and "EqualTo(event_type,view)" in plan
