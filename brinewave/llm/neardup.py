@@ -10,7 +10,8 @@
 4. Buckets that still hold several components are resolved exactly: classes with so many
    shingles found nowhere else in such buckets that no link is possible leave; the others
    are compared across components, block against block, inside tasks of bounded size that
-   return only links.
+   return only links. The full sets lie in buckets of their class, so these joins move the
+   keys only.
 5. The components of all links.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**4)**20 = 4e-7;
@@ -23,6 +24,7 @@ id joins the component of its copies, if any; other columns pass through.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.llm.common import llm_query, materialise, slices, table
+from brinewave.llm.common import llm_query, materialise, new_folder, slices, table
 from brinewave.llm.components import components
+from brinewave.llm.ngramjoin import PROBES, bit_filter, passing
 from brinewave.llm.shingles import MinMax, band_keys, digest, shingle_sets
 
 HASHES = 40
@@ -68,20 +71,45 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return chosen.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """``(rep, d1, d2, items)`` from ``(rep, text)``."""
+def full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(rep, d1, d2, items)`` from ``(rep, text)``, of the rows whose id is in ``reps(rep)`` and a few more.
+
+    Texts stay where they are read: a bit filter of bounded size tells the tasks which ones to take.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(reps, "rep"))
+    places = [F.shiftrightunsigned(F.xxhash64("rep", F.lit(k)), 8).alias(f"p{k}") for k in range(PROBES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in slices(batches, "text", 1 << 20):
-                sets = list(shingle_sets(batch.column(1)))
+                chosen = pa.array(passing(batch, wanted.value))
+                sets = list(shingle_sets(batch.column(1).filter(chosen)))
                 halves = np.frombuffer(b"".join(map(digest, sets)), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    [batch.column(0).filter(chosen), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     ["rep", "d1", "d2", "items"],
                 )
 
-    return docs.mapInArrow(run, "rep long, d1 long, d2 long, items array<long>")
+    return docs.select("rep", "text", *places).mapInArrow(run, "rep long, d1 long, d2 long, items array<long>")
+
+
+def write_sets(texts: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets ``(rep, items)`` of ``wanted(rep, d1, d2)``, as a table in buckets of ``rep`` and as its plain files.
+
+    Joins by ``rep`` on the first do not move the sets; a join whose other key may be hot takes
+    the second, which Spark can split.
+    """
+    spark = texts.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = wanted.select(F.col("rep").alias("r"), F.col("d1").alias("w1"), F.col("d2").alias("w2"))
+    # the digests are compared beside the key, so that the sets are dealt out once, by rep
+    same = F.expr("((d1 ^ w1) | (d2 ^ w2)) = 0")
+    found = full_sets(texts, wanted.select("rep")).repartition(buckets, "rep")
+    found = found.join(known, (F.col("rep") == F.col("r")) & same).select("rep", "items").dropDuplicates(["rep"])
+    path = new_folder(spark, "sets")
+    name = f"brinewave_sets_{uuid.uuid4().hex}"
+    found.write.format("parquet").bucketBy(buckets, "rep").sortBy("rep").option("path", path).saveAsTable(name)
+    return spark.table(name), spark.read.schema(found.schema).parquet(path)
 
 
 def links_between(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -123,15 +151,13 @@ def link_components(docs: DataFrame, sig: DataFrame, percent: int, doc_id: str =
     keys = member.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1")
     member = materialise(member.join(keys.select("key", "leader"), "key"), "buckets")
 
-    wanted = member.select("rep").distinct().join(reps.select("rep", "d1", "d2"), "rep")
+    wanted = materialise(member.select("rep").distinct().join(reps.select("rep", "d1", "d2"), "rep"), "wanted")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = texts.join(wanted.select("rep"), "rep").select("rep", "text")
-    sets = full_sets(texts).join(wanted.withColumnRenamed("rep", "r"), ["d1", "d2"]).where("rep = r")
-    sets = materialise(sets.select("rep", "items").dropDuplicates(["rep"]), "sets")
+    sets, plain_sets = write_sets(texts, wanted)
 
     # the star of each bucket
     pairs = member.where("rep <> leader").select("leader", "rep").distinct()
-    star = pairs.join(sets.select(F.col("rep").alias("leader"), F.col("items").alias("x")), "leader").join(
+    star = pairs.join(plain_sets.select(F.col("rep").alias("leader"), F.col("items").alias("x")), "leader").join(
         sets.select("rep", F.col("items").alias("y")), "rep"
     )
     shared, a, b = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")

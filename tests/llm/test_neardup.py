@@ -60,6 +60,23 @@ def test_components_match_brute_force(spark):
     assert all(got[i].kept == (want[i] == i) for i in got)
 
 
+def test_sets_are_made_where_the_texts_are_read(spark):
+    """No text is shuffled, other rows of a wanted id are left out, and joins by class do not move the sets."""
+    prepare(spark)
+    rows = [(i, f"a b c d e f{i} g{i % 7}") for i in range(400)] + [(5, "something else that has an id of before"), (None, "x")]
+    docs = spark.createDataFrame(rows, "rep long, text string")
+    sig = neardup.signatures(docs, "rep", "text")
+    wanted = neardup.classes(sig).where("rep < 10 and n = 3").select("rep", "d1", "d2")
+    made = neardup.full_sets(docs, wanted.select("rep"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.rep for r in made.collect()} >= set(range(10)) and made.count() < 100
+    sets, plain = neardup.write_sets(docs, wanted)
+    assert sorted((r.rep, len(r["items"])) for r in sets.collect()) == [(i, 3) for i in range(10)]
+    assert sorted(map(str, plain.collect())) == sorted(map(str, sets.collect()))
+    plan = sets.join(sets.hint("merge").withColumnRenamed("items", "y"), "rep")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_small_blocks_find_the_same(spark, monkeypatch):
     prepare(spark)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
