@@ -320,12 +320,12 @@ def encode_pcm16(samples: list, fs: int) -> bytes:
 
 
 def encoded(samples: str, fs: int, kinds: list[dict] | None = None, kind: Column | None = None):
-    """Binary column with the WAV file of an array column; ``kind`` chooses from ``encode_wav`` options."""
+    """Binary column with the WAV file of an array column, null for null; ``kind`` chooses from ``encode_wav`` options."""
     kinds = kinds or [{}]
 
     @arrow_udf("binary")
     def run(s: pa.Array, k: pa.Array) -> pa.Array:
-        return pa.array([encode_wav(row.as_py(), fs, **kinds[i.as_py()]) for row, i in zip(s, k)], pa.binary())
+        return pa.array([encode_wav(row.as_py(), fs, **kinds[i.as_py()]) if row.is_valid else None for row, i in zip(s, k)], pa.binary())
 
     # not deterministic to the optimizer: filters and later columns read the file of one call
     return run.asNondeterministic()(F.col(samples), F.lit(0) if kind is None else kind)

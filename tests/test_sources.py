@@ -316,3 +316,12 @@ def test_files_with_several_channels_are_named():
         with pytest.raises(wav.Unreadable):
             wav.walk_header(mono[:22] + fmt + mono[34:])
     assert wav.walk_header(mono)["n_samples"] == 4
+
+
+def test_missing_vectors_give_no_files(spark):
+    """A null is left out by its length; the encoder runs before that filter and must let it pass."""
+    from brinewave.plans import views
+
+    rows = spark.createDataFrame([(0, [0.5] * 64), (1, None), (2, [0.25] * 64)], "vec_id long, embedding array<float>")
+    assert wav.file_catalog(views.wave_files(rows)).count() == 2
+    assert sorted(r.file_start_us - views.WAVE_BASE_US for r in wav.decode_chunks(views.wave_files(rows)).collect()) == [0, 16_000_000]
