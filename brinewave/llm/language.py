@@ -67,28 +67,36 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 120) -> np.ndarray:
-    """Weights and bias (last) of a linear SVM for labels -1 and 1, classes weighted alike."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+def fit_svm(half: np.ndarray, rows: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 120) -> np.ndarray:
+    """Weights and bias (last) of a linear SVM for labels -1 and 1 of some rows, classes weighted alike.
+
+    Of the rows one copy is made, in single precision.
+    """
+    x = np.ones((len(rows), half.shape[1] + 1), np.float32)
+    for start in range(0, len(rows), 512):
+        x[start : start + 512, :-1] = half[rows[start : start + 512]]
     y = y.astype(np.float32)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w, past = np.zeros((2, x.shape[1]), np.float32)
     for k in range(steps):  # accelerated descent; the loss' curvature is at most 4
         ahead = w + np.float32(k / (k + 3)) * (w - past)
         slack = np.maximum(0, 1 - y * (x @ ahead))
-        gradient = np.float32(penalty) * ahead - 2 * x.T @ (share * y * slack)
+        gradient = np.float32(penalty) * ahead - x.T @ (2 * share * y * slack)
         past, w = w, ahead - gradient / np.float32(4 + penalty)
     return w
 
 
 class OneVersusOne:
-    def __init__(self, x: np.ndarray, names: np.ndarray):
+    """A classifier between the ``names`` of ``x``, or of some rows of it."""
+
+    def __init__(self, x: np.ndarray, names: np.ndarray, rows: np.ndarray | None = None):
+        rows = np.arange(len(x)) if rows is None else rows
         self.names = sorted(set(names.tolist()))
         self.pairs = list(combinations(range(len(self.names)), 2))
         weights = []
         for a, b in self.pairs:
             mine = (names == self.names[a]) | (names == self.names[b])
-            weights.append(fit_svm(x[mine], np.where(names[mine] == self.names[a], 1.0, -1.0)))
+            weights.append(fit_svm(x, rows[mine], np.where(names[mine] == self.names[a], 1.0, -1.0)))
         self.weights = np.array(weights).reshape(len(self.pairs), SIZE + 1)
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +124,7 @@ class Hierarchy:
     def __init__(self, x: np.ndarray, langs: np.ndarray):
         family = np.array([_FAMILY.get(lang, lang) for lang in langs.tolist()], object)
         self.top = OneVersusOne(x, family)
-        self.inner = [OneVersusOne(x[family == name], langs[family == name]) for name in self.top.names]
+        self.inner = [OneVersusOne(x, langs[family == name], np.flatnonzero(family == name)) for name in self.top.names]
 
     def __call__(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         chosen, score = self.top(x)
@@ -168,11 +176,14 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS, pieces: int = PIECES) -> Hie
                 langs += [batch.column(2)[i].as_py()] * len(parts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["doc_id", "lang", "x"])
 
-    found = rows.mapInArrow(run, "doc_id long, lang string, x binary").orderBy("doc_id", "lang", "x").collect()
-    if not found:
+    # columns, not rows of Python objects, reach the driver; its vectors stay in half precision
+    found = rows.mapInArrow(run, "doc_id long, lang string, x binary").orderBy("doc_id", "lang", "x").select("lang", "x").toArrow()
+    if not found.num_rows:
         return None
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in found]).astype(np.float32)
-    return Hierarchy(x, np.array([r.lang for r in found], object))
+    langs = np.array(found.column("lang").to_pylist(), object)
+    x = np.concatenate([flat_bytes(c)[0] for c in found.column("x").chunks]).view(np.float16).reshape(-1, SIZE)
+    del found
+    return Hierarchy(x, langs)
 
 
 def identify(docs: DataFrame, model: Hierarchy | None, text: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:

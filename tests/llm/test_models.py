@@ -1,6 +1,7 @@
 """Language and quality: held-out accuracy, whole texts, defined cases."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +150,16 @@ def test_votes_against_their_definition():
         assert chosen == max(range(4), key=lambda k: (wins[k], total[k]))
         lead = min(m if a == chosen else -m for (a, b), m in signed.items() if chosen in (a, b))
         assert p == pytest.approx(1 / (1 + np.exp(-np.clip(4 * lead, -30, 30))), rel=1e-4)
+
+
+def test_training_holds_one_copy_of_its_sample():
+    """Beside the vectors in half precision, the driver holds one copy of them in single precision."""
+    rng = np.random.default_rng(6)
+    x = rng.random((1200, language.SIZE))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16)
+    langs = np.array([["de", "fr"][i % 2] for i in range(len(x))], object)
+    tracemalloc.start()
+    language.Hierarchy(x, langs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 4 * x.size
