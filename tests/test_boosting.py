@@ -77,6 +77,18 @@ def test_many_blocks_give_the_models_of_one(spark):
         assert held[1][k] == pytest.approx(v)
 
 
+@pytest.mark.parametrize("block_rows, parts", [(30, 4), (100, 1)])
+def test_partials_do_not_follow_the_partitions_of_the_rows(spark, monkeypatch, block_rows, parts):
+    """A model's sums are exchanged once a partition: rows in 12 partitions are packed into as few as their number needs."""
+    seen, fit = [], b.fit_together
+    monkeypatch.setattr(b, "fit_together", lambda s, blocks, *a: seen.append(blocks.rdd.getNumPartitions()) or fit(s, blocks, *a))
+    rows = spark.createDataFrame(noisy(400, 7), SCHEMA).repartition(12)
+    specs = [b.Spec(m, 3, 0.3, m, 3) for m in range(3)]
+    one = {(r.model, r.key): r.score for r in b.fit_many(rows, "x", "y", specs, "k", "fold")[1].collect()}
+    many = {(r.model, r.key): r.score for r in b.fit_many(rows, "x", "y", specs, "k", "fold", block_rows=block_rows)[1].collect()}
+    assert seen == [parts] and many == pytest.approx(one)
+
+
 def test_checkpointed_rounds(spark, monkeypatch):
     monkeypatch.setattr(b, "CHECKPOINT_EVERY", 2)
     rows = spark.createDataFrame(noisy(120, 3), SCHEMA)
